@@ -257,7 +257,9 @@ def greedy_cooldown(
     a key (bounded by the time span), which gives every slab its true entry; then all slabs
     are filtered independently. Exact, and no task sees more than one slab of a key at once.
     """
-    slab_ms = max(slab_ms or 0, 6 * 3_600_000, gap_ms)
+    if gap_ms <= 0:
+        return alerts
+    slab_ms = max(slab_ms or 6 * 3_600_000, gap_ms)
     keys = list(keys)
     rows = alerts.withColumn("_slab", F.floor(F.col(ts_ms) / slab_ms))
     distinct_times = rows.select(*keys, "_slab", F.col(ts_ms).alias("_t")).distinct()
@@ -305,5 +307,5 @@ def greedy_cooldown(
     # Only the first row of equal times can be kept: the others go before the Python step.
     firsts = rows.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys, "_slab", ts_ms).orderBy(tie))
-    ).filter("_rn = 1").drop("_rn") if gap_ms > 0 else rows
+    ).filter("_rn = 1").drop("_rn")
     return firsts.join(entries, [*keys, "_slab"]).groupBy(*keys, "_slab").applyInPandas(keep, alerts.schema)

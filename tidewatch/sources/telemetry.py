@@ -89,3 +89,64 @@ def to_telemetry(events: DataFrame) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_telemetry(table(spark, sf_dir, "events"))
+
+
+def alert_view(tel: DataFrame) -> DataFrame:
+    """Security-relevant telemetry read as a stored alert table, one alert per event."""
+    kind, row_id = F.col("event_type"), F.col("event_id")
+    domain = F.get_json_object("data", "$.domain")
+    side = F.get_json_object("data", "$.isSideLoaded") == "true"
+    bad = domain.isin("login.phishing.test", "free-prize-winner.buzz")
+    picked = tel.filter(kind.isin(
+        "CANARY_FILE_ACCESS", "PERMISSION_ACCESS", "SECURITY_PACKAGE_EVENT", "SECURITY_AUTH_EVENT", "WEB_DOMAIN",
+        "NETWORK_FLOW",
+    ))
+    return picked.select(
+        F.concat(F.lit("alt_"), row_id.cast("string")).alias("anomaly_id"),
+        "device_id",
+        row_id.alias("alert_seq"),
+        F.when(kind == "CANARY_FILE_ACCESS", 10).when(kind == "PERMISSION_ACCESS", F.when(side, 8).otherwise(5))
+        .when(kind == "SECURITY_PACKAGE_EVENT", 7).when(kind == "SECURITY_AUTH_EVENT", 4)
+        .when(kind == "WEB_DOMAIN", F.when(bad, 9).otherwise(6)).otherwise(3).alias("severity"),
+        F.when(kind == "CANARY_FILE_ACCESS", "MALWARE_MIMICRY")
+        .when(kind.isin("PERMISSION_ACCESS", "SECURITY_PACKAGE_EVENT"), "INSIDER_THREAT")
+        .when(kind == "SECURITY_AUTH_EVENT", "DEVICE_MISUSE")
+        .when(kind == "WEB_DOMAIN", F.when(row_id % 2 == 0, "PHISHING").otherwise("MALWARE_MIMICRY"))
+        .otherwise("USER_DRIFT").alias("threat_type"),
+        F.when(kind == "PERMISSION_ACCESS", F.when(row_id % 2 == 0, F.concat(F.lit("perm:"), "package_name")))
+        .when(kind == "SECURITY_PACKAGE_EVENT", F.when(row_id % 2 == 0, F.concat(F.lit("app:"), "package_name")))
+        .when(kind == "WEB_DOMAIN", F.when(row_id % 3 == 0, F.concat(F.lit("domain:"), domain))
+              .when(row_id % 3 == 1, F.concat(F.lit("phishing:"), domain))).alias("indicator"),
+        F.when(kind == "WEB_DOMAIN", F.concat(F.lit("Known malicious website detected: "), domain))
+        .when(kind == "SECURITY_PACKAGE_EVENT", F.concat(F.lit("Known malicious app activity detected: "), "package_name"))
+        .when(kind == "PERMISSION_ACCESS", F.lower(F.concat(F.lit("Permission use: "), F.get_json_object("data", "$.permission"))))
+        .otherwise(kind).alias("message"),
+        ((row_id % 50 + 50) / 100.0).alias("confidence"),
+        _pick(row_id % 4, ["pending", "approved", "denied", "normal"]).alias("status"),
+        F.col("ts_ms").alias("created_ms"),
+    )
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_view(telemetry(spark, sf_dir))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as log lines of one text each; every 50th names the next log buffer."""
+    d, row_id = table(spark, sf_dir, "documents"), F.col("doc_id")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    flat = F.regexp_replace("text", r"[\r\n]+", " ")
+    line = F.concat(
+        pad(row_id % 12 + 1, 2), F.lit("-"), pad(row_id % 28 + 1, 2), F.lit(" "),
+        pad(row_id % 24, 2), F.lit(":"), pad(row_id % 60, 2), F.lit(":"), pad(F.floor(row_id / 60) % 60, 2), F.lit("."),
+        pad(row_id % 1000, 3), F.lit(" "), (row_id % 5000 + 1).cast("string"), F.lit(" "),
+        (row_id % 300 + 1).cast("string"), F.lit(" "), _pick(row_id % 7, list("VDIWEFA")), F.lit(" "),
+        F.when(row_id % 11 == 0, "auditd").when(row_id % 13 == 0, "thermal").otherwise(F.col("source")),
+        F.lit(": "), flat,
+    )
+    marker = F.concat(F.lit("--------- beginning of "), _pick(F.floor(row_id / 50) % 3, ["main", "system", "crash"]))
+    odd = F.concat(F.lit("raw "), flat)
+    return d.select(
+        F.lit("device.log").alias("file"), row_id.alias("line_no"),
+        F.when(row_id % 50 == 25, marker).when(row_id % 17 == 5, odd).otherwise(line).alias("line"),
+    )
