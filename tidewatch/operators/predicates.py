@@ -112,3 +112,11 @@ def payload_preview(data: Column, width: int = 180) -> Column:
 
 def weak_label(level: Column) -> Column:
     return level.isin("W", "E", "F").cast("int")
+
+
+def ioc_modes(ioc_type: Column) -> Column:
+    """Every feed mode a row belongs to, so that all feeds come from one pass."""
+    member = [
+        F.when(F.lit(True) if kinds is None else ioc_type.isin(*kinds), F.lit(mode)) for mode, kinds in IOC_MODES.items()
+    ]
+    return F.array_compact(F.array(*member))

@@ -115,9 +115,9 @@ def s7(spark, sf_dir):
         F.struct(F.round(F.avg("toxic"), 6).alias("text")).alias("thresholds"),
     ).write.json(path)
     fallback = tables.stored_baseline(spark, None, 64).select(
-        F.size("mean").alias("dims"), F.expr("aggregate(cov, 0D, (a, x) -> a + x)").alias("trace")
+        F.lit(1).alias("_one"), F.size("mean").alias("dims"), F.expr("aggregate(cov, 0D, (a, x) -> a + x)").alias("trace")
     )
-    return tables.ensemble_config(spark, path).join(fallback)
+    return tables.ensemble_config(spark, path).withColumn("_one", F.lit(1)).join(fallback, "_one").drop("_one")
 
 
 @query("s8_exports", with_ctes(ALR, """
@@ -289,11 +289,7 @@ SELECT 'all' AS mode, anomaly_id FROM c UNION ALL SELECT 'ioc', anomaly_id FROM
 UNION ALL SELECT 'ioc-app', anomaly_id FROM c WHERE ioc_type = 'app' UNION ALL SELECT 'ioc-domain', anomaly_id FROM c WHERE ioc_type = 'domain'"""))
 def p13(spark, sf_dir):
     feed = classed_alerts(spark, sf_dir)
-    out = None
-    for mode in P.IOC_MODES:
-        part = P.filter_ioc(feed, mode).select(F.lit(mode).alias("mode"), "anomaly_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return feed.select(F.explode(P.ioc_modes(F.col("ioc_type"))).alias("mode"), "anomaly_id")
 
 
 @query("p14_payload_preview", """
