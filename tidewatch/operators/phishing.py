@@ -11,8 +11,6 @@ from tidewatch.settings import (
     URL_PATH_KEYWORDS,
 )
 
-NO_REASON = F.lit(None).cast("string")
-
 
 def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -42,27 +40,34 @@ def keyword_score(domain: Column) -> tuple[Column, list[Column]]:
 
 
 def brand_match(domain: Column, exempt_official: bool = True) -> Column:
-    """First brand imitated by the domain: struct(brand, score, typo, named), or null.
+    """First brand imitated by the domain: struct(brand, typo, named), or null.
 
     With ``exempt_official`` a brand's own domains and their subdomains never count.
     """
     base = F.when(domain.contains("."), F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)).otherwise(domain)
     clean = F.translate(base, "-.", "")
-    found = []
-    for brand, typos in BRANDS.items():
-        official = F.lit(False)
-        for name in OFFICIAL_DOMAINS[brand]:
-            official = official | (domain == name) | domain.endswith(f".{name}")
-        typo = F.get(F.filter(_texts(typos), lambda t: clean.contains(t)), F.lit(0))
+    # A constant array (14 entries), folded once by the optimizer and scanned in order.
+    known = F.array(*[
+        F.struct(F.lit(b).alias("brand"), _texts(t).alias("typos"), _texts(OFFICIAL_DOMAINS[b]).alias("official"))
+        for b, t in BRANDS.items()
+    ])
+
+    def against(b: Column) -> Column:
+        official = F.exists(b["official"], lambda o: (domain == o) | F.endswith(domain, F.concat(F.lit("."), o)))
+        typo = F.get(F.filter(b["typos"], lambda t: F.contains(clean, t)), F.lit(0))
         if exempt_official:
             typo = F.when(~official, typo)
-        named = clean.contains(brand) & ~official
-        score = F.when(typo.isNotNull(), 0.5).otherwise(0.0) + F.when(named, 0.35).otherwise(0.0)
-        made = F.struct(
-            F.lit(brand).alias("brand"), F.least(score, F.lit(0.6)).alias("score"), typo.alias("typo"), named.alias("named")
+        return F.struct(
+            b["brand"].alias("brand"), typo.alias("typo"), (F.contains(clean, b["brand"]) & ~official).alias("named")
         )
-        found.append(F.when(typo.isNotNull() | named, made))
-    return F.coalesce(*found)
+
+    hit = F.get(F.filter(F.transform(known, against), lambda h: h["typo"].isNotNull() | h["named"]), F.lit(0))
+    return hit
+
+
+def brand_score(hit: Column) -> Column:
+    score = F.when(hit["typo"].isNotNull(), 0.5).otherwise(0.0) + F.when(hit["named"], 0.35).otherwise(0.0)
+    return F.least(score, F.lit(0.6))
 
 
 def structure_score(domain: Column) -> tuple[Column, list[Column]]:
@@ -123,7 +128,7 @@ def analyse(
         "tld_score": tld_score(name),
         "keyword_score": keyword_score(name),
         "brand_score": (
-            F.coalesce(brand["score"], F.lit(0.0)),
+            brand_score(brand),
             [
                 F.when(brand["typo"].isNotNull(), F.concat(F.lit("Possible typosquatting of '"), brand["brand"],
                                                            F.lit("' (found: '"), brand["typo"], F.lit("')"))),
@@ -135,22 +140,21 @@ def analyse(
         "model_score": model_score(given),
     }
     reasons = [r for _, texts in parts.values() for r in texts]
-    for column, (score, _) in parts.items():
-        out = out.withColumn(column, score.cast("double"))
     total = F.lit(0.0)
-    for column in parts:
-        total = total + F.col(column)
-    return (
-        out.withColumn("_total", F.least(total, F.lit(1.0)))
-        .withColumn("risk_score", F.bround("_total", 3))
-        .withColumn(
-            "classification",
-            F.when(F.col("_total") >= phishing_at, "phishing").when(F.col("_total") >= suspicious_at, "suspicious").otherwise("safe"),
-        )
-        .withColumn("reasons", F.slice(F.array_compact(F.array(*reasons)), 1, 5))
-        .withColumn("matched_brand", brand["brand"])
-        .drop("_brand", "_total")
+    for score, _ in parts.values():
+        total = total + score
+    capped = F.least(total, F.lit(1.0))
+    label = F.when(capped >= phishing_at, "phishing").when(capped >= suspicious_at, "suspicious").otherwise("safe")
+    result = F.struct(
+        *[score.cast("double").alias(column) for column, (score, _) in parts.items()],
+        F.bround(capped, 3).alias("risk_score"),
+        label.alias("classification"),
+        F.slice(F.array_compact(F.array(*reasons)), 1, 5).alias("reasons"),
+        brand["brand"].alias("matched_brand"),
     )
+    # Unpacked by a generator, so that a filter on the result is not pushed down as a copy of
+    # the whole expression.
+    return out.select(*df.columns, F.inline(F.array(result)))
 
 
 def phishing_alerts(tel: DataFrame, exempt_official: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from tidewatch.functions.payload import num, parse_payload, text_list, truthy
 from tidewatch.settings import COOLDOWN_SECONDS
 
 MB = 1024.0 * 1024.0
+_STEPS = T.ArrayType(T.StructType([T.StructField("upto", T.LongType()), T.StructField("out", T.LongType())]))
 
 
 def package_candidates(fields: Sequence[str] = ("package", "packageName", "targetPackage")) -> Column:
@@ -245,6 +246,31 @@ def _arrivals_to_exits(ms: np.ndarray, gap: int) -> np.ndarray:
     return exits
 
 
+@F.pandas_udf(_STEPS)
+def slab_steps(times: pd.Series, gap: pd.Series) -> pd.Series:
+    """Step function of a slab: entering ready at or before ``upto`` leaves with ``out`` kept last."""
+    result = []
+    for ms, g in zip(times, gap):
+        exits = _arrivals_to_exits(ms, int(g))
+        last = np.append(exits[1:] != exits[:-1], True)
+        result.append([{"upto": int(a), "out": int(b)} for a, b in zip(ms[last], exits[last])])
+    return pd.Series(result)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def slab_kept(times: pd.Series, entry: pd.Series, gap: pd.Series) -> pd.Series:
+    """Times kept in a slab that is entered with the given ready time."""
+    result = []
+    for ms, ready, g in zip(times, entry, gap):
+        kept, ready = [], int(ready)
+        i = int(np.searchsorted(ms, ready, side="left"))
+        while i < len(ms):
+            kept.append(int(ms[i]))
+            i = int(np.searchsorted(ms, ms[i] + int(g), side="left"))
+        result.append(kept)
+    return pd.Series(result)
+
+
 def greedy_cooldown(
     alerts: DataFrame, keys: Sequence[str], gap_ms: int = COOLDOWN_SECONDS * 1000,
     ts_ms: str = "ts_ms", tie: str = "event_id", slab_ms: int | None = None,
@@ -261,51 +287,32 @@ def greedy_cooldown(
         return alerts
     slab_ms = max(slab_ms or 6 * 3_600_000, gap_ms)
     keys = list(keys)
-    rows = alerts.withColumn("_slab", F.floor(F.col(ts_ms) / slab_ms))
-    distinct_times = rows.select(*keys, "_slab", F.col(ts_ms).alias("_t")).distinct()
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms = np.sort(pdf["_t"].to_numpy())
-        exits = _arrivals_to_exits(ms, gap_ms)
-        last = np.append(exits[1:] != exits[:-1], True)
-        first = pdf.iloc[:1][[*keys, "_slab"]].copy()
-        first["_steps"] = [[{"upto": int(a), "out": int(b)} for a, b in zip(ms[last], exits[last])]]
-        return first
-
-    key_fields = [f for f in rows.schema.fields if f.name in keys]
-    step = T.ArrayType(T.StructType([T.StructField("upto", T.LongType()), T.StructField("out", T.LongType())]))
-    summary_schema = T.StructType(
-        [*sorted(key_fields, key=lambda f: keys.index(f.name)), T.StructField("_slab", T.LongType()), T.StructField("_steps", step)]
+    times = (
+        alerts.groupBy(*keys, F.floor(F.col(ts_ms) / slab_ms).alias("_slab"))
+        .agg(F.array_sort(F.collect_set(ts_ms)).alias("_times"))
     )
-    summary = distinct_times.groupBy(*keys, "_slab").applyInPandas(summarise, summary_schema)
     never = -(1 << 60)
-    chained = summary.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slab", "_steps"))).alias("_chain")).withColumn(
-        "_ready",
-        F.expr(
-            f"aggregate(_chain, array(struct(CAST(NULL AS BIGINT) AS slab, {never}L AS entry, {never}L AS ready)), (acc, s) -> "
-            "concat(acc, array(struct(s._slab AS slab, element_at(acc, -1).ready AS entry, "
-            f"coalesce(get(filter(s._steps, p -> p.upto >= element_at(acc, -1).ready), 0).out + {gap_ms}L, "
-            "element_at(acc, -1).ready) AS ready))))"
-        ),
+    chained = (
+        times.withColumn("_steps", slab_steps(F.col("_times"), F.lit(gap_ms)))
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slab", "_steps"))).alias("_chain"))
+        .withColumn(
+            "_entries",
+            F.expr(
+                f"aggregate(_chain, array(struct(CAST(NULL AS BIGINT) AS slab, {never}L AS entry, {never}L AS ready)), (acc, s) -> "
+                "concat(acc, array(struct(s._slab AS slab, element_at(acc, -1).ready AS entry, "
+                f"coalesce(get(filter(s._steps, p -> p.upto >= element_at(acc, -1).ready), 0).out + {gap_ms}L, "
+                "element_at(acc, -1).ready) AS ready))))"
+            ),
+        )
     )
-    entries = chained.select(*keys, F.explode(F.slice("_ready", 2, F.size("_chain"))).alias("_e")).select(
+    entries = chained.select(*keys, F.explode(F.slice("_entries", 2, F.size("_chain"))).alias("_e")).select(
         *keys, F.col("_e.slab").alias("_slab"), F.col("_e.entry").alias("_entry")
     )
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts_ms, tie], kind="stable")
-        ms = pdf[ts_ms].to_numpy()
-        kept, ready, i = [], int(pdf["_entry"].iloc[0]), 0
-        while True:
-            i = int(np.searchsorted(ms, ready, side="left"))
-            if i >= len(ms):
-                break
-            kept.append(i)
-            ready = int(ms[i]) + gap_ms
-        return pdf.iloc[kept][alerts.columns]
-
-    # Only the first row of equal times can be kept: the others go before the Python step.
-    firsts = rows.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys, "_slab", ts_ms).orderBy(tie))
-    ).filter("_rn = 1").drop("_rn")
-    return firsts.join(entries, [*keys, "_slab"]).groupBy(*keys, "_slab").applyInPandas(keep, alerts.schema)
+    kept = times.join(entries, [*keys, "_slab"]).select(
+        *keys, F.explode(slab_kept(F.col("_times"), F.col("_entry"), F.lit(gap_ms))).alias(ts_ms)
+    )
+    first = Window.partitionBy(*keys, ts_ms).orderBy(tie)
+    return (
+        alerts.join(kept, [*keys, ts_ms], "left_semi")
+        .withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select(*alerts.columns)
+    )
