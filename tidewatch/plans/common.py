@@ -60,6 +60,7 @@ win AS (
 
 
 def with_ctes(ctes: str, select: str) -> str:
+    """``select`` may start with further CTEs after a leading comma."""
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
 

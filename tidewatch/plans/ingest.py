@@ -140,7 +140,7 @@ SELECT device_id, coalesce(old.name, 'Device-' || substr(device_id, 1, 8)) AS na
   CASE WHEN old.f IS NULL THEN seen.f WHEN seen.f IS NULL THEN old.f ELSE least(old.f, seen.f) END AS first_seen_ms,
   CASE WHEN old.l IS NULL THEN seen.l WHEN seen.l IS NULL THEN old.l ELSE greatest(old.l, seen.l) END AS last_seen_ms,
   seen.l IS NOT NULL AS is_active
-FROM old FULL OUTER JOIN seen USING (device_id)""".replace("\n,", ",", 1)))
+FROM old FULL OUTER JOIN seen USING (device_id)"""))
 def s10(spark, sf_dir):
     stored = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(
         F.concat(F.lit("dev_"), F.col("c_custkey").cast("string")).alias("device_id"), F.col("c_name").alias("name"),

@@ -26,7 +26,7 @@ def w1(spark, sf_dir):
 o AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w <= 36000000 THEN 0 ELSE 1 END AS opens FROM tel WINDOW w AS (PARTITION BY device_id ORDER BY ts_ms, event_id)),
 r AS (SELECT *, sum(opens) OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) AS run FROM o),
 n AS (SELECT *, row_number() OVER (PARTITION BY device_id, run ORDER BY ts_ms, event_id) - 1 AS i, count(*) OVER (PARTITION BY device_id, run) AS len FROM r)
-SELECT device_id, event_id, (i % 3)::INTEGER AS pos FROM n WHERE i // 3 < len // 3""".replace("\n,", ",", 1)))
+SELECT device_id, event_id, (i % 3)::INTEGER AS pos FROM n WHERE i // 3 < len // 3"""))
 def w1_idle(spark, sf_dir):
     out = W.count_windows(telemetry(spark, sf_dir), size=3, idle_ms=36_000_000)
     return out.select("device_id", "event_id", "pos")
@@ -98,7 +98,7 @@ def d0(spark, sf_dir):
 @query("a7_top_event_types", with_ctes(WIN, """,
 c AS (SELECT device_id, window_id, event_type, count(*) AS n, min(pos) AS seen FROM win GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY device_id, window_id ORDER BY n DESC, seen) AS rk FROM c)
-SELECT device_id, window_id, string_agg(event_type || ' x' || n, ', ' ORDER BY rk) AS top FROM r WHERE rk <= 3 GROUP BY ALL""".replace("\n,", ",", 1)))
+SELECT device_id, window_id, string_agg(event_type || ' x' || n, ', ' ORDER BY rk) AS top FROM r WHERE rk <= 3 GROUP BY ALL"""))
 def a7(spark, sf_dir):
     return A.top_event_types(windows(spark, sf_dir), 3).select(
         "device_id", "window_id",
@@ -130,7 +130,7 @@ ur AS (SELECT device_id, window_id, uid, row_number() OVER (PARTITION BY device_
 SELECT w.device_id, w.window_id, dom.pkg AS target_package, ur.uid AS target_uid
 FROM (SELECT DISTINCT device_id, window_id FROM win) w
 LEFT JOIN dom ON dom.device_id = w.device_id AND dom.window_id = w.window_id AND dom.rk = 1
-LEFT JOIN ur ON ur.device_id = w.device_id AND ur.window_id = w.window_id AND ur.rk = 1""".replace("\n,", ",", 1)))
+LEFT JOIN ur ON ur.device_id = w.device_id AND ur.window_id = w.window_id AND ur.rk = 1"""))
 def a9(spark, sf_dir):
     return A.action_targets(windows(spark, sf_dir), ["com.app7"])
 
@@ -191,7 +191,7 @@ def a12(spark, sf_dir):
 s AS (SELECT device_id, event_id, ts_ms, CAST(data->>'$.uid' AS BIGINT) AS uid, CAST(data->>'$.rxBytesDelta' AS BIGINT) AS rx,
         CAST(data->>'$.txBytesDelta' AS BIGINT) AS tx FROM tel WHERE event_type = 'NETWORK_APP'),
 d AS (SELECT *, rx - lag(rx) OVER w AS drx, tx - lag(tx) OVER w AS dtx FROM s WINDOW w AS (PARTITION BY device_id, uid ORDER BY ts_ms, event_id))
-SELECT device_id, uid, event_id, greatest(0, drx) AS rx_delta, greatest(0, dtx) AS tx_delta FROM d WHERE drx > 0 OR dtx > 0""".replace("\n,", ",", 1)))
+SELECT device_id, uid, event_id, greatest(0, drx) AS rx_delta, greatest(0, dtx) AS tx_delta FROM d WHERE drx > 0 OR dtx > 0"""))
 def w11(spark, sf_dir):
     p = parse_payload(telemetry(spark, sf_dir).filter("event_type = 'NETWORK_APP'"))
     samples = p.select("device_id", "event_id", "ts_ms", *[
@@ -206,7 +206,7 @@ g AS (SELECT device_id, event_id, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY d
 v AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS n
       FROM g WHERE gap BETWEEN 60000 AND 90000000)
 SELECT device_id, i // 20 AS batch_id, round(avg(gap), 3) AS latency, round(stddev_pop(gap), 3) AS std, count(*) AS n, max(ts_ms) AS ts_ms
-FROM v WHERE i // 20 < n // 20 GROUP BY ALL""".replace("\n,", ",", 1)))
+FROM v WHERE i // 20 < n // 20 GROUP BY ALL"""))
 def w12(spark, sf_dir):
     out = W.keystroke_batches(telemetry(spark, sf_dir), 20, 60_000, 90_000_000)
     return out.select("device_id", "batch_id", F.round("latency", 3).alias("latency"), F.round("std", 3).alias("std"), "n", "ts_ms")
@@ -214,7 +214,7 @@ def w12(spark, sf_dir):
 
 @query("p16_touch_gaps", with_ctes(TEL, """,
 g AS (SELECT device_id, event_id, ts_ms - lag(ts_ms) OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) AS gap FROM tel WHERE event_type = 'TOUCH')
-SELECT device_id, event_id, gap AS duration_ms FROM g WHERE gap BETWEEN 10 AND 86400000""".replace("\n,", ",", 1)))
+SELECT device_id, event_id, gap AS duration_ms FROM g WHERE gap BETWEEN 10 AND 86400000"""))
 def p16(spark, sf_dir):
     touches = telemetry(spark, sf_dir).filter("event_type = 'TOUCH'")
     return W.touch_gaps(touches, 10, 86_400_000).select("device_id", "event_id", "duration_ms")
@@ -250,7 +250,7 @@ def w13(spark, sf_dir):
 s AS (SELECT device_id, event_id, ts_ms, CAST(data->>'$.tz_offset' AS BIGINT) AS tz FROM tel WHERE event_type = 'SYSTEM_STATE'),
 l AS (SELECT *, coalesce(tz <> lag(tz) OVER (PARTITION BY device_id ORDER BY ts_ms, event_id), false) AS shifted FROM s)
 SELECT device_id, event_id, tz AS tz_offset, shifted, last_value(CASE WHEN shifted THEN ts_ms + 86400000 END IGNORE NULLS)
-  OVER (PARTITION BY device_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS shift_until_ms FROM l""".replace("\n,", ",", 1)))
+  OVER (PARTITION BY device_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS shift_until_ms FROM l"""))
 def w16(spark, sf_dir):
     p = parse_payload(telemetry(spark, sf_dir).filter("event_type = 'SYSTEM_STATE'"))
     p = p.select("device_id", "event_id", "ts_ms", F.col("p.tz_offset").try_cast("long").alias("tz_offset"))
@@ -259,6 +259,6 @@ def w16(spark, sf_dir):
 
 @query("w17_idle_gap", with_ctes(TEL, """,
 g AS (SELECT device_id, event_id, ts_ms - lag(ts_ms) OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) AS gap_ms FROM tel)
-SELECT device_id, event_id, gap_ms, coalesce(gap_ms > 600000, false) AS learning_suspended FROM g""".replace("\n,", ",", 1)))
+SELECT device_id, event_id, gap_ms, coalesce(gap_ms > 600000, false) AS learning_suspended FROM g"""))
 def w17(spark, sf_dir):
     return W.idle_gaps(telemetry(spark, sf_dir)).select("device_id", "event_id", "gap_ms", "learning_suspended")
