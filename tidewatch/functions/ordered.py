@@ -190,3 +190,59 @@ def ordered_fold(
                 yield last
 
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+
+
+def linear_recurrence(
+    df: DataFrame, keys: Sequence[str], seq: str, a: Column, b: Column, start: float,
+    target: str, before: str | None = None, chunk: int = 4096,
+) -> DataFrame:
+    """y = a * y_previous + b in ``seq`` order, in parallel over chunks of one key.
+
+    A chunk as a whole is again y_out = A * y_in + B, so the chunks are chained first (one
+    row per chunk) and then every chunk is walked on its own with its true start value.
+    """
+    rows = df.withColumn("_c", F.floor(F.col(seq) / chunk)).withColumn("_a", a).withColumn("_bb", b)
+    inner = [*keys, "_c"]
+    slim = rows.select(*inner, seq, "_a", "_bb")
+    key_schema = [f for f in slim.schema.fields if f.name in inner]
+
+    def begin(part: pd.DataFrame) -> dict:
+        return {"key": part.iloc[:1][inner].copy(), "A": 1.0, "B": 0.0}
+
+    def absorb(state: dict, part: pd.DataFrame) -> None:
+        for x, y in zip(part["_a"].to_numpy(), part["_bb"].to_numpy()):
+            state["A"], state["B"] = x * state["A"], x * state["B"] + y
+
+    def emit(state: dict) -> pd.DataFrame:
+        return state["key"].assign(_A=state["A"], _B=state["B"])
+
+    ordered_keys = [next(f for f in key_schema if f.name == k) for k in inner]
+    chunk_schema = T.StructType([*ordered_keys, T.StructField("_A", T.DoubleType()), T.StructField("_B", T.DoubleType())])
+    chunks = ordered_fold(slim, inner, [seq], begin, absorb, chunk_schema, emit)
+    entries = (
+        chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_A", "_B"))).alias("_s"))
+        .select(*keys, F.explode(F.expr(
+            f"aggregate(_s, array(struct(-1L AS c, {start!r}D AS entry, {start!r}D AS leave)), (acc, x) -> concat(acc, array(struct("
+            "x._c AS c, element_at(acc, -1).leave AS entry, x._A * element_at(acc, -1).leave + x._B AS leave))))"
+        )).alias("_e"))
+        .select(*keys, F.col("_e.c").alias("_c"), F.col("_e.entry").alias("_entry"))
+    )
+    before = before or "_before"
+
+    def enter(part: pd.DataFrame) -> dict:
+        return {"y": float(part["_entry"].iloc[0])}
+
+    def walk(state: dict, part: pd.DataFrame) -> pd.DataFrame:
+        y, out, prior = state["y"], [], []
+        for p, q in zip(part["_a"].to_numpy(), part["_bb"].to_numpy()):
+            prior.append(y)
+            y = p * y + q
+            out.append(y)
+        state["y"] = y
+        return part.drop(columns=["_c", "_a", "_bb", "_entry"]).assign(**{before: prior, target: out})
+
+    joined = rows.join(entries, inner)
+    kept = [f for f in joined.schema.fields if f.name not in ("_c", "_a", "_bb", "_entry")]
+    out_schema = T.StructType([*kept, T.StructField(before, T.DoubleType()), T.StructField(target, T.DoubleType())])
+    walked = ordered_fold(joined, inner, [seq], enter, walk, out_schema)
+    return walked if before != "_before" else walked.drop("_before")
