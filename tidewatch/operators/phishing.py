@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import fixed
 from tidewatch.functions.payload import num, parse_payload
 from tidewatch.settings import (
     BRANDS, OFFICIAL_DOMAINS, PHISHING_AT, PHISHING_PATTERNS, SUSPICIOUS_AT, SUSPICIOUS_KEYWORDS, SUSPICIOUS_TLDS,
@@ -109,7 +110,7 @@ def url_score(url: Column) -> tuple[Column, list[Column]]:
 
 
 def model_score(score: Column) -> tuple[Column, list[Column]]:
-    text = F.format_string("On-device model classified as high-risk (score: %.2f)", F.bround(score, 2))
+    text = F.concat(F.lit("On-device TFLite model classified as high-risk (score: "), fixed(score, 2), F.lit(")"))
     return F.coalesce(score * 0.35, F.lit(0.0)), [F.when(score > 0.6, text)]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewatch.functions.domains import normalise_domain, suffixes
+from tidewatch.functions.text import fixed
 from tidewatch.functions.payload import num, parse_payload, text_list, truthy
 from tidewatch.settings import COOLDOWN_SECONDS
 
@@ -169,8 +170,8 @@ def rule_alerts(
                    F.concat(F.lit("Unusual authentication/screen churn detected ("), auth.cast("string"), F.lit(" events)")),
                    0.8),
         _candidate((mb >= 25.0) & ((low > 0) | (weak > 0)), 8, 50, "DEVICE_MISUSE",
-                   F.format_string("High network burst (%.1f MB) during system stress (low_memory=%d, battery_critical=%d)",
-                                   F.bround(mb, 1), low, weak), 0.85),
+                   F.concat(F.lit("High network burst ("), fixed(mb, 1), F.lit(" MB) during system stress (low_memory="),
+                            low.cast("string"), F.lit(", battery_critical="), weak.cast("string"), F.lit(")")), 0.85),
         _candidate((flows >= 30) & (mb >= 10.0), 7, 60, "DEVICE_MISUSE",
                    F.concat(F.lit("Dense network flow burst detected ("), flows.cast("string"), F.lit(" flow events)")), 0.8),
         F.col("_perm.c"),
