@@ -26,11 +26,11 @@ def order_bucket(ts_ms: str, tie: str, bucket_ms: int = BUCKET_MS) -> Column:
 
     Rows without a time carry 0 and may be many, so these are cut by their id instead.
     """
-    ts, row_id = F.col(ts_ms), F.col(tie)
+    ts = F.col(ts_ms)
     return (
-        F.when(ts > 0, F.floor(ts / bucket_ms))
-        .when(ts == 0, F.floor(row_id / ID_BUCKET) - F.lit(1 << 46))
-        .otherwise(F.floor(ts / bucket_ms) - F.lit(1 << 52))
+        F.when(ts > 0, F.expr(f"`{ts_ms}` div {bucket_ms}"))
+        .when(ts == 0, F.expr(f"`{tie}` div {ID_BUCKET}") - F.lit(1 << 50))
+        .otherwise(F.floor(ts / bucket_ms) - F.lit(1 << 60))
         .cast("long")
     )
 

@@ -136,7 +136,7 @@ def rule_alerts(
     """
     apps = text_list(a.strip().lower() for a in bad_apps)
     blocked = text_list(d.strip().lower() for d in bad_domains)
-    events = rule_events(windows, ignored_packages)
+    events = rule_events(windows, ignored_packages).withColumn("_candidate", permission_candidate())
     hit_app = F.array_max(F.array_intersect("pkgs", apps))
     hit_domain = F.array_max(F.filter("doms", lambda d: F.arrays_overlap(suffixes(d), blocked)))
     grouped = events.groupBy("device_id", "window_id").agg(
@@ -146,13 +146,9 @@ def rule_alerts(
         F.max("ts_ms").alias("end_ms"),
         F.max(F.when(~F.col("skip"), hit_app)).alias("_app"),
         F.max(F.when(~F.col("skip"), hit_domain)).alias("_domain"),
-        F.max(
-            F.when(
-                F.col("kind") == "PERMISSION_ACCESS",
-                F.struct(permission_candidate().getField("severity").alias("s"), "ts_ms", "event_id",
-                         permission_candidate().alias("c")),
-            )
-        ).alias("_perm"),
+        F.max_by("_candidate", F.when(
+            F.col("_candidate").isNotNull(), F.struct("_candidate.severity", "ts_ms", "event_id")
+        )).alias("_perm"),
     )
     mb, packages, auth = F.col("network_mb"), F.col("package_events"), F.col("auth_events")
     low, weak, flows = F.col("low_memory_events"), F.col("battery_critical_events"), F.col("flow_events")
@@ -174,14 +170,12 @@ def rule_alerts(
                             low.cast("string"), F.lit(", battery_critical="), weak.cast("string"), F.lit(")")), 0.85),
         _candidate((flows >= 30) & (mb >= 10.0), 7, 60, "DEVICE_MISUSE",
                    F.concat(F.lit("Dense network flow burst detected ("), flows.cast("string"), F.lit(" flow events)")), 0.8),
-        F.col("_perm.c"),
+        F.col("_perm"),
     ]
-    return (
-        grouped.withColumn("rule", F.array_max(F.array_compact(F.array(*candidates))))
-        .filter(F.col("rule").isNotNull())
-        .select("device_id", "window_id", "n", "start_ms", "end_ms", "rule.severity", "rule.threat_type", "rule.message",
-                "rule.confidence", "rule.indicator", "rule.target_package")
-    )
+    # A generator yields the best candidate or no row; a filter would be pushed down as a copy
+    # of every candidate expression.
+    best = F.slice(F.sort_array(F.array_compact(F.array(*candidates)), asc=False), 1, 1)
+    return grouped.select("device_id", "window_id", "n", "start_ms", "end_ms", F.inline(best)).drop("rank")
 
 
 def match_apps(windows: DataFrame, bad_apps: DataFrame) -> DataFrame:
@@ -231,10 +225,11 @@ def permission_alerts(tel: DataFrame) -> DataFrame:
     """Side-loaded apps using camera, microphone or location."""
     df = rule_events(tel.filter(F.upper("event_type") == "PERMISSION_ACCESS")).filter("side_loaded")
     rule = permission_candidate(location_confidence=0.90)
-    return df.withColumn("c", rule).filter(F.col("c").isNotNull()).select(
-        "device_id", "event_id", "ts_ms", "c.severity", "c.threat_type",
-        F.when(F.col("c.severity") == 8, F.concat(F.lit("⚠ "), "c.message")).otherwise(F.col("c.message")).alias("message"),
-        "c.confidence", "c.indicator", "c.target_package", F.lit("permission-monitor").alias("source"),
+    found = df.select("device_id", "event_id", "ts_ms", F.inline(F.array_compact(F.array(rule))))
+    return found.select(
+        "device_id", "event_id", "ts_ms", "severity", "threat_type",
+        F.when(F.col("severity") == 8, F.concat(F.lit("⚠ "), "message")).otherwise(F.col("message")).alias("message"),
+        "confidence", "indicator", "target_package", F.lit("permission-monitor").alias("source"),
     )
 
 

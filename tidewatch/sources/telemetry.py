@@ -33,9 +33,11 @@ def _json(*parts) -> Column:
 
 def to_telemetry(events: DataFrame) -> DataFrame:
     """Raw events -> device telemetry. Projection only, so it works on a stream as well."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    v = F.floor("value").cast("long")
-    e = F.col("event_type")
+    events = events.select(
+        "event_id", "user_id", "event_type", "ts",
+        F.get_json_object("props", "$.k").cast("long").alias("_k"), F.floor("value").cast("long").alias("_v"),
+    )
+    k, v, e = F.col("_k"), F.col("_v"), F.col("event_type")
     app = F.concat(F.lit("com.app"), (k % 12).cast("string"))
 
     kinds = [
