@@ -127,7 +127,7 @@ def permission_candidate(location_confidence: float = 0.85) -> Column:
 
 def rule_alerts(
     windows: DataFrame, bad_apps: Sequence[str] = (), bad_domains: Sequence[str] = (),
-    ignored_packages: Sequence[str] = (),
+    ignored_packages: Sequence[str] = (), keys: Sequence[str] = ("device_id", "window_id"),
 ) -> DataFrame:
     """The winning rule per window: highest severity, the later rule on ties.
 
@@ -139,7 +139,7 @@ def rule_alerts(
     events = rule_events(windows, ignored_packages).withColumn("_candidate", permission_candidate())
     hit_app = F.array_max(F.array_intersect("pkgs", apps))
     hit_domain = F.array_max(F.filter("doms", lambda d: F.arrays_overlap(suffixes(d), blocked)))
-    grouped = events.groupBy("device_id", "window_id").agg(
+    grouped = events.groupBy(*keys).agg(
         *_counters(),
         F.count(F.lit(1)).alias("n"),
         F.min("ts_ms").alias("start_ms"),
@@ -175,7 +175,7 @@ def rule_alerts(
     # A generator yields the best candidate or no row; a filter would be pushed down as a copy
     # of every candidate expression.
     best = F.slice(F.sort_array(F.array_compact(F.array(*candidates)), asc=False), 1, 1)
-    return grouped.select("device_id", "window_id", "n", "start_ms", "end_ms", F.inline(best)).drop("rank")
+    return grouped.select(*keys, "n", "start_ms", "end_ms", F.inline(best)).drop("rank")
 
 
 def match_apps(windows: DataFrame, bad_apps: DataFrame) -> DataFrame:

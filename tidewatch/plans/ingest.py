@@ -16,9 +16,8 @@ from tidewatch.sources import files, messages, tables
 from tidewatch.sources.telemetry import alerts, log_lines, table, telemetry
 
 
-def wire_messages(spark, sf_dir):
+def wire_messages(tel):
     """Telemetry as wire messages: objects and arrays, both key spellings, some broken."""
-    tel = telemetry(spark, sf_dir)
     row_id = F.col("event_id")
     new_style = row_id % 2 == 0
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -44,7 +43,7 @@ SELECT device_id, event_id AS message_id, pos::INTEGER AS pos,
 FROM tel, (VALUES (0), (1)) AS copies(pos)
 WHERE event_id % 97 <> 0 AND (pos = 0 OR event_id % 3 = 0)"""))
 def s1(spark, sf_dir):
-    return messages.parse_messages(wire_messages(spark, sf_dir))
+    return messages.parse_messages(wire_messages(telemetry(spark, sf_dir)))
 
 
 @query("s2_event_table", with_ctes(TEL, """
