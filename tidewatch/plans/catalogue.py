@@ -1,3 +1,3 @@
 """Imports every family so that its queries are registered."""
 
-from tidewatch.plans import detection, drift, evaluation, ingest, learning, reports, rules, streams, windows  # noqa: F401
+from tidewatch.plans import detection, drift, evaluation, flow, ingest, learning, reports, rules, streams, windows  # noqa: F401
