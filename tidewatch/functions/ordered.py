@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,6 +152,18 @@ def framed(
     return rows.filter("_own").drop("_c", "_own")
 
 
+def _slices(pdf: pd.DataFrame, names: list[str]) -> list[tuple[tuple, int, int]]:
+    """(key, begin, end) of each run of equal keys in a sorted batch."""
+    columns = [pdf[n].to_numpy() for n in names]
+    changed = np.zeros(len(pdf), dtype=bool)
+    changed[0] = True
+    for c in columns:
+        changed[1:] |= c[1:] != c[:-1]
+    begins = np.flatnonzero(changed).tolist()
+    ends = [*begins[1:], len(pdf)]
+    return [(tuple(c[b] for c in columns), b, e) for b, e in zip(begins, ends)]
+
+
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str],
     start: Callable[[pd.DataFrame], object], step: Callable[[object, pd.DataFrame], pd.DataFrame | None],
@@ -168,22 +181,17 @@ def ordered_fold(
         for pdf in batches:
             if pdf.empty:
                 continue
-            marks = pdf[names].ne(pdf[names].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            if not marks or marks[0] != 0:
-                marks = [0, *marks]
-            for i, begin in enumerate(marks):
-                stop = marks[i + 1] if i + 1 < len(marks) else len(pdf)
-                part = pdf.iloc[begin:stop]
-                key = tuple(part.iloc[0][names])
+            made = []
+            for key, begin, end in _slices(pdf, names):
+                part = pdf.iloc[begin:end]
                 if key != current:
                     if current is not None and finish is not None:
-                        last = finish(state)
-                        if last is not None and len(last):
-                            yield last
+                        made.append(finish(state))
                     current, state = key, start(part)
-                out = step(state, part)
-                if out is not None and len(out):
-                    yield out
+                made.append(step(state, part))
+            made = [m for m in made if m is not None and len(m)]
+            if made:
+                yield pd.concat(made, ignore_index=True)
         if current is not None and finish is not None:
             last = finish(state)
             if last is not None and len(last):
@@ -192,6 +200,39 @@ def ordered_fold(
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
+def ordered_scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str],
+    start: Callable[[dict[str, np.ndarray]], object], step: Callable[[object, dict[str, np.ndarray]], dict[str, np.ndarray]],
+    outputs: dict[str, T.DataType], drop: Sequence[str] = (),
+) -> DataFrame:
+    """Like ``ordered_fold`` with one output row per input row, on bare arrays.
+
+    ``step`` gets the input columns of a slice and returns the new columns; all other
+    columns pass through untouched.
+    """
+    names, needed = list(keys), list(inputs)
+    passed = [f for f in df.schema.fields if f.name not in drop]
+    schema = T.StructType([*passed, *[T.StructField(n, t) for n, t in outputs.items()]])
+    kept = [f.name for f in passed]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            arrays = {c: pdf[c].to_numpy() for c in needed}
+            parts: dict[str, list] = {n: [] for n in outputs}
+            for key, begin, end in _slices(pdf, names):
+                piece = {c: a[begin:end] for c, a in arrays.items()}
+                if key != current:
+                    current, state = key, start(piece)
+                for name, values in step(state, piece).items():
+                    parts[name].append(values)
+            yield pdf[kept].assign(**{n: np.concatenate(v) for n, v in parts.items()})
+
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+
+
 def linear_recurrence(
     df: DataFrame, keys: Sequence[str], seq: str, a: Column, b: Column, start: float,
     target: str, before: str | None = None, chunk: int = 4096,
@@ -203,46 +244,32 @@ def linear_recurrence(
     """
     rows = df.withColumn("_c", F.floor(F.col(seq) / chunk)).withColumn("_a", a).withColumn("_bb", b)
     inner = [*keys, "_c"]
-    slim = rows.select(*inner, seq, "_a", "_bb")
-    key_schema = [f for f in slim.schema.fields if f.name in inner]
-
-    def begin(part: pd.DataFrame) -> dict:
-        return {"key": part.iloc[:1][inner].copy(), "A": 1.0, "B": 0.0}
-
-    def absorb(state: dict, part: pd.DataFrame) -> None:
-        for x, y in zip(part["_a"].to_numpy(), part["_bb"].to_numpy()):
-            state["A"], state["B"] = x * state["A"], x * state["B"] + y
-
-    def emit(state: dict) -> pd.DataFrame:
-        return state["key"].assign(_A=state["A"], _B=state["B"])
-
-    ordered_keys = [next(f for f in key_schema if f.name == k) for k in inner]
-    chunk_schema = T.StructType([*ordered_keys, T.StructField("_A", T.DoubleType()), T.StructField("_B", T.DoubleType())])
-    chunks = ordered_fold(slim, inner, [seq], begin, absorb, chunk_schema, emit)
+    # A chunk holds at most ``chunk`` rows, so it is reduced to A and B as one small array.
+    chunks = rows.groupBy(*inner).agg(F.array_sort(F.collect_list(F.struct(seq, "_a", "_bb"))).alias("_rows")).withColumn(
+        "_t", F.expr("aggregate(_rows, struct(1D AS A, 0D AS B), (t, r) -> struct(r._a * t.A AS A, r._a * t.B + r._bb AS B))"))
     entries = (
-        chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_A", "_B"))).alias("_s"))
+        chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_t"))).alias("_s"))
         .select(*keys, F.explode(F.expr(
             f"aggregate(_s, array(struct(-1L AS c, {start!r}D AS entry, {start!r}D AS leave)), (acc, x) -> concat(acc, array(struct("
-            "x._c AS c, element_at(acc, -1).leave AS entry, x._A * element_at(acc, -1).leave + x._B AS leave))))"
+            "x._c AS c, element_at(acc, -1).leave AS entry, x._t.A * element_at(acc, -1).leave + x._t.B AS leave))))"
         )).alias("_e"))
         .select(*keys, F.col("_e.c").alias("_c"), F.col("_e.entry").alias("_entry"))
     )
     before = before or "_before"
 
-    def enter(part: pd.DataFrame) -> dict:
-        return {"y": float(part["_entry"].iloc[0])}
+    def enter(piece: dict[str, np.ndarray]) -> list[float]:
+        return [float(piece["_entry"][0])]
 
-    def walk(state: dict, part: pd.DataFrame) -> pd.DataFrame:
-        y, out, prior = state["y"], [], []
-        for p, q in zip(part["_a"].to_numpy(), part["_bb"].to_numpy()):
-            prior.append(y)
+    def walk(state: list[float], piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        y = state[0]
+        ys = [y]
+        for p, q in zip(piece["_a"].tolist(), piece["_bb"].tolist()):
             y = p * y + q
-            out.append(y)
-        state["y"] = y
-        return part.drop(columns=["_c", "_a", "_bb", "_entry"]).assign(**{before: prior, target: out})
-
-    joined = rows.join(entries, inner)
-    kept = [f for f in joined.schema.fields if f.name not in ("_c", "_a", "_bb", "_entry")]
-    out_schema = T.StructType([*kept, T.StructField(before, T.DoubleType()), T.StructField(target, T.DoubleType())])
-    walked = ordered_fold(joined, inner, [seq], enter, walk, out_schema)
+            ys.append(y)
+        state[0] = y
+        return {before: np.asarray(ys[:-1]), target: np.asarray(ys[1:])}
+
+    walked = ordered_scan(
+        rows.join(entries, inner), inner, [seq], ["_a", "_bb", "_entry"], enter, walk,
+        {before: T.DoubleType(), target: T.DoubleType()}, drop=["_c", "_a", "_bb", "_entry"])
     return walked if before != "_before" else walked.drop("_before")

@@ -6,7 +6,6 @@ Everything a step needs is in ``DetectorState``; its size does not grow with the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import ordered_fold
 from tidewatch.operators.baseline import ema_update, ensure_psd, learning_rate
-from tidewatch.operators.detect import Whitener, contribution_map
+from tidewatch.operators.detect import contribution_map, whiten_one
 from tidewatch.settings import (
     CUSUM_C1, CUSUM_C2, CUSUM_H, CUSUM_WINDOW, EMA_RATE, IDLE_SECONDS, INTERACTION, K_SIGMA, PLATT_SLOPE, SEQUENTIAL, TEMPORAL,
     TZ_SHIFT_MULTIPLIER,
@@ -55,7 +54,7 @@ class DetectorState:
     tz: int | None = None
     tz_until: int = 0
     probabilities: list[float] = field(default_factory=list)
-    distances: list[float] = field(default_factory=list)
+    distances: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def generic_baseline(cfg: DetectorConfig, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +67,10 @@ def _probability(z: float) -> float:
     return float(1.0 / (1.0 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1.0 + np.exp(z)))
 
 
-def _stability(distances: Sequence[float], least: int) -> float:
+def _stability(distances: np.ndarray, least: int) -> float:
     if len(distances) < least:
         return 1.0
-    near, spread = np.asarray(distances[-50:]), float(np.std(distances))
+    near, spread = distances[-50:], float(np.std(distances))
     return 0.0 if spread < 1e-6 else float(np.median(np.abs(near - np.median(near))) / spread)
 
 
@@ -104,8 +103,9 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
         mean = w * generic_mean + (1 - w) * state.mean
         cov = ensure_psd(w * generic_cov + (1 - w) * state.cov, generic_cov)
 
-    distance, parts = Whitener(mean, cov).score(x[None, :], mask[None, :])
-    d = float(distance[0])
+    parts = whiten_one(mean, cov, (x - mean) * mask)
+    observed = mask.sum()
+    d = float(np.sqrt(parts.sum() * len(x) / observed)) if observed > 0 else 0.0
     limit = state.distance_mean + cfg.k * state.distance_std if state.distance_std > 0 else cfg.k * np.sqrt(len(x))
     if state.tz_until > now:
         limit *= TZ_SHIFT_MULTIPLIER
@@ -114,7 +114,7 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     recent = [*state.probabilities, raw][-cfg.smoothing:]
     state.probabilities = recent
     probability = raw if len(recent) < cfg.smoothing else float(np.median(recent))
-    state.distances = [*state.distances, d][-LONG_HISTORY:]
+    state.distances = np.append(state.distances, d)[-LONG_HISTORY:]
 
     z = d / (limit / cfg.k) if limit > 0 else 0.0
     threat, level = "NONE", _severity(z, anomalous)
@@ -158,7 +158,7 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     state.last_ms = now
     return {
         "distance": d, "threshold": float(limit), "is_anomaly": bool(anomalous), "probability": probability, "threat_type": threat,
-        "severity": level, "drift": bool(drift), "learned": bool(learned), "contributions": contribution_map(parts[0]),
+        "severity": level, "drift": bool(drift), "learned": bool(learned), "contributions": contribution_map(parts),
         "distance_mean": state.distance_mean, "distance_std": state.distance_std, "cusum_pos": state.cusum_pos,
         "cusum_neg": state.cusum_neg, "cusum_h": state.cusum_h,
     }

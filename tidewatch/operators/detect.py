@@ -37,6 +37,15 @@ class Whitener:
         return np.sqrt(np.maximum(parts.sum(axis=1) * scale, 0.0)), parts
 
 
+def whiten_one(mean: np.ndarray, cov: np.ndarray, diff: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Squared whitened parts of a single difference, without inverting the matrix."""
+    try:
+        z = np.linalg.solve(np.linalg.cholesky(cov + ridge * np.eye(len(mean))), diff)
+    except np.linalg.LinAlgError:
+        z = Whitener(mean, cov, ridge).matrix @ diff
+    return z * z
+
+
 def contribution_map(parts: np.ndarray, top: int = 5, least: float = 0.05) -> dict[int, float]:
     """Largest shares of the squared distance above ``least``; the higher index on ties."""
     total = parts.sum()

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.functions.ordered import framed, linear_recurrence, ordered_fold, running
+from tidewatch.functions.ordered import framed, linear_recurrence, ordered_scan, running
 from tidewatch.settings import CUSUM_C1, CUSUM_C2, CUSUM_WINDOW, EMA_RATE
 
 KEY = ["device_id"]
@@ -42,31 +42,30 @@ def tuned_cusum(
     The restart makes each state depend on the last one, so a device is walked in order.
     Batches are streamed: a task holds two numbers per device, not its history.
     """
-    cols = [*KEY, "seq", value, mean, sigma]
 
-    def begin(part: pd.DataFrame) -> list[float]:
+    def begin(piece: dict[str, np.ndarray]) -> list[float]:
         return [0.0, 0.0]
 
-    def walk(state: list[float], part: pd.DataFrame) -> pd.DataFrame:
+    def walk(state: list[float], piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         pos, neg = state
-        n = len(part)
-        out_pos, out_neg, drift = np.empty(n), np.empty(n), np.zeros(n, dtype=bool)
-        dev = part[value].to_numpy(float) - part[mean].to_numpy(float)
-        spread = part[sigma].to_numpy(float)
+        spread = piece[sigma].astype(float)
+        dev = (piece[value].astype(float) - piece[mean].astype(float)).tolist()
         delta, h = c1 * spread, c2 * spread
-        for i in range(n):
-            pos = max(0.0, pos + dev[i] - delta[i])
-            neg = max(0.0, neg - dev[i] - delta[i])
-            if pos > h[i] or neg > h[i]:
-                drift[i] = True
+        out_pos, out_neg, drift = [], [], []
+        for d, allowed, limit in zip(dev, delta.tolist(), h.tolist()):
+            pos, neg = max(0.0, pos + d - allowed), max(0.0, neg - d - allowed)
+            alarm = pos > limit or neg > limit
+            if alarm:
                 pos = neg = 0.0
-            out_pos[i], out_neg[i] = pos, neg
+            out_pos.append(pos)
+            out_neg.append(neg)
+            drift.append(alarm)
         state[0], state[1] = pos, neg
-        return part.assign(cusum_pos=out_pos, cusum_neg=out_neg, drift=drift, h=h)
+        return {"cusum_pos": np.asarray(out_pos), "cusum_neg": np.asarray(out_neg), "drift": np.asarray(drift), "h": h}
 
-    slim = series.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return ordered_fold(slim, KEY, ["seq"], begin, walk, schema + ", cusum_pos double, cusum_neg double, drift boolean, h double")
+    slim = series.select(*KEY, "seq", value, mean, sigma)
+    kinds = {"cusum_pos": T.DoubleType(), "cusum_neg": T.DoubleType(), "drift": T.BooleanType(), "h": T.DoubleType()}
+    return ordered_scan(slim, KEY, ["seq"], [value, mean, sigma], begin, walk, kinds)
 
 
 def smoothed(series: DataFrame, value: str = "value", window: int = 5, chunk: int = 50_000) -> DataFrame:

@@ -19,6 +19,9 @@ def get_spark(app: str = "tidewatch", cores: str | int = "*", shuffle_partitions
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TIDEWATCH_DRIVER_MEMORY", "8g"))
+        # Above this size the JVM would interpret a generated method instead of compiling it.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -18,9 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ntz_to_millis(ts: Column) -> Column:
     """Epoch millis of a wall-clock timestamp, independent of the session time zone."""
-    day = F.unix_date(ts.cast("date")).cast("long")
-    micros = (F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
-    return day * 86400000 + F.hour(ts).cast("long") * 3600000 + F.minute(ts).cast("long") * 60000 + micros
+    # The cast reads the wall clock in the session zone; the shift back by the same zone undoes it.
+    return F.unix_millis(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
 def _pick(index: Column, values: list[str]) -> Column:

@@ -113,7 +113,7 @@ def _load(values: tuple) -> AD.DetectorState:
     s = AD.DetectorState(*values)
     s.mean = None if s.mean is None else np.asarray(s.mean, float)
     s.cov = None if s.cov is None else np.asarray(s.cov, float).reshape(len(s.mean), -1)
-    s.probabilities, s.distances = [float(v) for v in s.probabilities], [float(v) for v in s.distances]
+    s.probabilities, s.distances = [float(v) for v in s.probabilities], np.asarray(s.distances, float)
     return s
 
 
