@@ -247,14 +247,17 @@ def linear_recurrence(
     # A chunk holds at most ``chunk`` rows, so it is reduced to A and B as one small array.
     chunks = rows.groupBy(*inner).agg(F.array_sort(F.collect_list(F.struct(seq, "_a", "_bb"))).alias("_rows")).withColumn(
         "_t", F.expr("aggregate(_rows, struct(1D AS A, 0D AS B), (t, r) -> struct(r._a * t.A AS A, r._a * t.B + r._bb AS B))"))
-    entries = (
-        chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_t"))).alias("_s"))
-        .select(*keys, F.explode(F.expr(
-            f"aggregate(_s, array(struct(-1L AS c, {start!r}D AS entry, {start!r}D AS leave)), (acc, x) -> concat(acc, array(struct("
-            "x._c AS c, element_at(acc, -1).leave AS entry, x._t.A * element_at(acc, -1).leave + x._t.B AS leave))))"
-        )).alias("_e"))
-        .select(*keys, F.col("_e.c").alias("_c"), F.col("_e.entry").alias("_entry"))
-    )
+
+    def chain(state: list[float], piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        entry = []
+        for x, y in zip(piece["_A"].tolist(), piece["_B"].tolist()):
+            entry.append(state[0])
+            state[0] = x * state[0] + y
+        return {"_entry": np.asarray(entry)}
+
+    entries = ordered_scan(
+        chunks.select(*inner, F.col("_t.A").alias("_A"), F.col("_t.B").alias("_B")), keys, ["_c"], ["_A", "_B"],
+        lambda piece: [start], chain, {"_entry": T.DoubleType()}, drop=["_A", "_B"])
     before = before or "_before"
 
     def enter(piece: dict[str, np.ndarray]) -> list[float]:

@@ -46,9 +46,8 @@ def feature_windows(windows: DataFrame) -> DataFrame:
 
 
 def _add(df: DataFrame, **columns: str) -> DataFrame:
-    for name, text in columns.items():
-        df = df.withColumn(name, F.expr(text))
-    return df
+    """Adds columns in one projection; each may use the ones named before it."""
+    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in columns.items()])
 
 
 def temporal(df: DataFrame) -> DataFrame:
@@ -128,14 +127,14 @@ def burstiness(df: DataFrame) -> DataFrame:
 def interaction(df: DataFrame) -> DataFrame:
     """Adds ``f_keys``, ``f_touch``, ``f_swipe`` (5 each) and ``f_combined`` (5)."""
     df = burstiness(df)
+    timed: dict[str, str] = {}
     for name, kind in (("keys", "KEYSTROKE"), ("touch", "TOUCH"), ("swipe", "SWIPE")):
-        df = df.withColumn(f"_v_{name}", F.expr(f"transform(filter(ev, e -> e.kind = '{kind}' AND e.v IS NOT NULL), e -> e.v)"))
-        df = df.withColumn(
-            f"_m_{name}", F.expr(f"IF(size(_v_{name}) = 0, 0D, aggregate(_v_{name}, 0D, (a, x) -> a + x) / size(_v_{name}))")
-        )
-        df = df.withColumn(f"f_{name}", F.expr(_stats(f"_v_{name}", f"_m_{name}")))
+        timed[f"_v_{name}"] = f"transform(filter(ev, e -> e.kind = '{kind}' AND e.v IS NOT NULL), e -> e.v)"
+        timed[f"_m_{name}"] = f"IF(size(_v_{name}) = 0, 0D, aggregate(_v_{name}, 0D, (a, x) -> a + x) / size(_v_{name}))"
+        timed[f"f_{name}"] = _stats(f"_v_{name}", f"_m_{name}")
     return _add(
         df,
+        **timed,
         _n="greatest(size(ev), 1)",
         _net="transform(filter(ev, e -> e.kind IN ('NETWORK_TRAFFIC', 'NETWORK_APP')), e -> e.v)",
         _net_signal="least(1D, size(_net) / _n + least(aggregate(_net, 0D, (a, x) -> a + x) / 1048576D / 10D, 1D) * 0.5D)",

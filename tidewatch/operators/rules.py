@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewatch.functions.domains import normalise_domain, suffixes
-from tidewatch.functions.text import fixed
+from tidewatch.functions.ordered import ordered_scan
 from tidewatch.functions.payload import num, parse_payload, text_list, truthy
+from tidewatch.functions.text import fixed
 from tidewatch.settings import COOLDOWN_SECONDS
 
 MB = 1024.0 * 1024.0
-_STEPS = T.ArrayType(T.StructType([T.StructField("upto", T.LongType()), T.StructField("out", T.LongType())]))
+_STEPS = T.StructType([T.StructField("upto", T.ArrayType(T.LongType())), T.StructField("out", T.ArrayType(T.LongType()))])
 
 
 def package_candidates(fields: Sequence[str] = ("package", "packageName", "targetPackage")) -> Column:
@@ -243,14 +244,14 @@ def _arrivals_to_exits(ms: np.ndarray, gap: int) -> np.ndarray:
 
 
 @F.pandas_udf(_STEPS)
-def slab_steps(times: pd.Series, gap: pd.Series) -> pd.Series:
+def slab_steps(times: pd.Series, gap: pd.Series) -> pd.DataFrame:
     """Step function of a slab: entering ready at or before ``upto`` leaves with ``out`` kept last."""
     result = []
     for ms, g in zip(times, gap):
         exits = _arrivals_to_exits(ms, int(g))
         last = np.append(exits[1:] != exits[:-1], True)
-        result.append([{"upto": int(a), "out": int(b)} for a, b in zip(ms[last], exits[last])])
-    return pd.Series(result)
+        result.append((ms[last], exits[last]))
+    return pd.DataFrame(result, columns=["upto", "out"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -281,29 +282,26 @@ def greedy_cooldown(
     """
     if gap_ms <= 0:
         return alerts
-    slab_ms = max(slab_ms or 6 * 3_600_000, gap_ms)
+    slab_ms = max(slab_ms or 3_600_000, gap_ms)
     keys = list(keys)
     times = (
         alerts.groupBy(*keys, F.floor(F.col(ts_ms) / slab_ms).alias("_slab"))
         .agg(F.array_sort(F.collect_set(ts_ms)).alias("_times"))
     )
-    never = -(1 << 60)
-    chained = (
-        times.withColumn("_steps", slab_steps(F.col("_times"), F.lit(gap_ms)))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slab", "_steps"))).alias("_chain"))
-        .withColumn(
-            "_entries",
-            F.expr(
-                f"aggregate(_chain, array(struct(CAST(NULL AS BIGINT) AS slab, {never}L AS entry, {never}L AS ready)), (acc, s) -> "
-                "concat(acc, array(struct(s._slab AS slab, element_at(acc, -1).ready AS entry, "
-                f"coalesce(get(filter(s._steps, p -> p.upto >= element_at(acc, -1).ready), 0).out + {gap_ms}L, "
-                "element_at(acc, -1).ready) AS ready))))"
-            ),
-        )
-    )
-    entries = chained.select(*keys, F.explode(F.slice("_entries", 2, F.size("_chain"))).alias("_e")).select(
-        *keys, F.col("_e.slab").alias("_slab"), F.col("_e.entry").alias("_entry")
-    )
+    steps = times.withColumn("_s", slab_steps(F.col("_times"), F.lit(gap_ms))).select(
+        *keys, "_slab", F.col("_s.upto").alias("_upto"), F.col("_s.out").alias("_out"))
+
+    def chain(state: list[int], piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        entry = []
+        for upto, out in zip(piece["_upto"], piece["_out"]):
+            entry.append(state[0])
+            i = int(np.searchsorted(upto, state[0], side="left"))
+            if i < len(out):
+                state[0] = int(out[i]) + gap_ms
+        return {"_entry": np.asarray(entry, dtype=np.int64)}
+
+    entries = ordered_scan(
+        steps, keys, ["_slab"], ["_upto", "_out"], lambda piece: [-(1 << 60)], chain, {"_entry": T.LongType()}, drop=["_upto", "_out"])
     kept = times.join(entries, [*keys, "_slab"]).select(
         *keys, F.explode(slab_kept(F.col("_times"), F.col("_entry"), F.lit(gap_ms))).alias(ts_ms)
     )
