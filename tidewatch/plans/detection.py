@@ -81,6 +81,18 @@ def d1_full(spark, sf_dir):
     return D.score_vectors(v, B.fit_baselines(v, ["label"], "vec_id"), "label", ["vec_id"]).select("vec_id", "label", "distance")
 
 
+@query("d1_full_two_dimensions", with_ctes("""
+v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+m AS (SELECT label, avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-6 AS a, covar_samp(x, y) AS b, var_samp(y) + 1e-6 AS c FROM v GROUP BY label)""", """
+SELECT vec_id, label, round(sqrt((c * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * c - b * b)), 6) AS distance
+FROM v JOIN m USING (label)"""))
+def d1_two(spark, sf_dir):
+    """Full covariance against the closed form of a 2 x 2 inverse."""
+    v = vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 2))
+    out = D.score_vectors(v, B.fit_baselines(v, ["label"], "vec_id", chunk=20), "label", ["vec_id"], rows_per_task=20)
+    return out.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
 @query("d2_masked_mahalanobis", with_ctes(_EMB, "SELECT vec_id, label, round(masked, 6) AS distance FROM dist"))
 def d2(spark, sf_dir):
     return scored(spark, sf_dir, "mask").select("vec_id", "label", F.round("distance", 6).alias("distance"))
