@@ -54,8 +54,7 @@ def test_running_and_framed(skewed):
     w = Window.partitionBy("k").orderBy("seq")
     want = {r["id"]: r for r in s.select(
         "id", F.sum("v").over(w).alias("a"), F.min("v").over(w).alias("b"), F.avg("v").over(w.rowsBetween(-6, 0)).alias("c")).collect()}
-    got = O.running(s, ["k"], "seq", F.col("v"), "a", "sum", 50)
-    got = O.running(got, ["k"], "seq", F.col("v"), "b", "min", 50)
+    got = O.running(s, ["k"], "seq", {"a": ("sum", F.col("v")), "b": ("min", F.col("v"))}, 50)
     got = O.framed(got, ["k"], "seq", 6, lambda frame: {"c": F.avg("v").over(frame(7))}, 20)
     rows = got.collect()
     assert len(rows) == len(want)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidewatch.session import materialise
+
 BUCKET_MS = 6 * 3_600_000
 ID_BUCKET = 65_536
 
@@ -106,23 +108,27 @@ def carry_forward(
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], seq: str, value: Column, target: str, how: str = "sum", chunk: int = 50_000,
+    df: DataFrame, keys: Sequence[str], seq: str, columns: dict[str, tuple[str, Column]], chunk: int = 50_000,
 ) -> DataFrame:
-    """Running sum or minimum in ``seq`` order, cut into chunks of consecutive rows."""
-    combine = {"sum": F.sum, "min": F.min}[how]
-    rows = df.withColumn("_c", F.floor(F.col(seq) / chunk)).withColumn("_v", value)
+    """Running sums or minima in ``seq`` order, cut into chunks of consecutive rows.
+
+    ``columns`` maps each new column to ("sum" or "min", value); all share the same pass.
+    """
+    ops = {"sum": F.sum, "min": F.min}
+    rows = df.withColumn("_c", F.floor(F.col(seq) / chunk)).select(
+        "*", *[value.alias(f"_v_{n}") for n, (_, value) in columns.items()])
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*keys, "_c").agg(combine("_v").alias("_t"))
-        .withColumn("_carry", combine("_t").over(before)).drop("_t")
-    )
     inside = Window.partitionBy(*keys, "_c").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumn("_run", combine("_v").over(inside)).join(carry, [*keys, "_c"])
-    if how == "sum":
-        out = F.col("_run") + F.coalesce("_carry", F.lit(0.0))
-    else:
-        out = F.least("_run", "_carry")
-    return joined.withColumn(target, out).drop("_c", "_v", "_run", "_carry")
+    carry = rows.groupBy(*keys, "_c").agg(*[ops[how](f"_v_{n}").alias(f"_t_{n}") for n, (how, _) in columns.items()]).select(
+        *keys, "_c", *[ops[how](f"_t_{n}").over(before).alias(f"_carry_{n}") for n, (how, _) in columns.items()])
+    joined = rows.select("*", *[ops[how](f"_v_{n}").over(inside).alias(f"_run_{n}") for n, (how, _) in columns.items()]).join(
+        carry, [*keys, "_c"])
+
+    def total(name: str, how: str) -> Column:
+        run, brought = F.col(f"_run_{name}"), F.col(f"_carry_{name}")
+        return run + F.coalesce(brought, F.lit(0.0)) if how == "sum" else F.least(run, brought)
+
+    return joined.select(*df.columns, *[total(n, how).alias(n) for n, (how, _) in columns.items()])
 
 
 def framed(
@@ -243,6 +249,7 @@ def linear_recurrence(
     row per chunk) and then every chunk is walked on its own with its true start value.
     """
     rows = df.withColumn("_c", F.floor(F.col(seq) / chunk)).withColumn("_a", a).withColumn("_bb", b)
+    rows = materialise(rows, "recurrence")  # read twice below: reduced to chunks, then walked
     inner = [*keys, "_c"]
     # A chunk holds at most ``chunk`` rows, so it is reduced to A and B as one small array.
     chunks = rows.groupBy(*inner).agg(F.array_sort(F.collect_list(F.struct(seq, "_a", "_bb"))).alias("_rows")).withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.ordered import framed, linear_recurrence, ordered_scan, running
+from tidewatch.session import materialise
 from tidewatch.settings import CUSUM_C1, CUSUM_C2, CUSUM_WINDOW, EMA_RATE
 
 KEY = ["device_id"]
@@ -25,13 +26,13 @@ def rolling_sigma(series: DataFrame, value: str = "value", window: int = CUSUM_W
 
 def cusum(series: DataFrame, mean: float, allowance: float, value: str = "value", chunk: int = 50_000) -> DataFrame:
     """Two-sided CUSUM without reset: prefix sums less their running minimum, fully parallel."""
-    out = series
-    for side, sign in (("pos", 1.0), ("neg", -1.0)):
-        step = (F.col(value) - mean) * sign - allowance
-        out = running(out, KEY, "seq", step, "_p", "sum", chunk)
-        out = running(out, KEY, "seq", F.col("_p"), "_m", "min", chunk)
-        out = out.withColumn(f"cusum_{side}", F.col("_p") - F.least(F.lit(0.0), F.col("_m"))).drop("_p", "_m")
-    return out
+    sides = {"pos": 1.0, "neg": -1.0}
+    out = materialise(series, "series")  # every pass reads its input twice
+    out = running(out, KEY, "seq", {f"_p_{s}": ("sum", (F.col(value) - mean) * sign - allowance) for s, sign in sides.items()}, chunk)
+    out = running(out, KEY, "seq", {f"_m_{s}": ("min", F.col(f"_p_{s}")) for s in sides}, chunk)
+    for s in sides:
+        out = out.withColumn(f"cusum_{s}", F.col(f"_p_{s}") - F.least(F.lit(0.0), F.col(f"_m_{s}")))
+    return out.drop(*[f"_{x}_{s}" for x in "pm" for s in sides])
 
 
 def tuned_cusum(

@@ -81,9 +81,9 @@ def close_rounds(
 
 def federation_status(updates: DataFrame, clients: DataFrame) -> DataFrame:
     """Pending updates per round with the number of registered clients and the dimension."""
-    n_clients = clients.agg(F.count_distinct("client_id").alias("registered_clients")).withColumn("_one", F.lit(1))
+    n_clients = clients.agg(F.count_distinct("client_id").alias("n"))
     pending = updates.groupBy("round_id").agg(F.count(F.lit(1)).alias("pending"), F.max(F.size("weights_delta")).alias("weights_dim"))
-    return pending.withColumn("_one", F.lit(1)).join(n_clients, "_one").drop("_one")
+    return pending.select("*", F.coalesce(n_clients.scalar(), F.lit(0)).alias("registered_clients"))
 
 
 def drop_stale_clients(clients: DataFrame, as_of_ms: int, days: int = 7) -> DataFrame:

@@ -49,7 +49,7 @@ def a20(spark, sf_dir):
 @query("a20_fleet_covariance", with_ctes(_EMB, """
 SELECT a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM u a JOIN u b USING (vec_id) GROUP BY ALL"""))
 def a20_fleet(spark, sf_dir):
-    fleet = B.fit_baselines(vectors(spark, sf_dir).withColumn("fleet", F.lit("all")), ["fleet"], "vec_id", chunk=100)
+    fleet = B.fit_baselines(vectors(spark, sf_dir).withColumn("fleet", F.when(F.col("vec_id").isNotNull(), "all")), ["fleet"], "vec_id", chunk=100)
     return fleet.select(F.posexplode("cov").alias("p", "cov")).select(
         F.expr("CAST(p div 64 AS INT)").alias("i"), (F.col("p") % 64).alias("j"), F.round("cov", 6).alias("cov"))
 

@@ -113,10 +113,10 @@ def s7(spark, sf_dir):
         F.struct(F.round(F.avg("quality"), 6).alias("tabular")).alias("weights"),
         F.struct(F.round(F.avg("toxic"), 6).alias("text")).alias("thresholds"),
     ).write.json(path)
-    fallback = tables.stored_baseline(spark, None, 64).select(
-        F.lit(1).alias("_one"), F.size("mean").alias("dims"), F.expr("aggregate(cov, 0D, (a, x) -> a + x)").alias("trace")
-    )
-    return tables.ensemble_config(spark, path).withColumn("_one", F.lit(1)).join(fallback, "_one").drop("_one")
+    fallback = tables.stored_baseline(spark, None, 64)
+    return tables.ensemble_config(spark, path).select(
+        "*", fallback.select(F.size("mean")).scalar().alias("dims"),
+        fallback.select(F.expr("aggregate(cov, 0D, (a, x) -> a + x)")).scalar().alias("trace"))
 
 
 @query("s8_exports", with_ctes(ALR, """

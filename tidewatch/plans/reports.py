@@ -138,9 +138,9 @@ UNION ALL SELECT 'alerts', count(*) FILTER (created_ms >= {AS_OF} - 20 * 8640000
 def u2(spark, sf_dir):
     out = None
     for name, df, time in (("events", telemetry(spark, sf_dir), "ts_ms"), ("alerts", alerts(spark, sf_dir), "created_ms")):
-        kept = R.retain(df, time, AS_OF, 20).agg(F.lit(1).alias("_one"), F.count(F.lit(1)).alias("kept"))
-        gone = R.expired_count(df, time, AS_OF, 20).withColumn("_one", F.lit(1))
-        row = kept.join(gone, "_one").select(F.lit(name).alias("tab"), "kept", "removed")
+        kept = R.retain(df, time, AS_OF, 20).agg(F.count(F.lit(1)).alias("kept"))
+        gone = R.expired_count(df, time, AS_OF, 20)
+        row = kept.unionByName(gone, allowMissingColumns=True).agg(F.lit(name).alias("tab"), F.sum("kept").alias("kept"), F.sum("removed").alias("removed"))
         out = row if out is None else out.unionByName(row)
     return out
 

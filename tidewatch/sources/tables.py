@@ -78,31 +78,31 @@ def ensemble_config(spark: SparkSession, path: str | None = None) -> DataFrame:
         "weights STRUCT<tabular:DOUBLE,text:DOUBLE>, thresholds STRUCT<tabular:DOUBLE,text:DOUBLE,ensemble:DOUBLE>"
     )
     stored = spark.read.schema(ddl).option("multiLine", True).json(path).limit(1).select(
-        F.lit(1).alias("_one"),
-        F.col("weights.tabular").alias("_w_tabular"), F.col("weights.text").alias("_w_text"),
-        F.col("thresholds.tabular").alias("_t_tabular"), F.col("thresholds.text").alias("_t_text"),
-        F.col("thresholds.ensemble").alias("_t_ensemble"),
-    )
-    return defaults.withColumn("_one", F.lit(1)).join(stored, "_one", "left").select(
-        *[F.coalesce(F.col(f"_{k}"), F.col(k)).alias(k) for k in ENSEMBLE_DEFAULTS]
+        F.col("weights.tabular").alias("w_tabular"), F.col("weights.text").alias("w_text"),
+        F.col("thresholds.tabular").alias("t_tabular"), F.col("thresholds.text").alias("t_text"),
+        F.col("thresholds.ensemble").alias("t_ensemble"),
     )
+    return _first_given(stored, defaults)
+
+
+def _first_given(stored: DataFrame, fallback: DataFrame) -> DataFrame:
+    """One row: each column from ``stored`` where it has a value, else from ``fallback``."""
+    both = stored.withColumn("_rank", F.lit(1)).unionByName(fallback.withColumn("_rank", F.lit(0)))
+    return both.agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_rank"))).alias(c) for c in fallback.columns])
 
 
 def stored_baseline(spark: SparkSession, path: str | None, dim: int) -> DataFrame:
     """Fleet baseline from a JSON file, or zeros and identity where it is missing or misfits."""
     fallback = spark.range(1).select(
-        F.lit(1).alias("_one"),
-        F.array_repeat(F.lit(0.0), dim).alias("_mean"),
-        F.expr(f"transform(sequence(0, {dim * dim - 1}), i -> IF(i % {dim + 1} = 0, 1D, 0D))").alias("_cov"),
+        F.array_repeat(F.lit(0.0), dim).alias("mean"),
+        F.expr(f"transform(sequence(0, {dim * dim - 1}), i -> IF(i % {dim + 1} = 0, 1D, 0D))").alias("cov"),
     )
     if not path:
-        return fallback.select(F.col("_mean").alias("mean"), F.col("_cov").alias("cov"))
+        return fallback
     stored = (
         spark.read.schema("baseline_mean ARRAY<DOUBLE>, baseline_covariance ARRAY<ARRAY<DOUBLE>>")
         .option("multiLine", True).json(path).limit(1)
         .filter(F.size("baseline_mean") == dim)
-        .select(F.lit(1).alias("_one"), "baseline_mean", F.flatten("baseline_covariance").alias("_flat"))
-    )
-    return fallback.join(stored, "_one", "left").select(
-        F.coalesce("baseline_mean", "_mean").alias("mean"), F.coalesce("_flat", "_cov").alias("cov")
+        .select(F.col("baseline_mean").alias("mean"), F.flatten("baseline_covariance").alias("cov"))
     )
+    return _first_given(stored, fallback)
