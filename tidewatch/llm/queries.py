@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, mixing, secrets, sharding
+from tidewatch.llm import exact_dedup, mixing, ngram_join, secrets, sharding
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,26 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    "op9_ngram_join",
+    """
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])
+                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS v FROM d),
+    n AS (SELECT doc_id, CAST(len(v) AS BIGINT) AS n FROM s),
+    i AS (SELECT doc_id, unnest(v) AS g FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM i a JOIN i b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+          WHERE 100 * p.c >= 90 * (x.n + y.n - p.c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(node, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+    SELECT node AS doc_id, any_value(n.n) AS n_shingles, min(reach) AS component_id
+    FROM r JOIN n ON n.doc_id = r.node GROUP BY node""",
+)
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.shingle_components(table(spark, sf_dir, "documents"), n=3, percent=90)
