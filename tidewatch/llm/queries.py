@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, mixing, ngram_join, secrets, sharding
-from tidewatch.llm.common import table
+from tidewatch.llm import exact_dedup, language, mixing, ngram_join, secrets, sharding, toxicity
+from tidewatch.llm.common import share_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,21 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.filter(share_of_id("doc_id", 4) != 2).select(F.col("doc_id").alias("id"), "text", "lang")
+    held = F.coalesce(share_of_id("doc_id", 4) == 2, F.lit(False))
+    found = language.identify_language(docs.select("doc_id", held.alias("held_out"), "text"), language.train(known), keep_text=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.learning_rows(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(share_of_id("doc_id", 5) == 0, F.lit(False))
+    found = toxicity.score_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model, keep_text=False)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
