@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language, mixing, ngram_join, secrets, sharding, toxicity
+from tidewatch.llm import chat, decontaminate, exact_dedup, language, mixing, ngram_join, secrets, sharding, toxicity, warc
 from tidewatch.llm.common import share_of_id, table
+from tidewatch.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,3 +177,58 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(share_of_id("doc_id", 5) == 0, F.lit(False))
     found = toxicity.score_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model, keep_text=False)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ESCAPED = "regexp_replace({}, '(\\\\|###|</turn>{})', '\\\\\\1', 'g')"
+_TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op3_chat_format",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{_TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{_TRICKY}')
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(15 + length({_ESCAPED.format("role", "|:")}) + length({_ESCAPED.format("text", "")})) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id""",
+)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRICKY).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(chat.rows_to_events(rows)))
+
+
+@query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+    f AS (SELECT body, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY body)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+           CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN f ON f.body = p.body AND p.n >= 1000""",
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
+    back = warc.read_warc(spark, path, ["record_type", "page_id", "refers_to", "payload_digest", "payload_length", "payload"])
+    full = F.col("record_type") == "response"
+    return back.select(
+        "page_id",
+        F.when(full, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
+    )
