@@ -1,15 +1,35 @@
-"""From raw documents to a sharded training mix. Counted as part of the subpackage llm."""
+"""From raw documents to a sharded training mix. Counted as part of the subpackage llm.
+
+Each stage works on all rows its predecessor kept and, but for the last, returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, sharding
+from tidewatch.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from tidewatch.llm.common import table, without
 from tidewatch.session import materialise
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5. The model is fitted on the labelled rows that are not held out."""
+    model = toxicity.train(toxicity.learning_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return without(toxicity.score_toxicity(docs, model).filter("score < 0.5"), ["score"])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the document with the smallest id."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of its source draws it."""
+    """Each document as often as the mixture of the sources draws it."""
     return mixing.mix_documents(docs)
 
 
@@ -18,7 +38,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=8)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("toxicity", toxic),
+    ("near_copies", near_copies),
+    ("decontamination", leaks),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
 #: The first stage is a fitted classifier, which SQL cannot express.
 ORACLE_SQL = None
@@ -26,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; each is written once to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

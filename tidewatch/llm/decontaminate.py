@@ -91,6 +91,14 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[i
     return (edits, int(begin[k]), int(at[k] + len(pattern))) if edits <= most else (most + 1, 0, 0)
 
 
+def _aligned(text: bytes, pattern: bytes) -> int:
+    """First code point of ``text`` where ``pattern`` stands unedited, or -1."""
+    at = text.find(pattern)
+    while at > 0 and at % 4:
+        at = text.find(pattern, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 class Index:
     """All q-grams of the windows of some benchmark items, with what the lemma asks of each window.
 
@@ -158,18 +166,20 @@ class Index:
         # Paths of a match within e edits stay within e diagonals, so inside one of two overlapping bands.
         wide = self.edits[window] + 1
         band = (pos - self.place[entry]) // wide
-        both = np.stack([np.tile(window, 2), np.concatenate([band, band - 1])], axis=1)
-        cells, counts = np.unique(both, axis=0, return_counts=True)
-        cells = cells[counts >= self.need[cells[:, 0]]]
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
-        for w, b in cells.tolist():
+        shift = 1 << 40  # bands may be negative
+        both = np.concatenate([window, window]) * (2 * shift) + np.concatenate([band, band - 1]) + shift
+        cells, counts = np.unique(both, return_counts=True)
+        cells = cells[counts >= self.need[cells // (2 * shift)]]
+        found: set[tuple[int, int, int, int]] = set()
+        for w, b in zip((cells // (2 * shift)).tolist(), (cells % (2 * shift) - shift).tolist(), strict=True):
             e, p = int(self.edits[w]), self.patterns[w]
             begin = max(0, b * (e + 1) - e)
             region = codes[begin : (b + 2) * (e + 1) + len(p) + e]
-            edits, start, end = banded_distance(p, region, e)
+            at = _aligned(region.tobytes(), p.tobytes())  # an unedited copy needs no alignment
+            edits, start, end = (0, at, at + len(p)) if at >= 0 else banded_distance(p, region, e)
             if edits <= e:
-                found.setdefault(w, []).append((self.items[w], begin + start, begin + end, edits))
-        return sorted({x for v in found.values() for x in v})
+                found.add((self.items[w], begin + start, begin + end, edits))
+        return sorted(found)
 
 
 def _spans(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
