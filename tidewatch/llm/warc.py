@@ -169,9 +169,11 @@ class WarcReader(DataSourceReader):
         files = [x for x in files if listed is None or x.base_name in listed]
         return [FilePart(f"{self.path}/{x.base_name}", x.size) for x in sorted(files, key=lambda x: -x.size)]
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
         shape = pa.schema([(k, kinds[FIELDS[k]]) for k in self.fields])
+        if partition is None:  # no file at all
+            return
         rows, held = [], 0
         for row in read_records(partition.path, self.wanted, self.fields):
             rows.append(row)
