@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions whose workers cannot import it from a shared path."""
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+
+
 def get_spark(app: str = "tidewatch", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster passes its own."""
     spark = (
@@ -24,21 +36,26 @@ def get_spark(app: str = "tidewatch", cores: str | int = "*", shuffle_partitions
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; only where it is
-    unset (tests on one machine) a temporary folder is made instead.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Only a local master, where
+    driver and executors are one process, may do without: it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
