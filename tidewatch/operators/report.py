@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions.times import DAY_MS
 from tidewatch.operators.predicates import event_severity, is_auth_failure, payload_preview, severity_label
@@ -17,6 +16,11 @@ def _day(ts_ms: str) -> Column:
     return F.floor(F.col(ts_ms) / DAY_MS)
 
 
+def first_day(as_of_ms: int, days: int) -> int:
+    """Start of the first of the last ``days`` days."""
+    return (as_of_ms // DAY_MS - days + 1) * DAY_MS
+
+
 def _measures(alerts: DataFrame, events: DataFrame, keys: list[Column], alert_keys: list[Column]) -> DataFrame:
     """Alert and event counts side by side; two aggregations, then a sum over both."""
     kind = F.upper("event_type")
@@ -59,7 +63,7 @@ def fill_days(counts: DataFrame, as_of_ms: int, days: int, columns: list[str]) -
 
 def weekly_trend(alerts: DataFrame, events: DataFrame, as_of_ms: int, days: int = 7) -> DataFrame:
     """Daily anomalies, critical alerts, network events and auth failures of the last days."""
-    since = (as_of_ms // DAY_MS - days + 1) * DAY_MS
+    since = first_day(as_of_ms, days)
     recent = daily_counts(alerts.filter(F.col("created_ms") >= since), events.filter(F.col("ts_ms") >= since))
     return fill_days(recent, as_of_ms, days, ["anomalies", "critical", "network", "auth_failures"])
 
@@ -141,12 +145,17 @@ def unified_feed(alerts: DataFrame, events: DataFrame, n_alerts: int = 10, n_eve
 
 
 def retain(df: DataFrame, time: str, as_of_ms: int, days: int = RETENTION_DAYS) -> DataFrame:
-    """Rows young enough to keep; the comparison reaches the scan and prunes date folders."""
-    return df.filter(F.col(time) >= as_of_ms - days * DAY_MS)
+    """Rows young enough to keep; a table with date folders is read from the day of the oldest such row on."""
+    since = as_of_ms - days * DAY_MS
+    if "event_date" in df.columns:
+        df = df.filter(F.col("event_date") >= F.date_from_unix_date(F.lit(since // DAY_MS).cast("int")))
+    return df.filter(F.col(time) >= since)
 
 
-def expired_count(df: DataFrame, time: str, as_of_ms: int, days: int = RETENTION_DAYS) -> DataFrame:
-    return df.agg(F.count_if(F.col(time) < as_of_ms - days * DAY_MS).alias("removed"))
+def retention_counts(df: DataFrame, time: str, as_of_ms: int, days: int = RETENTION_DAYS) -> DataFrame:
+    """Rows kept and rows removed, in one pass."""
+    old = F.col(time) < as_of_ms - days * DAY_MS
+    return df.agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("removed"))
 
 
 def delete_device_alerts(alerts: DataFrame, devices: DataFrame) -> DataFrame:
@@ -157,8 +166,3 @@ def upsert(rows: DataFrame, key: str, version: str, columns: list[str]) -> DataF
     """Newest non-null value of each column per key; a partial update keeps the other fields."""
     newest_of = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(version))).alias(c)
     return rows.groupBy(key).agg(*[newest_of(c) for c in columns], F.max(version).alias(version))
-
-
-def ranked(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= limit).drop("_rk")

@@ -134,5 +134,3 @@ def flow_totals(packets: DataFrame, flush_ms: int = 10_000) -> DataFrame:
         )
     )
 
-
-HOUR = HOUR_MS

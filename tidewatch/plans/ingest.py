@@ -279,8 +279,8 @@ def p12(spark, sf_dir):
     return classed_alerts(spark, sf_dir).select("anomaly_id", "ioc_type")
 
 
-def classed_alerts(spark, sf_dir):
-    return alerts(spark, sf_dir).withColumn("ioc_type", P.ioc_class(F.col("indicator"), F.col("threat_type"), F.col("message")))
+def classed_alerts(spark, sf_dir, since_ms=None):
+    return alerts(spark, sf_dir, since_ms).withColumn("ioc_type", P.ioc_class(F.col("indicator"), F.col("threat_type"), F.col("message")))
 
 
 @query("p13_ioc_feed", with_ctes(ALR + f", c AS (SELECT *, {_IOC_SQL} AS ioc_type FROM alr)", """

@@ -35,7 +35,8 @@ SELECT strftime(epoch_ms(d * 86400000), '%Y-%m-%d') AS day, (SELECT count(*) FRO
   (SELECT count(*) FROM tel WHERE ts_ms // 86400000 = d AND {_AUTH}) AS auth_failures
 FROM (SELECT unnest(range({AS_OF // 86400000 - 6}, {AS_OF // 86400000 + 1})) AS d)"""))
 def a15(spark, sf_dir):
-    return R.weekly_trend(classed_alerts(spark, sf_dir), telemetry(spark, sf_dir), AS_OF)
+    since = R.first_day(AS_OF, 7)
+    return R.weekly_trend(classed_alerts(spark, sf_dir, since), telemetry(spark, sf_dir, since), AS_OF)
 
 
 @query("a16_day_distribution", with_ctes(_CLASSED, f"""
@@ -44,7 +45,8 @@ SELECT (SELECT count(*) FROM c WHERE created_ms // 86400000 = {LAST_DAY // 86400
   (SELECT count(*) FROM tel WHERE ts_ms // 86400000 = {LAST_DAY // 86400000} AND event_type LIKE 'NETWORK%') AS network,
   (SELECT count(*) FROM tel WHERE ts_ms // 86400000 = {LAST_DAY // 86400000} AND {_AUTH}) AS auth_failures"""))
 def a16(spark, sf_dir):
-    return R.day_distribution(classed_alerts(spark, sf_dir), telemetry(spark, sf_dir), LAST_DAY)
+    since = R.first_day(LAST_DAY, 1)
+    return R.day_distribution(classed_alerts(spark, sf_dir, since), telemetry(spark, sf_dir, since), LAST_DAY)
 
 
 @query("a17_severity_bands", with_ctes(ALR, """
@@ -60,14 +62,14 @@ w AS (SELECT count(*) FILTER (created_ms // 86400000 >= {AS_OF // 86400000 - 6})
 SELECT *, (CASE WHEN this_week >= previous_week THEN '↑ ' ELSE '↓ ' END) || ((200 * abs(this_week - previous_week) + previous_week) // (2 * previous_week))
   || (CASE WHEN this_week >= previous_week THEN '% increase' ELSE '% decrease' END) || ' in anomalies this week' AS insight FROM w"""))
 def a18(spark, sf_dir):
-    return R.weekly_insight(alerts(spark, sf_dir), AS_OF)
+    return R.weekly_insight(alerts(spark, sf_dir, R.first_day(AS_OF, 14)), AS_OF)
 
 
 @query("j9_calendar_fill", with_ctes(TEL, f"""
 SELECT strftime(epoch_ms(d * 86400000), '%Y-%m-%d') AS day, (SELECT count(*) FROM tel WHERE ts_ms // 86400000 = d AND event_type = 'CANARY_FILE_ACCESS') AS n
 FROM (SELECT unnest(range({AS_OF // 86400000 - 34}, {AS_OF // 86400000 + 1})) AS d)"""))
 def j9(spark, sf_dir):
-    daily = telemetry(spark, sf_dir).filter("event_type = 'CANARY_FILE_ACCESS'").groupBy(F.floor(F.col("ts_ms") / 86_400_000).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    daily = telemetry(spark, sf_dir, R.first_day(AS_OF, 35)).filter("event_type = 'CANARY_FILE_ACCESS'").groupBy(F.floor(F.col("ts_ms") / 86_400_000).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return R.fill_days(daily, AS_OF, 35, ["n"])
 
 
@@ -110,6 +112,11 @@ def t4(spark, sf_dir):
     return R.newest(telemetry(spark, sf_dir), 1000, "ts_ms", "event_id").select("event_id", "event_type")
 
 
+@query("t4_newest_alerts", with_ctes(ALR, "SELECT anomaly_id, severity FROM alr ORDER BY created_ms DESC, alert_seq DESC LIMIT 250"))
+def t4_alerts(spark, sf_dir):
+    return R.newest(alerts(spark, sf_dir), 250, "created_ms", "alert_seq").select("anomaly_id", "severity")
+
+
 @query("t5_score_previews", """
 SELECT * FROM (SELECT 'lowest' AS kind, doc_id, n_chars AS score FROM documents ORDER BY n_chars, doc_id DESC LIMIT 200)
 UNION ALL SELECT * FROM (SELECT 'highest', doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 300)""")
@@ -138,9 +145,7 @@ UNION ALL SELECT 'alerts', count(*) FILTER (created_ms >= {AS_OF} - 20 * 8640000
 def u2(spark, sf_dir):
     out = None
     for name, df, time in (("events", telemetry(spark, sf_dir), "ts_ms"), ("alerts", alerts(spark, sf_dir), "created_ms")):
-        kept = R.retain(df, time, AS_OF, 20).agg(F.count(F.lit(1)).alias("kept"))
-        gone = R.expired_count(df, time, AS_OF, 20)
-        row = kept.unionByName(gone, allowMissingColumns=True).agg(F.lit(name).alias("tab"), F.sum("kept").alias("kept"), F.sum("removed").alias("removed"))
+        row = R.retention_counts(df, time, AS_OF, 20).select(F.lit(name).alias("tab"), "kept", "removed")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -296,9 +296,27 @@ def d20(spark, sf_dir):
     return R.greedy_cooldown(made, ["device_id", "indicator"], 172_800_000).select("device_id", "event_id", "indicator")
 
 
-@query("r3_debounce", with_recursive(_WEB + """,
-fw AS (SELECT domain, event_id, ts_ms FROM web)""" + _greedy("fw", "domain", 7_200_000), "SELECT domain, event_id FROM g WHERE kept"))
-def r3(spark, sf_dir):
-    web = parse_payload(telemetry(spark, sf_dir).filter("event_type = 'WEB_DOMAIN'"))
-    web = web.select(normalise_domain(F.col("p.domain")).alias("domain"), "event_id", "ts_ms")
-    return R.greedy_cooldown(web, ["domain"], 7_200_000).select("domain", "event_id")
+# Each device debounces for itself: a domain, an app's permission, a decoy file. Test events are days apart, so the spans are longer.
+def _debounced(source: str, item: str, gap: int) -> str:
+    return with_recursive(TEL + f""",
+fw AS (SELECT device_id, event_id, ts_ms, {item} FROM tel WHERE event_type = '{source}')""" + _greedy("fw", "device_id, item", gap), "SELECT device_id, item, event_id FROM g WHERE kept")
+
+
+def _debounce(spark, sf_dir, source, item, gap):
+    seen = parse_payload(telemetry(spark, sf_dir).filter(F.col("event_type") == source)).select("device_id", item.alias("item"), "event_id", "ts_ms")
+    return R.greedy_cooldown(seen, ["device_id", "item"], gap).select("device_id", "item", "event_id")
+
+
+@query("r3_debounce", _debounced("WEB_DOMAIN", "data->>'$.domain' AS item", 172_800_000))
+def r3_domain(spark, sf_dir):
+    return _debounce(spark, sf_dir, "WEB_DOMAIN", normalise_domain(F.col("p.domain")), 172_800_000)
+
+
+@query("r3_debounce_permission", _debounced("PERMISSION_ACCESS", "package_name || '/' || (data->>'$.permission') AS item", 345_600_000))
+def r3_permission(spark, sf_dir):
+    return _debounce(spark, sf_dir, "PERMISSION_ACCESS", F.concat_ws("/", "package_name", "p.permission"), 345_600_000)
+
+
+@query("r3_debounce_file", _debounced("CANARY_FILE_ACCESS", "package_name || '/' || (data->>'$.fileName') AS item", 691_200_000))
+def r3_file(spark, sf_dir):
+    return _debounce(spark, sf_dir, "CANARY_FILE_ACCESS", F.concat_ws("/", "package_name", "p.fileName"), 691_200_000)

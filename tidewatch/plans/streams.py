@@ -10,7 +10,7 @@ from tidewatch.operators import predicates as P
 from tidewatch.operators import report as R
 from tidewatch.operators import rules as RU
 from tidewatch.operators.windows import time_windows
-from tidewatch.plans.common import TEL, WIN, with_ctes, with_recursive
+from tidewatch.plans.common import ALR, TEL, WIN, with_ctes, with_recursive
 from tidewatch.plans.detection import DETECTOR
 from tidewatch.plans.ingest import wire_messages
 from tidewatch.plans.registry import query
@@ -42,6 +42,12 @@ def s9(spark, sf_dir):
     return runner.publish(stream, "events-topic").drop("batch_id")
 
 
+@query("s9_publish_alerts", with_ctes(ALR, "SELECT anomaly_id, device_id, severity, message FROM alr"))
+def s9_alerts(spark, sf_dir):
+    made = alert_view(runner.telemetry_stream(spark, sf_dir).drop("event_time"))
+    return runner.publish(made.select("anomaly_id", "device_id", "severity", "message"), "alerts-topic").drop("batch_id")
+
+
 # One fleet-wide key and hours instead of seconds: the events are minutes apart.
 _LIMIT_SQL = with_ctes(TEL, """
 SELECT event_id FROM tel QUALIFY row_number() OVER (PARTITION BY ts_ms // 3600000 ORDER BY ts_ms, event_id) <= 10""")
@@ -77,10 +83,8 @@ def r5_windows(spark, sf_dir):
 @query("r5_detector_stream")
 def r5(spark, sf_dir):
     """Two chained streams: events to window table, window table to detector results."""
-    runner.use_rocksdb(spark)
-    windows = runner.append_to_table(S.window_stream(runner.telemetry_stream(spark, sf_dir)), "windows")
-    path = windows.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(windows.schema).parquet(path)
+    windows = S.window_stream(runner.telemetry_stream(spark, sf_dir))
+    stream = spark.readStream.schema(windows.schema).parquet(runner.append_to_path(windows, "windows"))
     groups = X.mask(X.interaction(X.sequential(X.temporal(stream)))).select(
         "device_id", "window_id", F.expr("element_at(ev, -1).ts_ms").alias("end_ms"),
         F.concat("f_hours", "f_freq", "f_entropy", "f_transitions", "f_keys", "f_touch", "f_swipe", "f_combined").alias("vector"), "mask",
@@ -112,18 +116,22 @@ def r6_stream(spark, sf_dir):
 
 @query("r7_live_dashboard", with_ctes(_CLASSED, f"""
 SELECT ts_ms // 86400000 AS day, count(*) FILTER (event_type LIKE 'NETWORK%') AS network, count(*) FILTER ({_AUTH}) AS auth_failures, count(anomaly_id) AS anomalies,
-  count(*) FILTER (severity >= 9) AS critical FROM tel LEFT JOIN c ON c.alert_seq = tel.event_id GROUP BY ALL"""))
+  count(*) FILTER (severity >= 9) AS critical, count(*) FILTER (ioc_type IN ('app','domain','phishing')) AS ioc, count(*) FILTER (ioc_type = 'app') AS ioc_app,
+  count(*) FILTER (ioc_type = 'domain') AS ioc_domain, count(*) FILTER (ioc_type = 'phishing') AS phishing, count(*) FILTER (ioc_type = 'permission') AS permission FROM tel LEFT JOIN c ON c.alert_seq = tel.event_id GROUP BY ALL"""))
 def r7(spark, sf_dir):
     """Daily dashboard counts kept current; reports read the newest version of each day."""
     tel = runner.telemetry_stream(spark, sf_dir).drop("event_time")
     day = F.floor(F.col("ts_ms") / DAY).alias("day")
     kind = F.upper("event_type")
-    events = tel.select(day, kind.startswith("NETWORK").cast("int").alias("network"),
-                        P.is_auth_failure(F.col("event_type"), F.col("data")).cast("int").alias("auth_failures"),
-                        F.lit(0).alias("anomalies"), F.lit(0).alias("critical"))
-    made = alert_view(tel).select(F.floor(F.col("created_ms") / DAY).alias("day"), F.lit(0).alias("network"), F.lit(0).alias("auth_failures"),
-                                  F.lit(1).alias("anomalies"), (F.col("severity") >= 9).cast("int").alias("critical"))
-    daily = events.unionByName(made).groupBy("day").agg(*[F.sum(c).alias(c) for c in ("network", "auth_failures", "anomalies", "critical")])
+    seen = {"network": kind.startswith("NETWORK"), "auth_failures": P.is_auth_failure(F.col("event_type"), F.col("data"))}
+    ioc = F.coalesce(P.ioc_class(F.col("indicator"), F.col("threat_type"), F.col("message")), F.lit("none"))
+    found = {
+        "anomalies": F.lit(True), "critical": F.col("severity") >= 9, "ioc": ioc.isin("app", "domain", "phishing"), "ioc_app": ioc == "app",
+        "ioc_domain": ioc == "domain", "phishing": ioc == "phishing", "permission": ioc == "permission",
+    }
+    ones = lambda tests: [tests.get(m, F.lit(False)).cast("int").alias(m) for m in R.MEASURES]
+    made = alert_view(tel).select(F.floor(F.col("created_ms") / DAY).alias("day"), *ones(found))
+    daily = tel.select(day, *ones(seen)).unionByName(made).groupBy("day").agg(*[F.sum(m).alias(m) for m in R.MEASURES])
     return runner.newest_version(runner.publish(daily, "dashboard", "update"), ["day"])
 
 

@@ -200,15 +200,16 @@ def w11(spark, sf_dir):
     return W.counter_deltas(samples, ["device_id", "uid"], ["rx", "tx"]).select("device_id", "uid", "event_id", "rx_delta", "tx_delta")
 
 
-# Clicks are hours apart here, so the plausible range of an interval is given in those units.
+# Keystrokes are days apart here, so the plausible range of an interval is in those units, and a batch holds five.
 @query("w12_keystroke_batches", with_ctes(TEL, """,
-g AS (SELECT device_id, event_id, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) AS gap FROM tel),
+g AS (SELECT device_id, event_id, ts_ms, ts_ms - lag(ts_ms) OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) AS gap FROM tel WHERE event_type = 'KEYSTROKE'),
 v AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts_ms, event_id) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS n
-      FROM g WHERE gap BETWEEN 60000 AND 90000000)
-SELECT device_id, i // 20 AS batch_id, round(avg(gap), 3) AS latency, round(stddev_pop(gap), 3) AS std, count(*) AS n, max(ts_ms) AS ts_ms
-FROM v WHERE i // 20 < n // 20 GROUP BY ALL"""))
+      FROM g WHERE gap BETWEEN 60000 AND 900000000)
+SELECT device_id, i // 5 AS batch_id, round(avg(gap), 3) AS latency, round(stddev_pop(gap), 3) AS std, count(*) AS n, max(ts_ms) AS ts_ms
+FROM v WHERE i // 5 < n // 5 GROUP BY ALL"""))
 def w12(spark, sf_dir):
-    out = W.keystroke_batches(telemetry(spark, sf_dir), 20, 60_000, 90_000_000)
+    keys = telemetry(spark, sf_dir).filter("event_type = 'KEYSTROKE'")
+    out = W.keystroke_batches(keys, 5, 60_000, 900_000_000)
     return out.select("device_id", "batch_id", F.round("latency", 3).alias("latency"), F.round("std", 3).alias("std"), "n", "ts_ms")
 
 

@@ -11,10 +11,10 @@ from tidewatch.settings import ENSEMBLE_DEFAULTS
 
 
 def write_events(tel: DataFrame, path: str) -> None:
-    """One folder per event date. A day of events is spread over several files by row id."""
+    """One folder per event date. A day is written in as many files as its size asks for."""
     (
         tel.withColumn("event_date", day_of(F.col("ts_ms")))
-        .repartition("event_date", F.pmod(F.xxhash64("device_id", "event_id"), F.lit(16)))
+        .hint("rebalance", "event_date")
         .write.mode("overwrite").partitionBy("event_date").parquet(path)
     )
 
@@ -77,7 +77,7 @@ def ensemble_config(spark: SparkSession, path: str | None = None) -> DataFrame:
     ddl = (
         "weights STRUCT<tabular:DOUBLE,text:DOUBLE>, thresholds STRUCT<tabular:DOUBLE,text:DOUBLE,ensemble:DOUBLE>"
     )
-    stored = spark.read.schema(ddl).option("multiLine", True).json(path).limit(1).select(
+    stored = _only(spark.read.schema(ddl).option("multiLine", True).json(path), path).select(
         F.col("weights.tabular").alias("w_tabular"), F.col("weights.text").alias("w_text"),
         F.col("thresholds.tabular").alias("t_tabular"), F.col("thresholds.text").alias("t_text"),
         F.col("thresholds.ensemble").alias("t_ensemble"),
@@ -85,6 +85,13 @@ def ensemble_config(spark: SparkSession, path: str | None = None) -> DataFrame:
     return _first_given(stored, defaults)
 
 
+def _only(rows: DataFrame, path: str) -> DataFrame:
+    """An artifact is one record; with two it would be unclear which one holds."""
+    if len(rows.take(2)) > 1:
+        raise ValueError(f"more than one record in {path}")
+    return rows
+
+
 def _first_given(stored: DataFrame, fallback: DataFrame) -> DataFrame:
     """One row: each column from ``stored`` where it has a value, else from ``fallback``."""
     both = stored.withColumn("_rank", F.lit(1)).unionByName(fallback.withColumn("_rank", F.lit(0)))
@@ -99,9 +106,9 @@ def stored_baseline(spark: SparkSession, path: str | None, dim: int) -> DataFram
     )
     if not path:
         return fallback
+    read = spark.read.schema("baseline_mean ARRAY<DOUBLE>, baseline_covariance ARRAY<ARRAY<DOUBLE>>")
     stored = (
-        spark.read.schema("baseline_mean ARRAY<DOUBLE>, baseline_covariance ARRAY<ARRAY<DOUBLE>>")
-        .option("multiLine", True).json(path).limit(1)
+        _only(read.option("multiLine", True).json(path), path)
         .filter(F.size("baseline_mean") == dim)
         .select(F.col("baseline_mean").alias("mean"), F.flatten("baseline_covariance").alias("cov"))
     )

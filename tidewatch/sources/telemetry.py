@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +90,13 @@ def to_telemetry(events: DataFrame) -> DataFrame:
     )
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_telemetry(table(spark, sf_dir, "events"))
+def telemetry(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
+    """All events, or those from ``since_ms`` on; the bound is on the stored column, so it reaches the scan."""
+    events = table(spark, sf_dir, "events")
+    if since_ms is not None:
+        since = datetime.fromtimestamp(since_ms / 1000, UTC).strftime("%Y-%m-%d %H:%M:%S.%f")
+        events = events.filter(F.col("ts") >= F.lit(since).cast(events.schema["ts"].dataType))
+    return to_telemetry(events)
 
 
 def alert_view(tel: DataFrame) -> DataFrame:
@@ -128,8 +135,8 @@ def alert_view(tel: DataFrame) -> DataFrame:
     )
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alert_view(telemetry(spark, sf_dir))
+def alerts(spark: SparkSession, sf_dir: str, since_ms: int | None = None) -> DataFrame:
+    return alert_view(telemetry(spark, sf_dir, since_ms))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

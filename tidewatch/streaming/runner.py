@@ -9,15 +9,6 @@ from tidewatch.schema import RAW_EVENTS_DDL
 from tidewatch.session import scratch_dir
 from tidewatch.sources.telemetry import to_telemetry
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keeps keyed state on disk with changelog checkpoints, so it may outgrow the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
-
 def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """Telemetry as a stream over the event files, with ``event_time`` for watermarks."""
     reader = spark.readStream.schema(RAW_EVENTS_DDL)
@@ -30,8 +21,8 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
-def append_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Append mode into a file sink (each row exactly once), until the input is used up."""
+def append_to_path(stream: DataFrame, name: str) -> str:
+    """Append mode into a file sink (each row exactly once), until the input is used up; returns its folder."""
     spark = stream.sparkSession
     path, state = scratch_dir(spark, name), scratch_dir(spark, f"{name}-state")
     run = (
@@ -39,7 +30,11 @@ def append_to_table(stream: DataFrame, name: str) -> DataFrame:
         .trigger(availableNow=True).start(path)
     )
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return path
+
+
+def append_to_table(stream: DataFrame, name: str) -> DataFrame:
+    return stream.sparkSession.read.schema(stream.schema).parquet(append_to_path(stream, name))
 
 
 def publish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
