@@ -6,15 +6,18 @@ Each stage works on all rows its predecessor kept and, but for the last, returns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from tidewatch.llm.common import table, without
+from tidewatch.llm.queries import toxic_labels
 from tidewatch.session import materialise
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5. The model is fitted on the labelled rows that are not held out."""
-    model = toxicity.train(toxicity.learning_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    model = toxicity.train(texts, toxic_labels(spark, sf_dir))
     return without(toxicity.score_toxicity(docs, model).filter("score < 0.5"), ["score"])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Characters that are hashed in one step; a longer text is a step of its own.
-STEP = 1 << 19
+STEP = 1 << 17
 
 
 def code_points(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -170,10 +170,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label) of the labels that may be learned from."""
+    labels = table(spark, sf_dir, "labels").filter(share_of_id("doc_id", 5) != 0)
+    return labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.learning_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs.withColumnRenamed("doc_id", "id"), toxic_labels(spark, sf_dir))
     held = F.coalesce(share_of_id("doc_id", 5) == 0, F.lit(False))
     found = toxicity.score_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model, keep_text=False)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.chargrams import presence
-from tidewatch.llm.common import share_of_id, without
+from tidewatch.llm.common import without
 from tidewatch.session import materialise
 
 
@@ -21,7 +21,7 @@ class Settings:
     high: int = 6
     bits: int = 20
     #: Labelled rows of each class that the model is fitted on, at most. Bounds what the driver fits.
-    rows_per_class: int = 5000
+    rows_per_class: int = 4000
     #: n-grams that the model keeps, those that tell the classes apart best, and the documents each must be in (fewer if there are few toxic rows).
     features: int = 4096
     least_docs: int = 10
@@ -94,26 +94,29 @@ def _fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridg
     return w[:k], float(w[k])
 
 
-def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
-    """Fit on ``labelled`` (id, text, label 0 or 1); rows without label are left out, a null text counts as empty.
+def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """Fit on ``docs`` (id, text) by ``labels`` (id, label 0 or 1); other labels are left out, a null text counts as empty.
 
-    Of each class at most ``rows_per_class`` rows are used, those whose ids hash lowest. Document frequencies of all
-    n-grams are counted by class in tasks and summed; features are the ones with the largest chi-square statistic. Feature
-    values are log-count ratios, smoothed by the class shares, so that an unseen n-gram has ratio 0. The intercept is
-    moved to the class shares of all labelled rows. Without rows of both classes the model gives the share of the class.
+    Of each class at most ``rows_per_class`` labels are used, those whose ids hash lowest, so only their texts are read out
+    of the documents. Document frequencies of all n-grams are counted by class in tasks and summed; features are the
+    ones with the largest chi-square statistic. Feature values are log-count ratios, smoothed by the class shares, so that
+    an unseen n-gram has ratio 0. The intercept is moved to the class shares of all labels. Without rows of
+    both classes the model gives the share of the class. An id with several labels or rows counts with each.
     """
     s = settings or Settings()
-    labelled = labelled.filter(F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label"), "text")
-    shares = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
+    labels = labels.filter(F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label"))
+    shares = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     ones, zeros = shares.get(1, 0), shares.get(0, 0)
     flat = np.zeros(1 << s.bits, dtype=np.float32)
+    only = Model(s, flat, float(np.log((ones + 0.5) / (zeros + 0.5))))
     if not ones or not zeros:
-        return Model(s, flat, float(np.log((ones + 0.5) / (zeros + 0.5))))
-    ids = labelled.select("id", "label")
-    picks = [ids.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(s.rows_per_class) for c in (0, 1)]
-    sample = labelled.join(F.broadcast(materialise(picks[0].union(picks[1]).distinct(), "picks")), ["id", "label"])
+        return only
+    picks = [labels.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(s.rows_per_class) for c in (0, 1)]
+    sample = docs.select("id", "text").join(F.broadcast(materialise(picks[0].union(picks[1]), "picks")), "id")
     seen = materialise(sample.select("label", "text").repartition(8).mapInArrow(_presence_of(s), "label int, grams binary"), "grams")
     n1, n0 = (seen.filter(F.col("label") == c).count() for c in (1, 0))
+    if not n1 or not n0:
+        return only
     share = n1 / (n1 + n0)
     table = seen.coalesce(4).mapInArrow(_counted(s.bits), "gram long, pos int, neg int").groupBy("gram").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
@@ -133,7 +136,8 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
             own = [r[r >= 0].astype(np.int32).tobytes() for r in own]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.binary())], names=["label", "own"])
 
-    fitted = seen.mapInArrow(project, "label int, own binary").orderBy("label", "own").collect()  # bounded by the sample
+    fitted = seen.mapInArrow(project, "label int, own binary").collect()  # bounded by the sample
+    fitted.sort()
     rows = [np.frombuffer(r.own, dtype=np.int32).astype(np.int64) for r in fitted]
     w, bias = _fit_logistic(rows, np.array([r.label for r in fitted], dtype=float), ratio, s.ridge, s.steps)
     flat[grams] = w * ratio
@@ -160,10 +164,3 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_t
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in out], score], names=[*[part.schema.names[i] for i in out], "score"])
 
     return docs.mapInArrow(run, (shape if keep_text else shape.drop(text_col)).schema)
-
-
-def learning_rows(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, text, label) of the labelled documents that are not held out; an id with several labels gives several rows."""
-    known = labels.filter(share_of_id(id_col, parts) != held).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    texts = docs.filter(share_of_id(id_col, parts) != held).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(known.filter("label is not null"), "id")
