@@ -160,6 +160,37 @@ def detect(x, **state):
     return AD.step(s, {"vector": x, "mask": np.ones(72), "end_ms": BASE}, AD.DetectorConfig())
 
 
+def _walk(*windows, **cfg):
+    s = AD.DetectorState(distance_mean=8.0, distance_std=1.0)
+    vectors = np.random.default_rng(4).normal(0, 0.1, (len(windows), 72))
+    return [AD.step(s, {"vector": v, "mask": np.ones(72), "end_ms": BASE + 60_000 * i, **w}, AD.DetectorConfig(**cfg))
+            for i, (v, w) in enumerate(zip(vectors, windows))]
+
+
+def test_ensemble_hit_does_not_learn():
+    hit = {"tabular_prob": 0.9, "text_prob": 0.9}
+    assert [r["learned"] for r in _walk({}, hit, {}, ensemble_mode="primary")] == [True, False, True]
+    # In fallback mode a window far from the threshold asks no model.
+    assert [r["learned"] for r in _walk({}, hit, {}, ensemble_mode="fallback")] == [True, True, True]
+
+
+def test_repeated_rule_alert_is_dropped_and_learns():
+    rule = {"rule_hit": True, "rule_indicator": "App:X", "rule_threat": "MALWARE_MIMICRY", "rule_severity": 8}
+    rows = _walk(rule, rule, {}, {**rule, "rule_indicator": "app:x"})
+    assert [r["rule_passed"] for r in rows] == [True, False, False, True]  # 180 s later the cooldown of 120 s is over
+    assert [r["learned"] for r in rows] == [False, True, True, False]
+    mild = {**rule, "rule_threat": "USER_DRIFT", "rule_severity": 4}
+    assert [r["learned"] for r in _walk(mild)] == [True]
+
+
+def test_idle_windows_stay_out_of_the_cusum_history():
+    s = AD.DetectorState(distance_mean=8.0, distance_std=1.0)
+    for at in (0, 60_000, 10_000_000, 10_060_000):
+        AD.step(s, {"vector": np.ones(72), "mask": np.ones(72), "end_ms": BASE + at}, AD.DetectorConfig())
+    assert len(s.distances) == 4 and len(s.awake) == 3
+
+
+
 def test_detector_cases():
     quiet = detect(np.random.default_rng(1).normal(0, 0.5, 72))
     assert not quiet["is_anomaly"] and quiet["threat_type"] == "NONE"

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 import __spark_entry__ as entry
 from tidewatch.functions import ordered as O
 from tidewatch.functions.text import fixed
+from tidewatch.operators import adaptive as AD
 from tidewatch.operators import alerts as AL
 from tidewatch.operators import baseline as B
 from tidewatch.operators import detect as D
@@ -18,6 +19,7 @@ from tidewatch.operators import drift as DR
 from tidewatch.operators import evaluate as E
 from tidewatch.operators import learn as M
 from tidewatch.operators.rules import greedy_cooldown
+from tidewatch.plans import detection
 
 SF = "/root/testdata/sf0.001"
 
@@ -212,7 +214,8 @@ def test_fixed_decimals_print_like_python(spark):
 
 def test_detector_stream_equals_batch(spark):
     keep = ["device_id", "window_id", "distance", "threshold", "probability", "threat_type", "severity", "drift", "learned", "cusum_pos"]
-    batch = {(r[0], r[1]): r for r in entry.queries()["d23_adaptive_detector"](spark, SF).select(*keep).collect()}
+    windows = detection.detector_windows(spark, SF)
+    batch = {(r[0], r[1]): r for r in AD.run_detector(windows, detection.DETECTOR).select(*keep).collect()}
     stream = {(r[0], r[1]): r for r in entry.queries()["r5_detector_stream"](spark, SF).select(*keep).collect()}
     assert batch.keys() == stream.keys() and batch
     for k, r in batch.items():

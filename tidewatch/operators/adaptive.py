@@ -17,7 +17,7 @@ from tidewatch.functions.ordered import ordered_fold
 from tidewatch.operators.baseline import ema_update, ensure_psd, learning_rate
 from tidewatch.operators.detect import contribution_map, whiten_one
 from tidewatch.settings import (
-    CUSUM_C1, CUSUM_C2, CUSUM_H, CUSUM_WINDOW, EMA_RATE, IDLE_SECONDS, INTERACTION, K_SIGMA, PLATT_SLOPE, SEQUENTIAL, TEMPORAL,
+    COOLDOWN_SECONDS, CUSUM_C1, CUSUM_C2, CUSUM_H, CUSUM_WINDOW, EMA_RATE, ENSEMBLE_DEFAULTS, IDLE_SECONDS, INTERACTION, K_SIGMA, PLATT_SLOPE, SEQUENTIAL, TEMPORAL,
     TZ_SHIFT_MULTIPLIER,
 )
 
@@ -35,6 +35,8 @@ class DetectorConfig:
     stability_ratio: float = 0.3
     stability_least: int = 200
     drift_limit: int = 5
+    cooldown_ms: int = COOLDOWN_SECONDS * 1000
+    ensemble_mode: str = "fallback"
     generic_mean: list[float] | None = None
     generic_cov: list[float] | None = None
 
@@ -55,6 +57,8 @@ class DetectorState:
     tz_until: int = 0
     probabilities: list[float] = field(default_factory=list)
     distances: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    awake: np.ndarray = field(default_factory=lambda: np.zeros(0))  # distances of windows that updated the CUSUM
+    alerted: dict[str, int] = field(default_factory=dict)  # indicator of a rule alert -> when it was last let through
 
 
 def generic_baseline(cfg: DetectorConfig, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +87,47 @@ def _severity(z: float, anomalous: bool) -> int:
     return min(10, int(z) + 1)
 
 
+def _given(value) -> bool:
+    return value is not None and not pd.isna(value)
+
+
+def ensemble_hit(window: dict, d: float, limit: float, cfg: DetectorConfig) -> bool:
+    """Whether the two models call the window an attack; the same decision as ``alerts.ensemble_decision``."""
+    asked = cfg.ensemble_mode == "primary" or (cfg.ensemble_mode == "fallback" and limit > 0 and 0.8 < d / limit < 1.2)
+    e, scores = ENSEMBLE_DEFAULTS, {}
+    for name in ("tabular", "text"):
+        if asked and _given(p := window.get(f"{name}_prob")):
+            scores[name] = float(p)
+    if not scores:
+        return False
+    mean = sum(e[f"w_{k}"] * p for k, p in scores.items()) / sum(e[f"w_{k}"] for k in scores)
+    return mean >= e["t_ensemble"] or any(p >= e[f"t_{k}"] for k, p in scores.items())
+
+
+def rule_passes(state: DetectorState, window: dict, anomalous: bool, now: int, cfg: DetectorConfig) -> bool:
+    """Whether the rule alert of a window is let through. Without an anomaly beside it, an indicator rests after an alert.
+
+    Indicators are forgotten when they have rested, so the state holds those of one cooldown only.
+    """
+    if not (_given(window.get("rule_hit")) and window["rule_hit"]):
+        return False
+    indicator = window.get("rule_indicator")
+    if anomalous or not _given(indicator):
+        return True
+    state.alerted = {k: t for k, t in state.alerted.items() if now - t < cfg.cooldown_ms}
+    if (name := str(indicator).lower()) in state.alerted:
+        return False
+    state.alerted[name] = now
+    return True
+
+
 def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
-    """Advances ``state`` by one window (vector, mask, end_ms, tz_offset, rule_hit) and returns its result."""
+    """Advances ``state`` by one window (vector, mask, end_ms) and returns its result.
+
+    Optional fields: tz_offset; rule_hit, rule_indicator, rule_threat, rule_severity; tabular_prob, text_prob; sensitive (a
+    sensitive permission was used); slope (the device's own). They decide, as in the alert that is made of them later,
+    whether the window counts as suspicious and may train the baseline.
+    """
     x, mask, now = np.asarray(window["vector"], float), np.asarray(window["mask"], float), int(window["end_ms"])
     if state.first_ms == 0:
         state.first_ms = state.last_ms = now
@@ -110,7 +153,8 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     if state.tz_until > now:
         limit *= TZ_SHIFT_MULTIPLIER
     anomalous = d > limit
-    raw = _probability(cfg.slope * (d * d - limit * limit))
+    slope = float(window["slope"]) if _given(window.get("slope")) else cfg.slope
+    raw = _probability(slope * (d * d - limit * limit))
     recent = [*state.probabilities, raw][-cfg.smoothing:]
     state.probabilities = recent
     probability = raw if len(recent) < cfg.smoothing else float(np.median(recent))
@@ -132,11 +176,20 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     elif len(state.distances) >= 50 and d > 0.5 * limit and _stability(state.distances, cfg.stability_least) < cfg.stability_ratio:
         threat, level = "ADVERSARIAL_MIMICRY", max(1, min(3, int(3 * d / (limit + 1e-6))))
 
-    suspicious = anomalous or bool(window.get("rule_hit"))
+    rule = rule_passes(state, window, anomalous, now, cfg)
+    flagged, acting, acting_level = anomalous, threat, level
+    if not anomalous and ensemble_hit(window, d, limit, cfg):
+        flagged, acting_level = True, max(level, 7)
+        acting = "DEVICE_MISUSE" if threat == "NONE" else threat
+    if flagged and _given(window.get("sensitive")) and window["sensitive"]:
+        acting, acting_level = "INSIDER_THREAT", min(10, acting_level + 2)
+    if not flagged and rule:
+        acting, acting_level = window.get("rule_threat"), window.get("rule_severity")
+    suspicious = flagged or rule
     awake = now - state.last_ms <= cfg.idle_ms
     drift = False
     if awake:
-        history = state.distances[-CUSUM_WINDOW:]
+        state.awake = history = np.append(state.awake, d)[-CUSUM_WINDOW:]
         sigma = max(float(np.std(history)), 0.01) if len(history) > 10 else 1.0
         delta, state.cusum_h = CUSUM_C1 * sigma, CUSUM_C2 * sigma
         off = d - state.distance_mean
@@ -149,7 +202,7 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
         variance = (1 - a) * state.distance_std**2 + a * off * off
         state.distance_mean = (1 - a) * state.distance_mean + a * d
         state.distance_std = float(np.sqrt(max(variance, 1e-8)))
-    learned = awake and (not suspicious or (threat == "USER_DRIFT" and level <= cfg.drift_limit))
+    learned = awake and (not suspicious or (acting == "USER_DRIFT" and acting_level <= cfg.drift_limit))
     if learned:
         state.mean, state.cov = ema_update(mean, cov, x, learning_rate(state.n, drift, cfg.ema_rate))
     elif state.mean is None:
@@ -158,7 +211,7 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     state.last_ms = now
     return {
         "distance": d, "threshold": float(limit), "is_anomaly": bool(anomalous), "probability": probability, "threat_type": threat,
-        "severity": level, "drift": bool(drift), "learned": bool(learned), "contributions": contribution_map(parts),
+        "severity": level, "drift": bool(drift), "learned": bool(learned), "rule_passed": bool(rule), "contributions": contribution_map(parts),
         "distance_mean": state.distance_mean, "distance_std": state.distance_std, "cusum_pos": state.cusum_pos,
         "cusum_neg": state.cusum_neg, "cusum_h": state.cusum_h,
     }
@@ -166,23 +219,25 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
 
 RESULT_DDL = (
     "device_id string, window_id bigint, end_ms bigint, distance double, threshold double, is_anomaly boolean, probability double, "
-    "threat_type string, severity int, drift boolean, learned boolean, contributions map<int,double>, distance_mean double, "
+    "threat_type string, severity int, drift boolean, learned boolean, rule_passed boolean, contributions map<int,double>, distance_mean double, "
     "distance_std double, cusum_pos double, cusum_neg double, cusum_h double"
 )
 
 
 def run_detector(windows: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
-    """Detector results for windows (device_id, window_id, end_ms, vector, mask[, tz_offset, rule_hit]).
+    """Detector results for windows (device_id, window_id, end_ms, vector, mask, and the optional fields of ``step``).
 
     Each window depends on what was learned before, so a device is walked in window order;
     its windows are streamed past one fixed-size state.
     """
     cfg = cfg or DetectorConfig()
     df = windows
-    for name, kind in (("tz_offset", "bigint"), ("rule_hit", "boolean")):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    df = df.select("device_id", "window_id", "end_ms", "vector", "mask", "tz_offset", "rule_hit")
+    optional = {
+        "tz_offset": "bigint", "rule_hit": "boolean", "rule_indicator": "string", "rule_threat": "string", "rule_severity": "int",
+        "tabular_prob": "double", "text_prob": "double", "sensitive": "boolean", "slope": "double",
+    }
+    df = df.withColumns({n: F.lit(None).cast(kind) for n, kind in optional.items() if n not in df.columns})
+    df = df.select("device_id", "window_id", "end_ms", "vector", "mask", *optional)
 
     def walk(state: DetectorState, part: pd.DataFrame) -> pd.DataFrame:
         rows = []

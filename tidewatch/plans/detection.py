@@ -408,4 +408,8 @@ DETECTOR = AD.DetectorConfig(idle_ms=30 * DAY, smoothing=5)
 
 @query("d23_adaptive_detector")
 def d23(spark, sf_dir):
-    return AD.run_detector(detector_windows(spark, sf_dir), DETECTOR)
+    """With the rule alerts of each window, so that a window that breaks a rule does not train the baseline."""
+    rules = R.rule_alerts(W.count_windows(telemetry(spark, sf_dir)), BAD_APPS, BAD_DOMAINS, IGNORED)
+    hits = rules.select("device_id", "window_id", F.lit(True).alias("rule_hit"), F.col("indicator").alias("rule_indicator"),
+                        F.col("threat_type").alias("rule_threat"), F.col("severity").cast("int").alias("rule_severity"))
+    return AD.run_detector(detector_windows(spark, sf_dir).join(hits, ["device_id", "window_id"], "left"), DETECTOR)

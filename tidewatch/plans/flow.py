@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,14 @@ def detect_alerts(
         *KEY, F.expr("element_at(ev, -1).ts_ms").alias("end_ms"), F.size("ev").alias("n"),
         F.concat("f_hours", "f_freq", "f_entropy", "f_transitions", "f_keys", "f_touch", "f_swipe", "f_combined").alias("vector"), "mask",
         F.expr("get(filter(transform(ev, e -> e.tz), t -> t IS NOT NULL), 0)").alias("tz_offset"))
-    inputs = vectors.join(rules.select(*KEY, F.lit(True).alias("rule_hit")), KEY, "left")
-    found = AD.run_detector(inputs, cfg).withColumn("confidence", F.col("probability"))
+    hits = rules.select(*KEY, F.lit(True).alias("rule_hit"), F.col("indicator").alias("rule_indicator"),
+                        F.col("threat_type").alias("rule_threat"), F.col("severity").cast("int").alias("rule_severity"))
+    asked = parse_payload(wins.filter(F.upper("event_type") == "PERMISSION_ACCESS"))
+    sensitive = asked.filter(F.upper("p.permission").isin(*AL.SENSITIVE)).select(*KEY).distinct().withColumn("sensitive", F.lit(True))
+    inputs = vectors.join(hits, KEY, "left").join(sensitive, KEY, "left")
+    if model_scores is not None:
+        inputs = inputs.join(model_scores, KEY, "left")
+    found = AD.run_detector(inputs, replace(cfg, ensemble_mode=mode)).withColumn("confidence", F.col("probability"))
     found = found.withColumn(
         "message", message(F.col("threat_type"), F.col("severity"), F.col("distance"), F.col("threshold")))
     if model_scores is None:
@@ -52,10 +59,10 @@ def detect_alerts(
     else:
         found = found.join(model_scores, KEY, "left")
     found = AL.raise_by_ensemble(AL.ensemble_decision(found, mode=mode))
-    asked = parse_payload(wins.filter(F.upper("event_type") == "PERMISSION_ACCESS"))
-    sensitive = asked.filter(F.upper("p.permission").isin(*AL.SENSITIVE)).select(*KEY).distinct().withColumn("_sensitive", F.lit(True))
-    found = found.join(sensitive, KEY, "left").withColumn("sensitive_permission", F.coalesce("_sensitive", F.lit(False))).drop("_sensitive")
-    merged = AL.merge_findings(AL.escalate_sensitive(found).join(rule, KEY, "left"))
+    found = found.join(sensitive, KEY, "left").withColumn("sensitive_permission", F.coalesce("sensitive", F.lit(False))).drop("sensitive")
+    # A rule alert that repeats within its cooldown, with no anomaly beside it, is dropped.
+    passed = AL.escalate_sensitive(found).join(rule, KEY, "left").withColumn("rule", F.when(F.col("rule_passed"), F.col("rule")))
+    merged = AL.merge_findings(passed)
     context = (
         W.window_span(wins).join(A.top_event_types(wins, 3), KEY).join(A.action_targets(wins, ignored_packages), KEY)
         .join(vectors.select(*KEY, "n", F.col("vector").alias("feature_vector")), KEY)

@@ -105,15 +105,18 @@ def window_stream(tel: DataFrame, fields: dict[str, Column] | None = None, size:
 
 _STATE = (
     "mean array<double>, cov array<double>, n bigint, distance_mean double, distance_std double, cusum_pos double, cusum_neg double, "
-    "cusum_h double, first_ms bigint, last_ms bigint, tz bigint, tz_until bigint, probabilities array<double>, distances array<double>"
+    "cusum_h double, first_ms bigint, last_ms bigint, tz bigint, tz_until bigint, probabilities array<double>, distances array<double>, "
+    "awake array<double>, alerted array<string>, alerted_ms array<bigint>"
 )
 
 
 def _load(values: tuple) -> AD.DetectorState:
-    s = AD.DetectorState(*values)
+    *plain, names, times = values
+    s = AD.DetectorState(*plain, dict(zip(names, times)))
     s.mean = None if s.mean is None else np.asarray(s.mean, float)
     s.cov = None if s.cov is None else np.asarray(s.cov, float).reshape(len(s.mean), -1)
     s.probabilities, s.distances = [float(v) for v in s.probabilities], np.asarray(s.distances, float)
+    s.awake = np.asarray(s.awake, float)
     return s
 
 
@@ -122,6 +125,7 @@ def _save(s: AD.DetectorState) -> tuple:
         s.mean.tolist(), s.cov.ravel().tolist(), int(s.n), float(s.distance_mean), float(s.distance_std), float(s.cusum_pos),
         float(s.cusum_neg), float(s.cusum_h), int(s.first_ms), int(s.last_ms), None if s.tz is None else int(s.tz), int(s.tz_until),
         [float(v) for v in s.probabilities], [float(v) for v in s.distances],
+        [float(v) for v in s.awake], list(s.alerted), [int(t) for t in s.alerted.values()],
     )
 
 
