@@ -153,25 +153,69 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 GRID_STEPS = 81  # -2.00, -1.95 .. 2.00
 
 
-def fit_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector") -> DataFrame:
+def _moments(x: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sum of squared deviations of the transformed values, as (dimension, lambda)."""
+    mean, m2 = np.empty((x.shape[1], len(lam))), np.empty((x.shape[1], len(lam)))
+    up, size = x >= 0, np.log1p(np.abs(x))
+    for i, v in enumerate(lam):
+        # (|x| + 1) ** p = exp(p * log1p |x|): one logarithm serves every lambda.
+        high = size if abs(v) < 1e-9 else np.expm1(v * size) / v
+        low = -size if abs(v - 2.0) < 1e-9 else -np.expm1((2.0 - v) * size) / (2.0 - v)
+        y = np.where(up, high, low)
+        mean[:, i] = y.mean(axis=0)
+        m2[:, i] = ((y - mean[:, i]) ** 2).sum(axis=0)
+    return mean, m2
+
+
+def fit_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector", chunk: int = 20_000) -> DataFrame:
     """Most likely lambda on a grid per key and dimension; 1 for a constant dimension.
 
-    The grid is unfolded on the map side and only its sums are shuffled.
+    Moments for all lambdas are accumulated in arrays over chunks of a key, then merged, so a key with many rows is spread
+    over tasks and a row never becomes more than one.
     """
-    long = vectors.select(*keys, F.posexplode(vector).alias("dim", "x"))
-    tried = long.select(
-        *keys, "dim", "x", F.explode(F.sequence(F.lit(0), F.lit(GRID_STEPS - 1))).alias("_g")
-    ).withColumn("lam", (F.col("_g") * 5 - 200) / 100.0)
-    sums = tried.groupBy(*keys, "dim", "lam").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v"),
-        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("jac"), (F.max("x") - F.min("x")).alias("span"),
-    )
-    fit = F.when(F.col("v") > 1e-300, -F.col("n") / 2 * F.log("v") + (F.col("lam") - 1) * F.col("jac"))
-    # Equal likelihoods are told apart by the smaller lambda; the rounding keeps ties stable.
-    return sums.groupBy(*keys, "dim").agg(
-        F.when(F.max("span") > 0, F.max_by("lam", F.struct(F.round(fit, 6), -F.col("lam")))).otherwise(1.0).alias("lam"),
-        F.max("n").alias("n"),
-    )
+    keys = list(keys)
+    lam = (np.arange(GRID_STEPS) * 5 - 200) / 100.0
+    slim = vectors.select(*keys, F.pmod(F.xxhash64(vector), F.lit(1 << 20)).alias("_h"), F.col(vector).alias("_x"))
+    counts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
+    split = slim.join(counts, keys).withColumn("_part", F.col("_h") % F.col("_parts")).drop("_h", "_parts")
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*keys).schema.fields)
+    arrays = ["_mean", "_m2", "_jac", "_low", "_high"]
+
+    def start(part: pd.DataFrame) -> dict:
+        return {"head": part.iloc[:1].copy(), "n": 0}
+
+    def merge(state: dict, n: int, mean: np.ndarray, m2: np.ndarray, jac: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        if state["n"]:
+            total, shift = state["n"] + n, mean - state["mean"]
+            m2 = state["m2"] + m2 + shift * shift * (state["n"] * n / total)
+            mean = state["mean"] + shift * (n / total)
+            jac, low, high, n = state["jac"] + jac, np.minimum(state["low"], low), np.maximum(state["high"], high), total
+        state.update(n=n, mean=mean, m2=m2, jac=jac, low=low, high=high)
+
+    def add_rows(state: dict, part: pd.DataFrame) -> None:
+        x = np.stack(part["_x"].to_numpy()).astype(float)
+        merge(state, len(x), *_moments(x, lam), (np.sign(x) * np.log1p(np.abs(x))).sum(axis=0), x.min(axis=0), x.max(axis=0))
+
+    def partial(state: dict) -> pd.DataFrame:
+        return state["head"][[*keys, "_part"]].assign(_n=state["n"], **{a: [state[a[1:]].ravel().tolist()] for a in arrays})
+
+    def add_partials(state: dict, part: pd.DataFrame) -> None:
+        for n, *values in zip(part["_n"], *[part[a] for a in arrays]):
+            mean, m2, jac, low, high = (np.asarray(v, float) for v in values)
+            merge(state, int(n), mean.reshape(len(jac), -1), m2.reshape(len(jac), -1), jac, low, high)
+
+    def fitted(state: dict) -> pd.DataFrame:
+        v = state["m2"] / state["n"]
+        with np.errstate(divide="ignore"):
+            fit = np.where(v > 1e-300, -state["n"] / 2 * np.log(v) + (lam - 1) * state["jac"][:, None], -np.inf)
+        # Equal likelihoods are told apart by the smaller lambda; the rounding keeps ties stable.
+        best = np.where(state["high"] > state["low"], lam[np.round(fit, 6).argmax(axis=1)], 1.0)
+        out = state["head"][keys].iloc[[0] * len(best)].reset_index(drop=True)
+        return out.assign(dim=np.arange(len(best)), lam=best, n=state["n"])
+
+    fields = ", ".join(f"{a} array<double>" for a in arrays)
+    parts = ordered_fold(split, [*keys, "_part"], [], start, add_rows, f"{key_fields}, _part bigint, _n bigint, {fields}", partial)
+    return ordered_fold(parts, keys, ["_part"], start, add_partials, f"{key_fields}, dim int, lam double, n bigint", fitted)
 
 
 def refit_due(n_before: Column, first: int = 100, every: int = 5000) -> Column:
