@@ -33,3 +33,13 @@ def share_of_id(id_col: str, parts: int) -> Column:
 def small_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` marked for broadcast if it has been counted and is below the limit, else as it is."""
     return F.broadcast(keys) if keys.count() <= limit else keys
+
+
+def sized(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df``, which has about ``rows`` small rows, in no more partitions than these need (8 at least)."""
+    return df.coalesce(max(8, rows // per_task))
+
+
+def few(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
+    """``df``, a table of at most ``rows`` rows of a few numbers, marked for broadcast if that is below the limit."""
+    return F.broadcast(df) if rows <= limit else df

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_side
+from tidewatch.llm.common import few, sized, small_side
 from tidewatch.llm.components import components
 from tidewatch.llm.textarrays import U, mix, shingles, word_hashes
 from tidewatch.session import materialise
@@ -53,7 +53,7 @@ class Bands:
         bound = self.differ(2 * largest)
         spare = 0
         while bound:
-            held = self.percent / 100 * self.edge(band) / (bound + 1 + spare)
+            held = self.percent / 100 * self.edge(band) / (bound + 1 + spare)  # shingles in a part of the smallest set
             rare = math.exp(-held) * (1 + held * self.weak)
             if spare >= 2 + rare * (bound + 1 + spare) * 0.7 or spare >= bound + 2:
                 break
@@ -65,8 +65,10 @@ class Bands:
 
     def groups(self, size: int) -> list[int]:
         """The bands of the larger partner in which a set of this size may be linked."""
-        own = self.band(size)
-        return [own, own + 1] if 100 * size >= self.percent * self.edge(own + 1) else [own]
+        last = own = self.band(size)
+        while 100 * size >= self.percent * self.edge(last + 1):
+            last += 1
+        return list(range(own, last + 1))
 
 
 def _signatures(v: np.ndarray, bands: Bands) -> tuple[np.ndarray, bytes]:
@@ -179,8 +181,9 @@ def _linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _cells(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components in a cell that the bitmaps do not rule out. Rows come sorted by cell."""
+def _cells(percent: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components in a cell that the bitmaps do not rule out; with ``nearest`` for each row only the
+    one with the closest bitmap among the rows after it. Rows come sorted by cell."""
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
@@ -201,7 +204,10 @@ def _cells(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             both = size[near] + size[i]
             differ = np.bitwise_count(grid[near] ^ grid[i]).sum(axis=1, dtype=np.int64)
             fits = 100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])
-            near = near[fits & (differ * (100 + percent) <= (100 - percent) * both)]
+            fits &= differ * (100 + percent) <= (100 - percent) * both
+            near, differ = near[fits], differ[fits]
+            if nearest:
+                near = near[differ.argmin() :][:1] if len(near) else near
             if len(near):
                 a, b = np.minimum(node[near], node[i]), np.maximum(node[near], node[i])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -241,8 +247,9 @@ def shingle_components(
        hash) make candidate pairs, so a tile gives fewer pairs than rows. Bitmaps bound the overlap from
        above, sorted arrays are intersected exactly for what is left.
     3. Tiles of three or more sets that still hold several components are compared in full, in cells of at most
-       2 * BLOCK rows: only pairs of different components, and only what the bitmaps leave is emitted and verified.
-       So no link is lost, and a large group of near copies costs little once it is connected.
+       2 * BLOCK rows. First each set proposes the closest one of another component, again at most a pair for each
+       row; what is then still in different components and not ruled out by the bitmaps is verified pair by pair. So no
+       link is lost, and a large group of near copies costs little once it is connected.
     """
     none = F.lit("")
     base = docs.select(
@@ -252,8 +259,9 @@ def shingle_components(
     )
     schema = "id long, key long, size long, one long, two long, sketch long, keys array<long>, bits binary"
     rows = materialise(base.mapInArrow(_features(n, percent), schema), "shingles")
+    total = rows.count()
     same = rows.filter("size > 0").groupBy("one", "two").agg(F.min("key").alias("node"), F.min("id").alias("least"))
-    same = materialise(same, "sets")
+    same = materialise(sized(same, total), "sets")
     nodes = rows.join(same.select(F.col("node").alias("key")), "key", "left_semi")
     traits = nodes.select(F.col("key").alias("node"), "size", "sketch", "bits")
 
@@ -261,37 +269,42 @@ def shingle_components(
     tiles = nodes.select(F.col("key").alias("node"), F.explode("keys").alias("tile"))
     tiles = tiles.withColumns({"prev": F.lag("node").over(line), "next": F.lead("node").over(line)})
     tiles = materialise(tiles.filter("prev <> node or next <> node").select("tile", "node"), "tiles")
-    traits = materialise(traits.join(tiles.select("node").distinct(), "node", "left_semi"), "traits")
-    wanted = small_side(traits.select(F.col("node").alias("key")).distinct())
-    sets = materialise(
-        base.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(_sets(n), "key long, items binary"), "items"
-    )
+    met = tiles.count()
+    wanted = materialise(sized(tiles.select("node").distinct(), met), "wanted")
+    count = wanted.count()
+    traits = materialise(traits.join(small_side(wanted), "node", "left_semi"), "traits")
+    sets = base.join(small_side(wanted.withColumnRenamed("node", "key")), "key", "left_semi").select("key", "text")
+    sets = materialise(sets.mapInArrow(_sets(n), "key long, items binary"), "items")
 
     def verified(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
-            pairs = pairs.join(traits.select(F.col("node").alias(end), F.col("size").alias(f"s{end}"), F.col("bits").alias(f"b{end}")), end)
-        near = materialise(pairs.mapInArrow(_may_link(percent), "a long, b long"), "near")
-        for end in ("a", "b"):
-            near = near.join(sets.select(F.col("key").alias(end), F.col("items").alias(f"i{end}")), end)
-        return materialise(near.mapInArrow(_linked(percent), "a long, b long"), "linked")
+            pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("items").alias(f"i{end}")), end)
+        return materialise(pairs.mapInArrow(_linked(percent), "a long, b long"), "linked")
 
     order = Window.partitionBy("tile").orderBy("sketch", "node")
-    close = tiles.join(traits.select("node", "sketch"), "node").select("node", F.lag("node").over(order).alias("prev"))
+    close = tiles.join(few(traits.select("node", "sketch"), count), "node").select("node", F.lag("node").over(order).alias("prev"))
     close = close.filter("prev <> node").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b"))
-    close = materialise(close.distinct(), "close")
-    first = verified(close)
-    found = components(first)
-
-    tiles = tiles.join(found, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("comp"))
-    mixed = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = mixed.filter("rows > 2 and x <> y").select("tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    cells = tiles.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("tile", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "comp", "block")
-    cells = cells.join(traits.select("node", "size", "bits"), "node").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    more = cells.mapInArrow(_cells(percent), "a long, b long").distinct().join(close, ["a", "b"], "left_anti")
-    links = first.unionByName(verified(more))
-    found = materialise(components(links), "components")
+    tried = materialise(sized(close.distinct(), met), "close")
+    near = tried
+    for end in ("a", "b"):
+        near = near.join(traits.select(F.col("node").alias(end), F.col("size").alias(f"s{end}"), F.col("bits").alias(f"b{end}")), end)
+    near = materialise(near.mapInArrow(_may_link(percent), "a long, b long"), "near")
+    found = components(verified(near))
+
+    for nearest in (True, False):
+        comps = tiles.join(few(found, count), "node", "left").select("tile", "node", F.coalesce("label", "node").alias("comp"))
+        mixed = comps.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        mixed = mixed.filter("rows > 2 and x <> y").select("tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        cells = comps.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("tile", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "comp", "block")
+        cells = cells.join(traits.select("node", "size", "bits"), "node").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+        more = cells.mapInArrow(_cells(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        more = materialise(more, "pairs")
+        if not more.count():
+            continue
+        tried = tried.unionByName(more)
+        found = components(verified(more).unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
     # The smallest real id of each component; most nodes are alone and keep the least id of their equal sets.
     named = same.join(found, "node", "left").select("one", "two", "least", F.coalesce("label", "node").alias("label"))

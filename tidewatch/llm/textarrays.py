@@ -8,7 +8,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes of text that are hashed in one step; bounds the memory, not the text.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
