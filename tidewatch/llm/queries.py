@@ -28,14 +28,11 @@ def query(name: str, sql: str | None = None):
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8).select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return sharding.shard_documents(docs, shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
