@@ -198,13 +198,14 @@ def learn_from_feedback(alerts: DataFrame, feedback: DataFrame, baselines: DataF
 # --- per-user calibration ---------------------------------------------------------------
 
 
-def calibrate(scored: DataFrame, min_samples: int = 100, iterations: int = 8, folds: int = 5, dim: int = 72) -> DataFrame:
+def calibrate(scored: DataFrame, min_samples: int = 100, tolerance: float = 1e-9, most: int = 60, folds: int = 5, dim: int = 72) -> DataFrame:
     """Slope and threshold of a logistic curve per user (user_id, id, score, label 0/1).
 
     All users and all cross-validation folds are fitted together by Newton steps; each step
     is one aggregation that shuffles five sums per model, so a user may have any number of
-    scores. The penalty on the slope is 1/2 * slope^2. Users with too few scores or only one
-    class get the defaults.
+    scores. Steps are taken until none changes by more than ``tolerance``. The penalty on the
+    slope is 1/2 * slope^2. Users with too few scores or only one class get the defaults, and so
+    do users whose model still moves after ``most`` steps; ``converged`` tells them apart.
     """
     stats = scored.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"),
@@ -226,9 +227,9 @@ def calibrate(scored: DataFrame, min_samples: int = 100, iterations: int = 8, fo
     data = materialise(
         joined.select("user_id", ((F.col("score") - F.col("mu")) / F.col("sd")).alias("x"), F.col("label").cast("double").alias("y"), fold.alias("fold")),
         "calibration")
-    models = usable.select("user_id", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))).alias("model"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    models = usable.select("user_id", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))).alias("model"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("step"))
     models = materialise(models, "calibration-0")
-    for i in range(iterations):
+    for i in range(most):
         seen = data.join(models, "user_id").filter(F.col("model") != F.col("fold"))
         p = 1.0 / (1.0 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))
         w, r = p * (1.0 - p), p - F.col("y")
@@ -237,21 +238,24 @@ def calibrate(scored: DataFrame, min_samples: int = 100, iterations: int = 8, fo
             F.sum(w * F.col("x")).alias("h01"), F.sum(w).alias("h11"))
         g0, h00 = F.col("g0") + F.col("a"), F.col("h00") + 1.0
         det = h00 * F.col("h11") - F.col("h01") * F.col("h01")
+        da, db = (F.col("h11") * g0 - F.col("h01") * F.col("g1")) / det, (h00 * F.col("g1") - F.col("h01") * g0) / det
         models = materialise(sums.select(
-            "user_id", "model",
-            (F.col("a") - (F.col("h11") * g0 - F.col("h01") * F.col("g1")) / det).alias("a"),
-            (F.col("b") - (h00 * F.col("g1") - F.col("h01") * g0) / det).alias("b")), f"calibration-{i + 1}")
-    full = models.filter("model = -1").select("user_id", "a", "b")
+            "user_id", "model", (F.col("a") - da).alias("a"), (F.col("b") - db).alias("b"),
+            F.greatest(F.abs(da), F.abs(db)).alias("step")), f"calibration-{i + 1}")
+        worst = models.agg(F.max("step")).first()[0]
+        if worst is None or worst <= tolerance:
+            break
+    full = models.filter("model = -1").select("user_id", "a", "b", (F.col("step") <= tolerance).alias("converged"))
     right = (
         data.join(models.withColumnRenamed("model", "fold"), ["user_id", "fold"])
         .groupBy("user_id", "fold").agg(F.avg(((F.col("a") * F.col("x") + F.col("b") > 0).cast("double") == F.col("y")).cast("double")).alias("acc"))
         .groupBy("user_id").agg(F.avg("acc").alias("_acc")))
     fitted = stats.join(full, "user_id", "left").join(right, "user_id", "left")
-    ok = F.coalesce(F.abs("a") >= 1e-10, F.lit(False))
+    ok = F.coalesce((F.abs("a") >= 1e-10) & F.col("converged"), F.lit(False))
     default_limit = K_SIGMA * F.sqrt(F.lit(float(dim)))
     return fitted.select(
         "user_id", "n", F.when(ok, F.col("a")).otherwise(PLATT_SLOPE).alias("platt_slope"),
         F.when(ok, -F.col("b") / F.col("a")).alias("scaled_threshold"),
         F.when(ok, F.col("mu") - F.col("sd") * F.col("b") / F.col("a")).otherwise(default_limit).alias("optimal_threshold"),
-        F.coalesce("_acc", F.lit(0.0)).alias("calibration_score"),
+        F.coalesce("_acc", F.lit(0.0)).alias("calibration_score"), "converged",
     )
