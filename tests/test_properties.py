@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +21,8 @@ from tidewatch.operators import evaluate as E
 from tidewatch.operators import learn as M
 from tidewatch.operators.rules import greedy_cooldown
 from tidewatch.plans import detection
+from tidewatch.streaming import runner
+from tidewatch.streaming import stateful as ST
 
 SF = "/root/testdata/sf0.001"
 
@@ -223,6 +226,25 @@ def test_detector_stream_equals_batch(spark):
         assert r["cusum_pos"] >= 0 and 1 <= r["severity"] <= 10
 
 
+def test_streams_carry_state_across_micro_batches(spark, tmp_path):
+    """Events in three files, one a batch: windows that span batches, cooldowns and limits are the same as in one batch."""
+    events = pq.read_table(f"{SF}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    third = events.num_rows // 3
+    for i in range(3):
+        pq.write_table(events.slice(i * third, third if i < 2 else None), f"{tmp_path}/events{i}.parquet")
+    stream = runner.telemetry_stream(spark, str(tmp_path), files_per_batch=1)
+    windows = runner.append_to_table(ST.window_stream(stream), "windows")
+    got = {(r[0], r[1], r[2]) for r in windows.select("device_id", "window_id", F.explode("ev.event_id")).collect()}
+    want = {tuple(r) for r in entry.queries()["r5_window_stream"](spark, SF).select("device_id", "window_id", "event_id").collect()}
+    assert got == want and want
+    batches = {r[0] for r in runner.publish(stream.select("event_id"), "batches").select("batch_id").distinct().collect()}
+    assert batches == {0, 1, 2}
+    slim = stream.select(F.lit("fleet").alias("device_id"), "event_id", "ts_ms", "event_time")
+    limited = runner.append_to_table(ST.rate_limited_stream(slim, 10, 3_600_000), "limit")
+    want = {r[0] for r in entry.queries()["r2_rate_limit"](spark, SF).collect()}
+    assert {r[0] for r in limited.select("event_id").collect()} == want
+
+
 def test_detector_ignores_partitioning(spark):
     one = entry.queries()["d23_adaptive_detector"](spark, SF).agg(F.sum("distance"), F.sum("severity")).first()
     spark.conf.set("spark.sql.shuffle.partitions", "3")
