@@ -293,8 +293,12 @@ def shingle_components(
 
     for nearest in (True, False):
         comps = tiles.join(few(found, count), "node", "left").select("tile", "node", F.coalesce("label", "node").alias("comp"))
-        mixed = comps.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        mixed = mixed.filter("rows > 2 and x <> y").select("tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        mixed = comps.groupBy("tile").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"),
+            F.bit_xor(F.xxhash64("node")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("also"),
+        ).filter("rows > 2 and x <> y")
+        # Similar sets share many tiles with the same members (told by two 64-bit hashes of them); one of these is enough.
+        mixed = mixed.groupBy("rows", "who", "also").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
         cells = comps.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("tile", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "comp", "block")
