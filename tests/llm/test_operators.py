@@ -373,6 +373,28 @@ def test_full_tiles_find_what_neighbours_miss(spark, monkeypatch):
     assert got == _brute(rows, 3, 90)
 
 
+def test_tiles_hold_each_node_once(spark):
+    """XOR would cancel nodes that stand twice, so that different tiles look the same."""
+    held = {1: [1, 2, 2, 3, 9], 2: [1, 4, 4, 3, 9], 3: [5, 5, 5], 4: [6], 5: [7, 7, 8, 8, 8], 6: [2, 2, 4, 4, 6, 6]}
+    rows = [(t, n) for t, nodes in held.items() for n in nodes]
+    got = [tuple(r) for r in ngram_join._shared(spark.createDataFrame(rows, "tile long, node long")).select("tile", "node").collect()]
+    assert sorted(got) == sorted({(t, n) for t, n in rows if len(set(held[t])) > 1})
+
+
+def test_repeated_rows_of_a_hot_group_match_brute_force(spark):
+    rnd = random.Random(11)
+    base = [f"v{rnd.randint(0, 300)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(len(w))] = f"z{rnd.randint(0, 300)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.shingle_components(spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string")).collect()
+    want = _brute(rows, 3, 90)
+    assert len(got) == 2 * len(rows) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+
+
 def test_join_of_odd_rows(spark, odd, none):
     got = ngram_join.shingle_components(odd.withColumn("component_id", F.lit("x"))).collect()
     assert len(got) == len(ODD)

@@ -231,6 +231,16 @@ def _cells(percent: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+def _shared(tiles: DataFrame) -> DataFrame:
+    """The distinct (tile, node) of tiles with two nodes or more, after a single shuffle.
+
+    Rows that repeat a node stand side by side: of the first node of a tile the last row stays, of any other the first.
+    """
+    line = Window.partitionBy("tile").orderBy("node")
+    tiles = tiles.withColumns({"prev": F.lag("node").over(line), "next": F.lead("node").over(line), "place": F.rank().over(line)})
+    return tiles.filter("prev <> node or (place = 1 and next <> node)").select("tile", "node")
+
+
 def shingle_components(
     docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -265,10 +275,7 @@ def shingle_components(
     nodes = rows.join(same.select(F.col("node").alias("key")), "key", "left_semi")
     traits = nodes.select(F.col("key").alias("node"), "size", "sketch", "bits")
 
-    line = Window.partitionBy("tile").orderBy("node")
-    tiles = nodes.select(F.col("key").alias("node"), F.explode("keys").alias("tile"))
-    tiles = tiles.withColumns({"prev": F.lag("node").over(line), "next": F.lead("node").over(line)})
-    tiles = materialise(tiles.filter("prev <> node or next <> node").select("tile", "node"), "tiles")
+    tiles = materialise(_shared(nodes.select(F.col("key").alias("node"), F.explode("keys").alias("tile"))), "tiles")
     met = tiles.count()
     wanted = materialise(sized(tiles.select("node").distinct(), met), "wanted")
     count = wanted.count()
