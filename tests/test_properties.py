@@ -269,3 +269,23 @@ def test_whole_flow(spark):
 def test_models_report(spark, name):
     row = entry.queries()[name](spark, SF).first()
     assert row["tp"] + row["fp"] + row["tn"] + row["fn"] > 0 and 0 <= row["accuracy"] <= 1
+
+
+def test_device_covariance_and_ema_use_whole_vectors(spark):
+    """All 64 dimensions, and the parts of the 64 x 64 state off its diagonal, against numpy."""
+    rows = [(r.label, r.vec_id, np.asarray(r.vector)) for r in detection.vectors(spark, SF).orderBy("vec_id").collect()]
+    cov = {(r.label, r.i, r.j): r.cov for r in entry.queries()["a20_device_covariance_whole"](spark, SF).collect()}
+    state = {r.label: r for r in detection.ema_baselines(spark, SF).collect()}
+    labels = {label for label, _, _ in rows}
+    assert set(cov) == {(label, i, j) for label in labels for i in range(64) for j in range(64)} and set(state) == labels
+    for label in labels:
+        x = np.stack([v for k, _, v in rows if k == label])
+        assert np.allclose([[cov[label, i, j] for j in range(64)] for i in range(64)], np.cov(x.T), atol=2e-6)
+        mean, c = np.zeros(64), np.eye(64)
+        for n, (vec_id, v) in enumerate((i, v) for k, i, v in rows if k == label):
+            if vec_id % 3:
+                a = 0.05 / (1 + n / 1000)
+                a = min(0.5, 5 * a) if vec_id % 5 == 0 else a
+                old, mean = v - mean, mean + a * (v - mean)
+                c = (1 - a) * c + a / 2 * (np.outer(old, v - mean) + np.outer(v - mean, old))
+        assert np.allclose(state[label].mean, mean) and np.allclose(np.reshape(state[label].cov, (64, 64)), c)

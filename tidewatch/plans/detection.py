@@ -54,13 +54,23 @@ def a20_fleet(spark, sf_dir):
         F.expr("CAST(p div 64 AS INT)").alias("i"), (F.col("p") % 64).alias("j"), F.round("cov", 6).alias("cov"))
 
 
+def device_covariance(spark, sf_dir):
+    fitted = B.fit_baselines(vectors(spark, sf_dir), ["label"], "vec_id", chunk=20)
+    return fitted.select("label", F.posexplode("cov").alias("p", "cov")).select(
+        "label", F.expr("CAST(p div 64 AS INT)").alias("i"), (F.col("p") % 64).alias("j"), F.round("cov", 6).alias("cov"))
+
+
 @query("a20_device_covariance", with_ctes(_EMB, """
 SELECT label, a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM u a JOIN u b USING (vec_id, label) WHERE a.dim < 6 AND b.dim < 6 GROUP BY ALL"""))
 def a20_device(spark, sf_dir):
-    short = vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 6))
-    fitted = B.fit_baselines(short, ["label"], "vec_id", chunk=20)
-    return fitted.select("label", F.posexplode("cov").alias("p", "cov")).select(
-        "label", F.expr("CAST(p div 6 AS INT)").alias("i"), (F.col("p") % 6).alias("j"), F.round("cov", 6).alias("cov"))
+    """The whole covariance is fitted; its SQL asks for the corner of the first six dimensions."""
+    return device_covariance(spark, sf_dir).filter("i < 6 and j < 6")
+
+
+@query("a20_device_covariance_whole", with_ctes(_EMB, """
+SELECT label, a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM u a JOIN u b USING (vec_id, label) GROUP BY ALL"""))
+def a20_device_whole(spark, sf_dir):
+    return device_covariance(spark, sf_dir)
 
 
 def scored(spark, sf_dir, mask=None):
@@ -216,21 +226,37 @@ def d10(spark, sf_dir):
     return v.withColumn("b", B.blend(F.col("own"), F.col("mean"), F.col("w"))).select("vec_id", millionths("b").alias("mean"))
 
 
-@query("d12_ema_update", with_recursive(_EMB, """,
-o AS (SELECT u.*, row_number() OVER (PARTITION BY label, dim ORDER BY vec_id) - 1 AS i FROM u WHERE dim < 8),
+def _ema(dims):
+    return with_recursive(_EMB, f""",
+o AS (SELECT u.*, row_number() OVER (PARTITION BY label, dim ORDER BY vec_id) - 1 AS i FROM u{dims}),
 al AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 0 WHEN vec_id % 5 = 0 THEN least(0.5, 5 * 0.05 / (1 + i / 1000)) ELSE 0.05 / (1 + i / 1000) END AS a FROM o),
 e AS (SELECT label, dim, i, a * x AS m, (1 - a) + a * x * (x - a * x) AS v FROM al WHERE i = 0
   UNION ALL SELECT al.label, al.dim, al.i, (1 - al.a) * m + al.a * x, (1 - al.a) * v + al.a * (x - m) * (x - ((1 - al.a) * m + al.a * x))
   FROM e JOIN al ON al.label = e.label AND al.dim = e.dim AND al.i = e.i + 1)
-SELECT label, i + 1 AS n, dim::INTEGER AS dim, round(m, 6) AS mean, round(v, 6) AS variance FROM e QUALIFY row_number() OVER (PARTITION BY label, dim ORDER BY i DESC) = 1"""))
+SELECT label, i + 1 AS n, dim::INTEGER AS dim, round(m, 6) AS mean, round(v, 6) AS variance FROM e QUALIFY row_number() OVER (PARTITION BY label, dim ORDER BY i DESC) = 1""")
+
+
+def ema_baselines(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumns({"learn": F.col("vec_id") % 3 != 0, "drift": F.col("vec_id") % 5 == 0})
+    start = v.select("label").distinct().select("label", F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0.0), 64).alias("mean"),
+                                                F.expr("transform(sequence(0, 4095), i -> IF(i % 65 = 0, 1D, 0D))").alias("cov"))
+    return B.update_baselines(v, start, "label", "vec_id")
+
+
+def ema_dimensions(spark, sf_dir):
+    return ema_baselines(spark, sf_dir).select("label", "n", "cov", F.posexplode("mean").alias("dim", "mean")).select(
+        "label", "n", "dim", F.round("mean", 6).alias("mean"), F.round(F.expr("get(cov, dim * 65)"), 6).alias("variance"))
+
+
+@query("d12_ema_update", _ema(" WHERE dim < 8"))
 def d12(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", "label", F.slice("vector", 1, 8).alias("vector"),
-                                      (F.col("vec_id") % 3 != 0).alias("learn"), (F.col("vec_id") % 5 == 0).alias("drift"))
-    start = v.select("label").distinct().select("label", F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0.0), 8).alias("mean"),
-                                                F.expr("transform(sequence(0, 63), i -> IF(i % 9 = 0, 1D, 0D))").alias("cov"))
-    out = B.update_baselines(v, start, "label", "vec_id")
-    return out.select("label", "n", "cov", F.posexplode("mean").alias("dim", "mean")).select(
-        "label", "n", "dim", F.round("mean", 6).alias("mean"), F.round(F.expr("get(cov, dim * 9)"), 6).alias("variance"))
+    """Whole vectors are folded; its SQL asks for the first eight dimensions."""
+    return ema_dimensions(spark, sf_dir).filter("dim < 8")
+
+
+@query("d12_ema_update_whole", _ema(""))
+def d12_whole(spark, sf_dir):
+    return ema_dimensions(spark, sf_dir)
 
 
 _YJ = "CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END ELSE CASE WHEN abs(lam - 2) < 1e-9 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END"
