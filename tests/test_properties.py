@@ -289,3 +289,17 @@ def test_device_covariance_and_ema_use_whole_vectors(spark):
                 old, mean = v - mean, mean + a * (v - mean)
                 c = (1 - a) * c + a / 2 * (np.outer(old, v - mean) + np.outer(v - mean, old))
         assert np.allclose(state[label].mean, mean) and np.allclose(np.reshape(state[label].cov, (64, 64)), c)
+
+
+def test_no_partner_is_hidden(spark):
+    """The queries on whole tables see the ids that a filter on the id used to hide."""
+    ids = lambda name, column: {r[column] for r in entry.queries()[name](spark, SF).select(column).collect()}
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    customers = {f"dev_{r[0]}" for r in read("customer").select("c_custkey").collect()}
+    assert customers <= ids("s10_device_dimension_whole", "device_id")
+    state = {r.device_id for r in entry.queries()["j1_window_device_state_whole"](spark, SF).filter("distance_mean is not null").collect()}
+    assert state == customers & ids("j1_window_device_state", "device_id")
+    assert {r.registered_clients for r in entry.queries()["a22_federation_status_whole"](spark, SF).collect()} == {read("embeddings").count()}
+    assert any(i % 7 == 0 for i in ids("r9_stale_clients_whole", "vec_id"))
+    unknown = entry.queries()["j6_update_validation_whole"](spark, SF).filter("reason = 'client_id is not registered'").count()
+    assert 0 < unknown < read("embeddings").count()

@@ -208,6 +208,19 @@ def d9(spark, sf_dir):
     return D.flag_adversarial(found).select("vec_id", "threat_type", "severity")
 
 
+@query("a25_stable_contributions_whole", with_ctes(_DET + _CONTRIB, """,
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rk FROM (SELECT DISTINCT label, vec_id FROM sv WHERE is_anomaly) QUALIFY rk <= 5),
+w AS (SELECT label, vec_id, count(*) OVER (PARTITION BY label) AS n FROM r),
+m AS (SELECT w.label, idx, sum(share) / any_value(n) AS avg_w FROM con JOIN w USING (vec_id) GROUP BY ALL HAVING count(*) >= greatest(1, any_value(n) // 2)),
+s AS (SELECT label, idx, avg_w / sum(avg_w) OVER (PARTITION BY label) AS weight FROM m)
+SELECT 'dev_' || label AS device_id, idx, round(weight, 6) AS weight FROM s WHERE weight > 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY weight DESC, idx) <= 3"""))
+def a25_whole(spark, sf_dir):
+    """Of every window that the detector calls an anomaly."""
+    hits = D.classify(detections(spark, sf_dir), k=1.0).filter("is_anomaly").select(
+        F.concat(F.lit("dev_"), F.col("label").cast("string")).alias("device_id"), F.col("vec_id").alias("window_id"), "contributions")
+    return D.aggregated_contributions(hits).withColumn("weight", F.round("weight", 6))
+
+
 @query("d13_learning_gate", with_ctes(_DET, """
 SELECT vec_id, (NOT (is_anomaly OR vec_id % 9 = 0) OR (threat_type = 'USER_DRIFT' AND severity <= 5)) AND vec_id % 8 * 100 <= 600 AS learn FROM sv"""))
 def d13(spark, sf_dir):
@@ -282,12 +295,24 @@ def d14_apply(spark, sf_dir):
 SELECT w.device_id, w.window_id, c.c_acctbal AS distance_mean FROM (SELECT DISTINCT device_id, window_id FROM win) w
 LEFT JOIN customer c ON w.device_id = 'dev_' || c.c_custkey AND c.c_custkey % 3 <> 0"""))
 def j1(spark, sf_dir):
-    state = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(
+    return windows_with_state(spark, sf_dir, table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0"))
+
+
+def windows_with_state(spark, sf_dir, customers):
+    state = customers.select(
         F.concat(F.lit("dev_"), F.col("c_custkey").cast("string")).alias("device_id"), F.col("c_acctbal").alias("distance_mean"))
     wins = W.window_span(W.count_windows(telemetry(spark, sf_dir))).select("device_id", "window_id")
     return B.with_device_state(wins, state).select("device_id", "window_id", "distance_mean")
 
 
+@query("j1_window_device_state_whole", with_ctes(WIN, """
+SELECT w.device_id, w.window_id, c.c_acctbal AS distance_mean FROM (SELECT DISTINCT device_id, window_id FROM win) w
+LEFT JOIN customer c ON w.device_id = 'dev_' || c.c_custkey"""))
+def j1_whole(spark, sf_dir):
+    """With every stored state; a device without one is new."""
+    return windows_with_state(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
 @query("d16_user_calibration")
 def d16(spark, sf_dir):
     docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")

@@ -141,12 +141,28 @@ SELECT device_id, coalesce(old.name, 'Device-' || substr(device_id, 1, 8)) AS na
   seen.l IS NOT NULL AS is_active
 FROM old FULL OUTER JOIN seen USING (device_id)"""))
 def s10(spark, sf_dir):
-    stored = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(
+    return tables.refresh_devices(stored_devices(table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")), telemetry(spark, sf_dir))
+
+
+def stored_devices(customers):
+    return customers.select(
         F.concat(F.lit("dev_"), F.col("c_custkey").cast("string")).alias("device_id"), F.col("c_name").alias("name"),
         F.lit(0).cast("long").alias("first_seen_ms"), F.lit(1000).cast("long").alias("last_seen_ms"),
         F.lit(False).alias("is_active"),
     )
-    return tables.refresh_devices(stored, telemetry(spark, sf_dir))
+
+
+@query("s10_device_dimension_whole", with_ctes(TEL, """,
+old AS (SELECT 'dev_' || c_custkey AS device_id, c_name AS name, 0::BIGINT AS f, 1000::BIGINT AS l FROM customer),
+seen AS (SELECT device_id, min(ts_ms) AS f, max(ts_ms) AS l FROM tel GROUP BY ALL)
+SELECT device_id, coalesce(old.name, 'Device-' || substr(device_id, 1, 8)) AS name,
+  CASE WHEN old.f IS NULL THEN seen.f WHEN seen.f IS NULL THEN old.f ELSE least(old.f, seen.f) END AS first_seen_ms,
+  CASE WHEN old.l IS NULL THEN seen.l WHEN seen.l IS NULL THEN old.l ELSE greatest(old.l, seen.l) END AS last_seen_ms,
+  seen.l IS NOT NULL AS is_active
+FROM old FULL OUTER JOIN seen USING (device_id)"""))
+def s10_whole(spark, sf_dir):
+    """Every customer is a stored device."""
+    return tables.refresh_devices(stored_devices(table(spark, sf_dir, "customer")), telemetry(spark, sf_dir))
 
 
 @query("s11_schema_upgrade", with_ctes(TEL, """
