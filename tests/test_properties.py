@@ -303,3 +303,25 @@ def test_no_partner_is_hidden(spark):
     assert any(i % 7 == 0 for i in ids("r9_stale_clients_whole", "vec_id"))
     unknown = entry.queries()["j6_update_validation_whole"](spark, SF).filter("reason = 'client_id is not registered'").count()
     assert 0 < unknown < read("embeddings").count()
+
+
+def test_power_fit_has_no_bounds(spark):
+    """Skewed dimensions with optima outside -2..2, over several chunks of a key, against a golden-section search."""
+    rng = np.random.default_rng(12)
+    n = 300
+    x = np.column_stack([rng.beta(1, 30, n), -rng.beta(1, 30, n), 1 - rng.beta(1, 30, n), rng.normal(0, 1, n), rng.lognormal(2, 1, n), np.full(n, 3.0)])
+    df = spark.createDataFrame([("a", row.tolist()) for row in x], "k string, vector array<double>")
+    got = {r["dim"]: r["lam"] for r in B.fit_lambdas(df, ["k"], chunk=100).collect()}
+
+    def likelihood(v, lam):
+        size = np.log1p(np.abs(v))
+        y = np.where(v >= 0, np.expm1(lam * size) / lam, -np.expm1((2 - lam) * size) / (2 - lam))
+        return -n / 2 * np.log(y.var()) + (lam - 1) * (np.sign(v) * size).sum()
+
+    for d in range(5):
+        low, high, g = -60.0, 60.0, (5**0.5 - 1) / 2
+        while high - low > 1e-7:
+            p, q = high - g * (high - low), low + g * (high - low)
+            low, high = (low, q) if likelihood(x[:, d], p) > likelihood(x[:, d], q) else (p, high)
+        assert abs(got[d] - low) < 2e-4, d
+    assert min(got.values()) < -2 and max(got.values()) > 2 and got[5] == 1.0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import ordered_fold
 from tidewatch.functions.times import DAY_MS
+from tidewatch.session import materialise
 from tidewatch.settings import DRIFT_BOOST, DRIFT_BOOST_CAP, EMA_RATE, RIDGE
 
 _FIT = "n bigint, mean array<double>, cov array<double>"
@@ -150,54 +151,63 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-GRID_STEPS = 81  # -2.00, -1.95 .. 2.00
+GRID = (np.arange(81) * 5 - 200) / 100.0  # -2.00, -1.95 .. 2.00 around the centre of a search, times its scale
+HALF = len(GRID) // 2
 
 
 def _moments(x: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sum of squared deviations of the transformed values, as (dimension, lambda)."""
-    mean, m2 = np.empty((x.shape[1], len(lam))), np.empty((x.shape[1], len(lam)))
+    """Mean and sum of squared deviations of the transformed values; ``lam`` and both results as (dimension, lambda)."""
+    mean, m2 = np.empty(lam.shape), np.empty(lam.shape)
     up, size = x >= 0, np.log1p(np.abs(x))
-    for i, v in enumerate(lam):
-        # (|x| + 1) ** p = exp(p * log1p |x|): one logarithm serves every lambda.
-        high = size if abs(v) < 1e-9 else np.expm1(v * size) / v
-        low = -size if abs(v - 2.0) < 1e-9 else -np.expm1((2.0 - v) * size) / (2.0 - v)
-        y = np.where(up, high, low)
-        mean[:, i] = y.mean(axis=0)
-        m2[:, i] = ((y - mean[:, i]) ** 2).sum(axis=0)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for i, v in enumerate(lam.T):
+            # (|x| + 1) ** p = exp(p * log1p |x|): one logarithm serves every lambda.
+            high = np.where(np.abs(v) < 1e-9, size, np.expm1(v * size) / v)
+            low = np.where(np.abs(v - 2.0) < 1e-9, -size, -np.expm1((2.0 - v) * size) / (2.0 - v))
+            y = np.where(up, high, low)
+            mean[:, i] = y.mean(axis=0)
+            m2[:, i] = ((y - mean[:, i]) ** 2).sum(axis=0)
     return mean, m2
 
 
-def fit_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector", chunk: int = 20_000) -> DataFrame:
-    """Most likely lambda on a grid per key and dimension; 1 for a constant dimension.
+def _split_rows(vectors: DataFrame, keys: list[str], vector: str, chunk: int) -> DataFrame:
+    slim = vectors.select(*keys, F.pmod(F.xxhash64(vector), F.lit(1 << 20)).alias("_h"), F.col(vector).alias("_x"))
+    counts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
+    return slim.join(counts, keys).withColumn("_part", F.col("_h") % F.col("_parts")).drop("_h", "_parts")
+
+
+def _grid_pass(split: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """One row per key: the most likely lambdas on the grid around ``_lam`` (null: 0), the scales of the next grids and
+    whether a dimension is ``_open``: its optimum on the edge of the grid, or the step above the tolerance.
 
     Moments for all lambdas are accumulated in arrays over chunks of a key, then merged, so a key with many rows is spread
     over tasks and a row never becomes more than one.
     """
-    keys = list(keys)
-    lam = (np.arange(GRID_STEPS) * 5 - 200) / 100.0
-    slim = vectors.select(*keys, F.pmod(F.xxhash64(vector), F.lit(1 << 20)).alias("_h"), F.col(vector).alias("_x"))
-    counts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
-    split = slim.join(counts, keys).withColumn("_part", F.col("_h") % F.col("_parts")).drop("_h", "_parts")
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*keys).schema.fields)
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.select(*keys).schema.fields)
     arrays = ["_mean", "_m2", "_jac", "_low", "_high"]
 
     def start(part: pd.DataFrame) -> dict:
-        return {"head": part.iloc[:1].copy(), "n": 0}
+        first = part.iloc[0]
+        dim = len(first["_x"] if "_x" in part else first["_jac"])
+        lam, scale = (np.full(dim, c) if first[f] is None else np.asarray(first[f], float) for f, c in (("_lam", 0.0), ("_scale", 1.0)))
+        return {"head": part.iloc[:1].copy(), "n": 0, "lam": lam, "scale": scale, "grid": lam[:, None] + GRID * scale[:, None]}
 
     def merge(state: dict, n: int, mean: np.ndarray, m2: np.ndarray, jac: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         if state["n"]:
-            total, shift = state["n"] + n, mean - state["mean"]
-            m2 = state["m2"] + m2 + shift * shift * (state["n"] * n / total)
-            mean = state["mean"] + shift * (n / total)
+            with np.errstate(over="ignore", invalid="ignore"):
+                total, shift = state["n"] + n, mean - state["mean"]
+                m2 = state["m2"] + m2 + shift * shift * (state["n"] * n / total)
+                mean = state["mean"] + shift * (n / total)
             jac, low, high, n = state["jac"] + jac, np.minimum(state["low"], low), np.maximum(state["high"], high), total
         state.update(n=n, mean=mean, m2=m2, jac=jac, low=low, high=high)
 
     def add_rows(state: dict, part: pd.DataFrame) -> None:
         x = np.stack(part["_x"].to_numpy()).astype(float)
-        merge(state, len(x), *_moments(x, lam), (np.sign(x) * np.log1p(np.abs(x))).sum(axis=0), x.min(axis=0), x.max(axis=0))
+        merge(state, len(x), *_moments(x, state["grid"]), (np.sign(x) * np.log1p(np.abs(x))).sum(axis=0), x.min(axis=0), x.max(axis=0))
 
     def partial(state: dict) -> pd.DataFrame:
-        return state["head"][[*keys, "_part"]].assign(_n=state["n"], **{a: [state[a[1:]].ravel().tolist()] for a in arrays})
+        return state["head"][[*keys, "_part"]].assign(
+            _n=state["n"], _lam=[state["lam"].tolist()], _scale=[state["scale"].tolist()], **{a: [state[a[1:]].ravel().tolist()] for a in arrays})
 
     def add_partials(state: dict, part: pd.DataFrame) -> None:
         for n, *values in zip(part["_n"], *[part[a] for a in arrays]):
@@ -205,17 +215,55 @@ def fit_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector",
             merge(state, int(n), mean.reshape(len(jac), -1), m2.reshape(len(jac), -1), jac, low, high)
 
     def fitted(state: dict) -> pd.DataFrame:
-        v = state["m2"] / state["n"]
-        with np.errstate(divide="ignore"):
-            fit = np.where(v > 1e-300, -state["n"] / 2 * np.log(v) + (lam - 1) * state["jac"][:, None], -np.inf)
-        # Equal likelihoods are told apart by the smaller lambda; the rounding keeps ties stable.
-        best = np.where(state["high"] > state["low"], lam[np.round(fit, 6).argmax(axis=1)], 1.0)
-        out = state["head"][keys].iloc[[0] * len(best)].reset_index(drop=True)
-        return out.assign(dim=np.arange(len(best)), lam=best, n=state["n"])
-
-    fields = ", ".join(f"{a} array<double>" for a in arrays)
+        grid, scale = state["grid"], state["scale"]
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            v = state["m2"] / state["n"]
+            # What is left of a variance after its values have rounded to one number says nothing.
+            good = np.isfinite(v) & (v > 1e-300) & (v > 1e-22 * state["mean"] ** 2)
+            fit = np.where(good, -state["n"] / 2 * np.log(v) + (grid - 1) * state["jac"][:, None], -np.inf)
+        # On the first grid equal likelihoods are told apart by the smaller lambda; the rounding keeps ties stable.
+        at = np.where(scale == 1.0, np.round(fit, 6).argmax(axis=1), fit.argmax(axis=1))
+        same = state["high"] <= state["low"]
+        edge = (at == 0) | (at == len(GRID) - 1)
+        wide = scale * (GRID[1] - GRID[0]) > tolerance
+        following = np.where(edge, scale * 2, np.where(wide, scale / HALF, scale))
+        best = np.where(same, 1.0, grid[np.arange(len(at)), at])
+        return state["head"][keys].assign(n=state["n"], _lam=[best.tolist()], _scale=[following.tolist()], _open=bool(((edge | wide) & ~same).any()))
+
+    fields = ", ".join(f"{a} array<double>" for a in ["_lam", "_scale", *arrays])
     parts = ordered_fold(split, [*keys, "_part"], [], start, add_rows, f"{key_fields}, _part bigint, _n bigint, {fields}", partial)
-    return ordered_fold(parts, keys, ["_part"], start, add_partials, f"{key_fields}, dim int, lam double, n bigint", fitted)
+    return ordered_fold(parts, keys, ["_part"], start, add_partials, f"{key_fields}, n bigint, _lam array<double>, _scale array<double>, _open boolean", fitted)
+
+
+def _first_grid(split: DataFrame) -> DataFrame:
+    return split.withColumns({c: F.lit(None).cast("array<double>") for c in ("_lam", "_scale")})
+
+
+def _by_dimension(found: DataFrame, keys: list[str]) -> DataFrame:
+    return found.select(*keys, "n", F.posexplode("_lam").alias("dim", "lam")).select(*keys, "dim", "lam", "n")
+
+
+def grid_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector", chunk: int = 20_000) -> DataFrame:
+    """Most likely lambda on the grid from -2 to 2 per key and dimension, the first pass of ``fit_lambdas``."""
+    keys = list(keys)
+    return _by_dimension(_grid_pass(_first_grid(_split_rows(vectors, keys, vector, chunk)), keys, np.inf), keys)
+
+
+def fit_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector", chunk: int = 20_000, tolerance: float = 1e-4) -> DataFrame:
+    """Most likely lambda per key and dimension, without bounds; 1 for a constant dimension.
+
+    Starts from the grid from -2 to 2. An optimum on the edge moves the grid there and doubles it, one inside narrows it
+    to the neighbouring steps, until all are inside and steps are within the tolerance. Each pass reads the rows of the
+    keys that are still open.
+    """
+    keys = list(keys)
+    split = materialise(_split_rows(vectors, keys, vector, chunk), "power-rows")
+    found = materialise(_grid_pass(_first_grid(split), keys, tolerance), "power-pass")
+    out = found.filter("NOT _open")
+    while not (left := found.filter("_open")).isEmpty():
+        found = materialise(_grid_pass(split.join(left.select(*keys, "_lam", "_scale"), keys), keys, tolerance), "power-pass")
+        out = out.unionByName(found.filter("NOT _open"))
+    return _by_dimension(out, keys)
 
 
 def refit_due(n_before: Column, first: int = 100, every: int = 5000) -> Column:

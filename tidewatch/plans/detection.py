@@ -281,6 +281,12 @@ l AS (SELECT label, dim, lam, count(*) AS n, var_pop({_YJ}) AS v, sum(sign(x) *
 SELECT label, dim::INTEGER AS dim, n, CASE WHEN span > 0 THEN lam ELSE 1 END AS lam FROM l
 QUALIFY row_number() OVER (PARTITION BY label, dim ORDER BY round(-n / 2 * ln(v) + (lam - 1) * j, 6) DESC, lam) = 1"""))
 def d14_fit(spark, sf_dir):
+    """The first grid only, as its SQL asks."""
+    return B.grid_lambdas(vectors(spark, sf_dir), ["label"]).select("label", "dim", "n", "lam")
+
+
+@query("d14_power_fit_whole")
+def d14_fit_whole(spark, sf_dir):
     return B.fit_lambdas(vectors(spark, sf_dir), ["label"]).select("label", "dim", "n", "lam")
 
 
