@@ -325,3 +325,17 @@ def test_power_fit_has_no_bounds(spark):
             low, high = (low, q) if likelihood(x[:, d], p) > likelihood(x[:, d], q) else (p, high)
         assert abs(got[d] - low) < 2e-4, d
     assert min(got.values()) < -2 and max(got.values()) > 2 and got[5] == 1.0
+
+
+@pytest.mark.parametrize("name", ["m9_window_inference", "t6_feature_importance"])
+def test_forests_are_of_full_size(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def train(rows, **settings):
+        raise Asked(settings)
+
+    monkeypatch.setattr(M, "train_tabular", train)
+    with pytest.raises(Asked) as asked:
+        entry.queries()[name](spark, SF)
+    assert asked.value.args == ({},)
