@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, exact_dedup, language, mixing, ngram_join, secrets, sharding, toxicity, warc
+from tidewatch.llm import chat, decontaminate, exact_dedup, language, mixing, ngram_join, secrets, sharding, spelling, toxicity, warc
 from tidewatch.llm.common import share_of_id, table
 from tidewatch.session import scratch_dir
 
@@ -235,3 +235,39 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
     )
+
+
+def _crc32(value: str) -> str:
+    """DuckDB: the crc32 of a string's UTF-8 bytes, byte by byte."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    octets = f"[('0x' || substr(hex(encode({value})), 2 * k - 1, 2))::BIGINT FOR k IN range(1, strlen({value}) + 1)]"
+    step = f"xor(c >> 8, ({table})[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+    WITH RECURSIVE t AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS raw FROM documents),
+    l AS (SELECT id, translate(raw, '{spelling.UPPER}', '{spelling.UPPER.lower()}') AS run, count(*) AS k FROM t WHERE length(raw) >= 6 GROUP BY ALL),
+    h AS (SELECT run, k, {_crc32("id || ':' || run")} AS h FROM l),
+    w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM h),
+    v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+    -- Words one edit apart share what is left of them without one letter at one place, or one is such a rest of the other.
+    g AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) u(p)),
+    e AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM g a JOIN g b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM g a JOIN v b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM g a JOIN v b ON a.rest = b.word),
+    b AS (SELECT word, count(*) AS near, arg_min(other, (-n, other)) AS best, max(n) AS best_n FROM e GROUP BY word),
+    f AS (SELECT v.word, v.n, coalesce(near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form,
+                 CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+    r(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+    SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word)""",
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), typo=199)
