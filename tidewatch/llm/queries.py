@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, exact_dedup, language, mixing, ngram_join, secrets, sharding, spelling, toxicity, warc
+from tidewatch.llm import chat, decontaminate, exact_dedup, language, mixing, neighbours, ngram_join, secrets, sharding, spelling, toxicity, warc, whitening
 from tidewatch.llm.common import share_of_id, table
 from tidewatch.session import scratch_dir
 
@@ -271,3 +271,13 @@ def _crc32(value: str) -> str:
 )
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), typo=199)
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=32)
+
+
+@query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
