@@ -59,6 +59,47 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Workspace:
+    """Intermediate tables of one computation in a folder of the shared scratch space, removed as soon as they are of no use.
+
+    ``write`` cuts the lineage like ``materialise``; shuffle files are given back when the table is written, as nothing can ask for them
+    later. Used as a context manager, it removes what is left of the folder at the end, also after a failure.
+    """
+
+    FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.count = spark, scratch_dir(spark, name), 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.base)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.base}/{self.count}-{name}"
+        before = self.spark.conf.get(self.FREE, "false")
+        self.spark.conf.set(self.FREE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.FREE, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._workspace_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that ``write`` returned; frames made of them must not be used any more."""
+        for t in tables:
+            self._remove(t._workspace_path)
+
+    def _remove(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read back.
 
