@@ -59,15 +59,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Gives shuffle files back at the end of a query.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 class Workspace:
     """Intermediate tables of one computation in a folder of the shared scratch space, removed as soon as they are of no use.
 
-    ``write`` cuts the lineage like ``materialise``; shuffle files are given back when the table is written, as nothing can ask for them
-    later. Used as a context manager, it removes what is left of the folder at the end, also after a failure.
+    ``write`` cuts the lineage like ``materialise``. Used as a context manager, it removes what is left of the folder at the end, also after a failure.
     """
 
-    FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, scratch_dir(spark, name), 0
 
@@ -80,12 +91,7 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}-{name}"
-        before = self.spark.conf.get(self.FREE, "false")
-        self.spark.conf.set(self.FREE, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(self.FREE, before)
+        _write(df, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -103,8 +109,9 @@ class Workspace:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write once to the shared folder and read back.
 
-    Unlike a local checkpoint the files survive the loss of executors.
+    Unlike a local checkpoint the files survive the loss of executors. Shuffle files are given back when the table is
+    written, as nothing can ask for them later.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
