@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from tidewatch.llm.common import table, without
+from tidewatch.llm.common import private, table, without
 from tidewatch.llm.queries import toxic_labels
 from tidewatch.session import materialise
 
@@ -18,7 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5. The model is fitted on the labelled rows that are not held out."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     model = toxicity.train(texts, toxic_labels(spark, sf_dir))
-    return without(toxicity.score_toxicity(docs, model).filter("score < 0.5"), ["score"])
+    (score,) = private(docs, "score")
+    return without(toxicity.score_toxicity(docs, model, score_col=score).filter(F.col(score) < 0.5), [score])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A turn is "### role:\n" text "\n</turn>\n". Inside roles and texts these get a backslash before them.
+#: A turn is "### role:\n" text "\n</turn>\n". Inside roles and texts these get a backslash before them, so that unescaped
+#: they only stand where a turn begins or ends, and turns can be told apart in the output alone.
 CONTROLS = r"(\\|###|</turn>)"
 ROLE_CONTROLS = r"(\\|###|</turn>|:)"
-TURN = re.compile(r"### ((?:\\.|[^\\:])*):\n((?:\\.|[^\\])*)\n</turn>\n", re.DOTALL)
+_TEXT = r"(?:[^\\#<]|\\(?:\\|###|</turn>)|#(?!##)|<(?!/turn>))*+"
+_ROLE = r"(?:[^\\#<:]|\\(?:\\|###|</turn>|:)|#(?!##)|<(?!/turn>))*+"
+TURN = re.compile(rf"### ({_ROLE}):\n({_TEXT})</turn>\n")
 LEARNED = "assistant"
 DELTA = 256
 
@@ -23,13 +26,14 @@ def escape(text: Column, controls: str = CONTROLS) -> Column:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return re.sub(r"\\(\\|###|</turn>|:)", r"\1", text)
 
 
 def rows_to_events(rows: DataFrame, delta: int = DELTA) -> DataFrame:
     """The event log of a table of finished turns (conv_id, turn, role, text): each opens and streams its text in deltas.
 
-    Rows of one conversation and turn are messages of their own, told apart by ``nth`` in order of role and text.
+    Rows of one conversation and turn are messages of their own, told apart by ``nth`` in order of role and text; repeated rows are
+    messages each. Null texts are empty, null keys and roles are kept, other columns are ignored, an empty table gives no event.
     """
     nth = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = rows.select("conv_id", "turn", "role", "text").withColumn("nth", F.row_number().over(nth))
@@ -78,16 +82,17 @@ def render(messages: DataFrame, learned: str = LEARNED) -> DataFrame:
     """The formatted turns: conv_id, turn, nth, formatted, loss_from, loss_to.
 
     A conversation's output is its ``formatted`` texts in order of (turn, nth). The loss mask of a turn is the range
-    loss_from .. loss_to of code points: the escaped text of a ``learned`` role, else empty (both 0).
+    loss_from .. loss_to of code points: the escaped text of a ``learned`` role, else empty (both 0). Null roles and texts are empty,
+    other columns are ignored.
     """
-    head = F.concat(F.lit("### "), escape(F.col("role"), ROLE_CONTROLS), F.lit(":\n"))
-    body = escape(F.col("text"))
-    loss = F.col("role") == learned
-    return messages.withColumns({"__head": head, "__body": body}).select(
+    head = F.concat(F.lit("### "), escape(F.coalesce("role", F.lit("")), ROLE_CONTROLS), F.lit(":\n"))
+    body = escape(F.coalesce("text", F.lit("")))
+    loss = F.coalesce(F.col("role") == learned, F.lit(False))
+    return messages.select("conv_id", "turn", "nth", head.alias("head"), body.alias("body"), loss.alias("loss")).select(
         "conv_id", "turn", "nth",
-        F.concat("__head", "__body", F.lit("\n</turn>\n")).alias("formatted"),
-        F.when(loss, F.length("__head")).otherwise(0).cast("long").alias("loss_from"),
-        F.when(loss, F.length("__head") + F.length("__body")).otherwise(0).cast("long").alias("loss_to"),
+        F.concat("head", "body", F.lit("\n</turn>\n")).alias("formatted"),
+        F.when(F.col("loss"), F.length("head")).otherwise(0).cast("long").alias("loss_from"),
+        F.when(F.col("loss"), F.length("head") + F.length("body")).otherwise(0).cast("long").alias("loss_to"),
     )
 
 
@@ -96,18 +101,38 @@ def format_conversations(events: DataFrame, learned: str = LEARNED) -> DataFrame
     return render(fold_events(events), learned)
 
 
-def parse_turn(formatted: str) -> tuple[str, str]:
-    """(role, text) of one formatted turn."""
-    m = TURN.fullmatch(formatted)
-    if m is None:
-        raise ValueError("not a formatted turn")
-    return unescape(m[1]), unescape(m[2])
+class TurnReader:
+    """Splits formatted text, given in pieces of any length, into (role, text) by its turn marks alone."""
+
+    def __init__(self):
+        self.held = ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        self.held = self.held + piece if self.held else piece
+        at = 0
+        while m := TURN.match(self.held, at):
+            yield unescape(m[1]), unescape(m[2][:-1])
+            at = m.end()
+        self.held = self.held[at:]
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError("the formatted text does not end with a turn")
+
+
+def parse_conversation(formatted: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a formatted conversation; raises where it is none."""
+    reader = TurnReader()
+    out = list(reader.feed(formatted))
+    reader.close()
+    return out
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the rendered turns alone.
+    """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the output alone.
 
-    Hashes run over a conversation in order, so its turns pass through one task, one at a time; only the state of the
+    A conversation is its ``formatted`` texts one after the other; its turns are found by the marks in them, not by rows. The loss is what the masks
+    cut out of them. Rows of a null conversation are one conversation, an empty table gives an empty result. Hashes run over a conversation in order, so its turns pass through one task, one at a time; only the state of the
     hashes is held, whatever the length.
     """
 
@@ -115,7 +140,8 @@ def read_back(turns: DataFrame) -> DataFrame:
         state: list = []
 
         def close() -> pa.RecordBatch:
-            key, n, turns_hash, chars, loss_hash, size = state
+            key, n, turns_hash, chars, loss_hash, size, reader = state
+            reader.close()
             row = {"conv_id": key, "n_turns": n, "turns_sha256": turns_hash.hexdigest(), "loss_chars": chars, "loss_sha256": loss_hash.hexdigest(), "formatted_chars": size}
             return pa.RecordBatch.from_pylist([row], schema=shape)
 
@@ -124,10 +150,10 @@ def read_back(turns: DataFrame) -> DataFrame:
                 if not state or state[0] != row["conv_id"]:
                     if state:
                         yield close()
-                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse_turn(row["formatted"])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, TurnReader()]
+                for role, text in state[6].feed(row["formatted"]):
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 loss = unescape(row["formatted"][row["loss_from"] : row["loss_to"]])
                 state[3] += len(loss)
                 state[4].update(loss.encode("utf-8", "surrogatepass"))

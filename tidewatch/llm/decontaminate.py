@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_side
+from tidewatch.llm.common import private, row_key, small_side
 from tidewatch.session import materialise
 
 
@@ -27,7 +27,9 @@ class Settings:
     budget: float = 0.07
     q: int = 8
     #: Characters of benchmark text that are sent to the executors at a time; more items go in several rounds.
-    block_chars: int = 2_000_000
+    block_chars: int = 500_000
+    #: Postings that are held at a time while a text is searched.
+    slice_hits: int = 1_000_000
 
 
 def plain(text: str | None) -> np.ndarray:
@@ -60,14 +62,16 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best occurrence of ``pattern`` in ``text``; edits is ``most`` + 1 if there is none.
+def banded_ends(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best occurrence of ``pattern`` in ``text`` for each place where one can end; beyond ``most`` edits the
+    numbers only say that there is none.
 
     Cells lie on the diagonals of ``text``: column j of row i is text position i + j - most. The start of each path is carried.
     """
     width = len(text) - len(pattern) + 2 * most + 1
     if width <= 0:
-        return most + 1, 0, 0
+        none = np.zeros(0, np.int64)
+        return none, none, none
     big = len(pattern) + len(text) + 1
     j = np.arange(width)
     at = j - most
@@ -86,9 +90,16 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[i
         cost = run + j
         source = np.maximum.accumulate(np.where(best - j == run, j, 0))
         begin = origin[source]
+    return cost, begin, at + len(pattern)
+
+
+def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
+    """(edits, start, end) of the best occurrence of ``pattern`` in ``text``; edits is ``most`` + 1 if there is none."""
+    cost, begin, end = banded_ends(pattern, text, most)
+    if not len(cost) or cost.min() > most:
+        return most + 1, 0, 0
     k = int(cost.argmin())
-    edits = int(cost[k])
-    return (edits, int(begin[k]), int(at[k] + len(pattern))) if edits <= most else (most + 1, 0, 0)
+    return int(cost[k]), int(begin[k]), int(end[k])
 
 
 def _aligned(text: bytes, pattern: bytes) -> int:
@@ -159,26 +170,51 @@ class Index:
         np.add.at(near, rich + span, -1)
         at = np.flatnonzero(hit & (np.cumsum(near)[:-1] > 0))
         low, high = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-        n = high - low
-        pos = np.repeat(at, n)
-        entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = self.window[entry]
-        # Paths of a match within e edits stay within e diagonals, so inside one of two overlapping bands.
-        wide = self.edits[window] + 1
-        band = (pos - self.place[entry]) // wide
         shift = 1 << 40  # bands may be negative
-        both = np.concatenate([window, window]) * (2 * shift) + np.concatenate([band, band - 1]) + shift
-        cells, counts = np.unique(both, return_counts=True)
+        cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        done = np.concatenate([[0], np.cumsum(high - low)])
+        begin = 0
+        while begin < len(at):
+            # One position has at most as many postings as windows hold its q-gram; so many positions that the slice is about full.
+            stop = max(begin + 1, int(np.searchsorted(done, done[begin] + self.settings.slice_hits, "right")) - 1)
+            n = (high - low)[begin:stop]
+            pos = np.repeat(at[begin:stop], n)
+            entry = np.repeat(low[begin:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            window = self.window[entry]
+            # Paths of a match within e edits stay within e diagonals, so inside one of two overlapping bands.
+            wide = self.edits[window] + 1
+            band = (pos - self.place[entry]) // wide
+            both = np.concatenate([window, window]) * (2 * shift) + np.concatenate([band, band - 1]) + shift
+            part, seen = np.unique(both, return_counts=True)
+            cells, place = np.unique(np.concatenate([cells, part]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, seen]), len(cells)).astype(np.int64)
+            begin = stop
         cells = cells[counts >= self.need[cells // (2 * shift)]]
         found: set[tuple[int, int, int, int]] = set()
-        for w, b in zip((cells // (2 * shift)).tolist(), (cells % (2 * shift) - shift).tolist(), strict=True):
+        window, band = cells // (2 * shift), cells % (2 * shift) - shift
+        # More than a few bands of a window that touch are one region and aligned at once; each reports its best occurrence.
+        new = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (band[1:] > band[:-1] + 2)])) if len(cells) else cells
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(cells)], strict=True):
+            w = int(window[a])
             e, p = int(self.edits[w]), self.patterns[w]
-            begin = max(0, b * (e + 1) - e)
-            region = codes[begin : (b + 2) * (e + 1) + len(p) + e]
-            at = _aligned(region.tobytes(), p.tobytes())  # an unedited copy needs no alignment
-            edits, start, end = (0, at, at + len(p)) if at >= 0 else banded_distance(p, region, e)
-            if edits <= e:
-                found.add((self.items[w], begin + start, begin + end, edits))
+            if b - a <= 3:
+                for own in band[a:b].tolist():
+                    first = max(0, own * (e + 1) - e)
+                    region = codes[first : (own + 2) * (e + 1) + len(p) + e]
+                    k = _aligned(region.tobytes(), p.tobytes())  # an unedited copy needs no alignment
+                    edits, start, end = (0, k, k + len(p)) if k >= 0 else banded_distance(p, region, e)
+                    if edits <= e:
+                        found.add((self.items[w], first + start, first + end, edits))
+                continue
+            first = max(0, int(band[a]) * (e + 1) - e)
+            region = codes[first : (int(band[b - 1]) + 2) * (e + 1) + len(p) + e]
+            cost, start, end = banded_ends(p, region, e)
+            for own in band[a:b].tolist():
+                # Ends that lie in the region of this band alone.
+                left = max(0, own * (e + 1) - e) - first
+                s = slice(max(0, left), max(0, (own + 2) * (e + 1) + e - first + e + 1))
+                if len(cost[s]) and (k := int(cost[s].argmin()) + s.start) < len(cost) and cost[k] <= e:
+                    found.add((self.items[w], first + int(start[k]), first + int(end[k]), int(cost[k])))
         return sorted(found)
 
 
@@ -199,17 +235,20 @@ def find_passages(
 ) -> DataFrame:
     """One row per passage found: id, item_id, start, end (code points, end exclusive), edits, windows.
 
+    Items of fewer than ``q`` (8) characters cannot be searched and are left out. A passage is found for certain if it holds a whole window, that is from
+    window + step - 1 (89) characters on within the budget of edits; of shorter ones those that hold a window or are a whole item.
+
     Case and the kind of white space do not count, see ``Settings`` for what does. Documents are read whole. Documents and
-    items with null or empty text have no passages; a row without id reports a null id; repeated rows and repeated items
-    are reported each; an empty table on either side gives an empty result; other columns are ignored.
+    items with null or empty text have no passages; a row without id reports a null id; repeated rows
+    are reported each, items that repeat id and text once; an empty table on either side gives an empty result; other columns are ignored.
 
-    The benchmark is a query set: it is sent to the executors in blocks of at most ``block_chars`` characters, one
-    scan of the documents for each, and the documents are never shuffled.
+    The benchmark is a query set: it is sent to the executors in blocks of about ``block_chars`` characters (more only where one item is
+    longer), one scan of the documents for each, and the documents are never shuffled. Long and repetitive
+    texts (runs of one character) are read in slices of ``slice_hits`` postings, and touching bands are aligned once.
     """
     s = settings or Settings()
-    length = F.length(item_text)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("body")).filter("length(body) > 0")
-    total = benchmark.agg(F.sum(length)).first()[0] or 0
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("body")).filter("length(body) > 0").distinct()
+    total = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = 1 + total // s.block_chars
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = f"{id_col} long, {item_col} long, start long, end long, edits int, windows int"
@@ -234,7 +273,11 @@ def find_passages(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a passage; rows without an id are kept."""
-    found = find_passages(docs, benchmark, settings, id_col, text_col)
-    hit = materialise(found.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct(), "contaminated")
-    return docs.join(small_side(hit), F.col(id_col) == F.col("__id"), "left_anti")
+    """``docs`` without the documents that hold a passage. A row without id is told by its text, so it goes, too, if its text holds one.
+
+    All columns are kept as they are; null and empty texts hold no passage, rows that repeat an id go with it.
+    """
+    found = find_passages(docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, settings)
+    (gone,) = private(docs, "gone")
+    hit = materialise(found.select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
+    return docs.join(small_side(hit), row_key(id_col, text_col) == F.col(gone), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.chargrams import frequencies, mean_of
-from tidewatch.llm.common import without
+from tidewatch.llm.common import bounded_sample, without
 from tidewatch.session import materialise
 
 #: Families of common languages by ISO 639-1 code; a language that is not listed is a family of its own.
@@ -109,7 +109,8 @@ class Model:
 def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     """Fit on ``labelled`` (id, text, lang); rows without text or language are left out.
 
-    Of each language at most ``rows_per_language`` rows are used, those whose ids hash lowest; whole texts are read. The
+    Of each language at most ``rows_per_language`` rows are used, those whose ids hash lowest; whole texts are read, rows
+    that repeat id, language and text count once. The
     features are frequencies of hashed character n-grams. One machine per family tells it from the others, one per pair
     of its languages tells these apart. Without rows every text is predicted as unknown.
     """
@@ -129,7 +130,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
     chosen = picks[0]
     for p in picks[1:]:
         chosen = chosen.union(p)
-    sample = labelled.join(F.broadcast(materialise(chosen.distinct(), "picks")), ["id", "lang"])
+    sample = bounded_sample(labelled, materialise(chosen.distinct(), "picks"), "lang", s.rows_per_language)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

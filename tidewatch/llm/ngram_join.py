@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import few, sized, small_side
+from tidewatch.llm.common import WORD, few, private, row_key, sized, small_side
 from tidewatch.llm.components import components
 from tidewatch.llm.textarrays import U, mix, shingles, word_hashes
-from tidewatch.session import materialise
+from tidewatch.session import Workspace, materialise
 
 #: Ratio of neighbouring band edges, and rows of a tile that are compared in one cell.
 BAND, BLOCK = 1.5, 2048
@@ -241,62 +241,50 @@ def _shared(tiles: DataFrame) -> DataFrame:
     return tiles.filter("prev <> node or (place = 1 and next <> node)").select("tile", "node")
 
 
-def shingle_components(
-    docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links).
-
-    A document's set holds its distinct runs of ``n`` words; with fewer words all of them as one run. Two documents are
-    linked if 100 * intersection >= ``percent`` * union. A null or empty text, or one of white space, has an empty set
-    and is linked with nothing. Rows that repeat an id count as one document; a row without id takes part under a key of
-    its text and gets the smallest real id it is linked with, or null. Other columns are ignored. Texts of any length are
-    read whole. Shingles are compared by 64-bit hashes.
-
-    1. One pass gives each document's size, digest, tile keys (see ``Bands``) and bitmap. Equal sets are one node.
-    2. Sets that share a key meet in a tile. In each tile neighbours in a similarity-preserving order (least shingle
-       hash) make candidate pairs, so a tile gives fewer pairs than rows. Bitmaps bound the overlap from
-       above, sorted arrays are intersected exactly for what is left.
-    3. Tiles of three or more sets that still hold several components are compared in full, in cells of at most
-       2 * BLOCK rows. First each set proposes the closest one of another component, again at most a pair for each
-       row; what is then still in different components and not ruled out by the bitmaps is verified pair by pair. So no
-       link is lost, and a large group of near copies costs little once it is connected.
-    """
-    none = F.lit("")
-    base = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), none))).alias("key"),
-        F.col(text_col).alias("text"),
-    )
+def _representatives(docs: DataFrame, work: Workspace, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, size, component, stays): ``component`` is the smallest real id of the component or null, ``stays`` the key that represents it."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     schema = "id long, key long, size long, one long, two long, sketch long, keys array<long>, bits binary"
-    rows = materialise(base.mapInArrow(_features(n, percent), schema), "shingles")
+    full = work.write(base.mapInArrow(_features(n, percent), schema), "shingles")
+    rows = work.write(full.select("id", "key", "size", "one", "two"), "sizes")
     total = rows.count()
     same = rows.filter("size > 0").groupBy("one", "two").agg(F.min("key").alias("node"), F.min("id").alias("least"))
-    same = materialise(sized(same, total), "sets")
-    nodes = rows.join(same.select(F.col("node").alias("key")), "key", "left_semi")
-    traits = nodes.select(F.col("key").alias("node"), "size", "sketch", "bits")
+    same = work.write(sized(same, total), "sets")
+    nodes = full.join(same.select(F.col("node").alias("key")), "key", "left_semi")
 
-    tiles = materialise(_shared(nodes.select(F.col("key").alias("node"), F.explode("keys").alias("tile"))), "tiles")
+    tiles = work.write(_shared(nodes.select(F.col("key").alias("node"), F.explode("keys").alias("tile"))), "tiles")
     met = tiles.count()
-    wanted = materialise(sized(tiles.select("node").distinct(), met), "wanted")
+    wanted = work.write(sized(tiles.select("node").distinct(), met), "wanted")
     count = wanted.count()
-    traits = materialise(traits.join(small_side(wanted), "node", "left_semi"), "traits")
-    sets = base.join(small_side(wanted.withColumnRenamed("node", "key")), "key", "left_semi").select("key", "text")
-    sets = materialise(sets.mapInArrow(_sets(n), "key long, items binary"), "items")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    traits = nodes.select(F.col("key").alias("node"), "size", "sketch", "bits")
+    traits = work.write(traits.join(small_side(wanted), "node", "left_semi"), "traits")
+    work.drop(full, wanted)
+
+    def verified(pairs: DataFrame, held: int) -> DataFrame:
+        """The pairs that are linked. Sets are made again of the texts of the documents that are asked for: they would take more room than these."""
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        ends = work.write(sized(ends, held), "ends")
+        sets = base.join(small_side(ends), "key", "left_semi").select("key", "text").mapInArrow(_sets(n), "key long, items binary")
+        sets = sets.dropDuplicates(["key"]) if rows_repeat else sets
         for end in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("items").alias(f"i{end}")), end)
-        return materialise(pairs.mapInArrow(_linked(percent), "a long, b long"), "linked")
+        out = work.write(pairs.mapInArrow(_linked(percent), "a long, b long"), "linked")
+        work.drop(ends)
+        return out
 
+    # Rows that repeat a key have the same text or are the same document; one of their sets is enough.
+    rows_repeat = total > rows.agg(F.count_distinct("key")).first()[0]
     order = Window.partitionBy("tile").orderBy("sketch", "node")
     close = tiles.join(few(traits.select("node", "sketch"), count), "node").select("node", F.lag("node").over(order).alias("prev"))
     close = close.filter("prev <> node").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b"))
-    tried = materialise(sized(close.distinct(), met), "close")
+    tried = work.write(sized(close.distinct(), met), "close")
     near = tried
     for end in ("a", "b"):
         near = near.join(traits.select(F.col("node").alias(end), F.col("size").alias(f"s{end}"), F.col("bits").alias(f"b{end}")), end)
-    near = materialise(near.mapInArrow(_may_link(percent), "a long, b long"), "near")
-    found = components(verified(near))
+    near = work.write(near.mapInArrow(_may_link(percent), "a long, b long"), "near")
+    links = verified(near, near.count())
+    found = components(links, work)
+    work.drop(near, links)
 
     for nearest in (True, False):
         comps = tiles.join(few(found, count), "node", "left").select("tile", "node", F.coalesce("label", "node").alias("comp"))
@@ -306,34 +294,75 @@ def shingle_components(
         ).filter("rows > 2 and x <> y")
         # Similar sets share many tiles with the same members (told by two 64-bit hashes of them); one of these is enough.
         mixed = mixed.groupBy("rows", "who", "also").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-        cells = comps.join(mixed, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        mixed = work.write(mixed, "mixed")
+        cells = comps.join(small_side(mixed, 500_000), "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("tile", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "comp", "block")
         cells = cells.join(traits.select("node", "size", "bits"), "node").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
         more = cells.mapInArrow(_cells(percent, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
-        if not more.count():
-            continue
-        tried = tried.unionByName(more)
-        found = components(verified(more).unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        more = work.write(more, "pairs")
+        held = more.count()
+        if held:
+            tried = tried.unionByName(more)
+            links = verified(more, held)
+            before, found = found, components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))), work)
+            work.drop(before, links)
+        work.drop(mixed)
 
     # The smallest real id of each component; most nodes are alone and keep the least id of their equal sets.
-    named = same.join(found, "node", "left").select("one", "two", "least", F.coalesce("label", "node").alias("label"))
-    linked = named.join(found.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("least").alias("name"))
-    named = named.join(linked, "label", "left").select("one", "two", F.coalesce("name", "least").alias("component"))
-    out = rows.select("id", "size", "one", "two").join(named, ["one", "two"], "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+    named = same.join(found, "node", "left").select("one", "two", "node", "least", F.coalesce("label", "node").alias("label"))
+    linked = named.join(found.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("least").alias("name"), F.min("node").alias("lowest"))
+    named = named.join(linked, "label", "left").select(
+        "one", "two", F.coalesce("name", F.when(F.col("lowest").isNull(), F.col("least"))).alias("component"), F.coalesce("name", F.coalesce("lowest", "least", "node")).alias("first")
     )
+    out = rows.join(named, ["one", "two"], "left")
+    return out.select("id", "key", "size", "component", F.coalesce("component", "first").alias("stays"))
+
+
+def shingle_components(
+    docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links).
+
+    A document's set holds its distinct runs of ``n`` words; with fewer words all of them as one run. Two documents are
+    linked if 100 * intersection >= ``percent`` * union. A null or empty text, or one of white space, has an empty set
+    and is linked with nothing. Rows that repeat an id count as one document; a row without id takes part under a key of
+    its text and gets the smallest real id it is linked with, or null. Other columns are ignored. Texts of any length are
+    read whole. Shingles are compared by 64-bit hashes.
+
+    1. One pass gives each document's size, digest, tile keys (see ``Bands``) and bitmap. Equal sets are one node.
+    2. Sets that share a key meet in a tile. In each tile neighbours in a similarity-preserving order (least shingle
+       hash) make candidate pairs, so a tile gives fewer pairs than rows. Bitmaps bound the overlap from
+       above, sorted arrays are intersected exactly for what is left.
+    3. Tiles of three or more sets that still hold several components are compared in full, in cells of at most
+       2 * BLOCK rows. First each set proposes the closest one of another component, again at most a pair for each
+       row; what is then still in different components and not ruled out by the bitmaps is verified pair by pair. So no
+       link is lost, and a large group of near copies costs little once it is connected.
+    """
+    with Workspace(docs.sparkSession, "ngram-join") as work:
+        out = _representatives(docs, work, n, percent, id_col, text_col).select(
+            F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
+            F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        )
+        return materialise(out, "components")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay if of each component the document with the smallest id is kept.
 
-    Documents with an empty set are all kept, and so are rows without an id. Rows that repeat the id that stays are one
-    document and all stay. All columns are kept as they are.
+    Documents with an empty set are all kept. Rows that repeat the id that stays are one document and all stay. A row without id goes if its
+    component has a document with an id; of a component without any id one row stays. All columns are kept as they are.
     """
-    found = shingle_components(docs, n, percent, id_col, text_col).filter(F.col(id_col) != F.col("component_id"))
-    go = materialise(found.select(F.col(id_col).alias("__id")).distinct(), "near-copies")
-    return docs.join(small_side(go), F.col(id_col) == F.col("__id"), "left_anti")
+    with Workspace(docs.sparkSession, "near-copies") as work:
+        found = _representatives(docs, work, n, percent, id_col, text_col).filter((F.col("size") > 0) & (F.col("key") != F.col("stays")))
+        (gone,) = private(docs, "gone")
+        go = materialise(found.select(F.col("key").alias(gone)).distinct(), "near-copies")
+    kept = docs.join(small_side(go), row_key(id_col, text_col) == F.col(gone), "left_anti")
+    if kept.filter(F.col(id_col).isNull()).isEmpty():
+        return kept
+    # Of equal texts without id one row stays, told by its other columns; texts without a word are no copies.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    bare = kept.filter(F.col(id_col).isNull())
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    one = bare.filter(~wordless).groupBy(row_key(id_col, text_col).alias("key")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return kept.filter(F.col(id_col).isNotNull()).unionByName(bare.filter(wordless)).unionByName(one.select("row.*"))

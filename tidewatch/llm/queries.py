@@ -176,7 +176,7 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs.withColumnRenamed("doc_id", "id"), toxic_labels(spark, sf_dir))
+    model = toxicity.train(docs.select(F.col("doc_id").alias("id"), "text"), toxic_labels(spark, sf_dir))
     held = F.coalesce(share_of_id("doc_id", 5) == 0, F.lit(False))
     found = toxicity.score_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model, keep_text=False)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -226,15 +226,17 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
-    back = warc.read_warc(spark, path, ["record_type", "page_id", "refers_to", "payload_digest", "payload_length", "payload"])
-    full = F.col("record_type") == "response"
-    return back.select(
-        "page_id",
-        F.when(full, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
+    # Two reads, told apart by a header: revisits need no payload, so theirs are stepped over.
+    fields = ["record_type", "page_id", "refers_to", "payload_digest", "payload_length"]
+    full = warc.read_warc(spark, path, ["record_type", "page_id", "payload"], verify=True).filter(F.col("record_type") == "response").select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
+    again = warc.read_warc(spark, path, fields).filter(F.col("record_type") == "revisit").select(
+        "page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
         F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
     )
+    return full.unionByName(again)
 
 
 def _crc32(value: str) -> str:

@@ -113,28 +113,49 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], key: Column, text: Column
     )
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, kind, end), in code points, of one rule.
+def running(lengths: Column) -> Column:
+    """Array of the running sums of an array of ints.
 
-    The pieces between the matches (split) and the matches themselves (regexp_extract_all) alternate, so running
-    lengths give the positions.
+    An array that is built by adding one element at a time is copied each time, so the sums are built in blocks of about the square root of
+    the size: first the sum of each block, then where each begins, then the sums within.
     """
-    found = lambda group: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group))
-    pieces = F.split(text, rule.pattern, -1)
-    pairs = F.arrays_zip(
-        F.transform(pieces, lambda x: F.length(x)).alias("skip"),
-        F.transform(found(0), lambda x: F.length(x)).alias("size"),
-        F.transform(found(rule.group), lambda x: F.length(x) >= rule.least).alias("good"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int,good:boolean>>").alias("out"))
+    width = F.ceil(F.sqrt(F.greatest(F.size(lengths), F.lit(1)))).cast("int")
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / width).cast("int"))
+    blocks = F.transform(numbers, lambda k: F.slice(lengths, k * width + 1, width))
+
+    def sums(values: Column, first: Column) -> Column:
+        start = F.array(first)
+        return F.aggregate(values, start, lambda out, v: F.concat(out, F.array(F.element_at(out, -1) + v)))
+
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+    begins = sums(totals, F.lit(0))
+    return F.flatten(F.zip_with(F.slice(begins, 1, F.size(blocks)), blocks, lambda s, x: F.slice(sums(x, s), 2, F.greatest(F.size(x), F.lit(1)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.coalesce(x["skip"], F.lit(0))
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.coalesce(x["good"], F.lit(False)).alias("good"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.filter(F.aggregate(pairs, start, step)["out"], lambda s: s["good"])
+def _spans(text: Column, rule: Rule) -> Column:
+    """Array of (start, kind, end, good), in code points, of one rule.
+
+    One pass of the regex puts marks around every match, and the group that counts behind it. Between the marks stand, in turn, skipped text, a match
+    (and its group); running lengths of the first two give the positions. A mark that the text itself holds becomes
+    another character before, which no rule asks for.
+    """
+    mark, parts = "\x00", 2 if rule.group == 0 else 3
+    marked = F.regexp_replace(F.translate(text, mark, "\x01"), F.lit(rule.pattern), F.lit(f"{mark}$0{mark}" + f"${rule.group}{mark}" * (parts == 3)))
+    pieces = F.split(marked, mark, -1)
+    lengths = F.transform(pieces, lambda x: F.length(x))
+    moves = F.filter(lengths, lambda x, i: i % parts < 2) if parts == 3 else lengths
+    ends = running(moves)
+    count = F.floor(F.size(pieces) / parts).cast("int")
+    empty = F.array().cast("array<struct<start:int,kind:string,end:int,good:boolean>>")
+
+    def span(k: Column) -> Column:
+        size = F.element_at(lengths, k * parts + parts)
+        return F.struct(
+            F.element_at(ends, 2 * k + 1).alias("start"), F.lit(rule.kind).alias("kind"), F.element_at(ends, 2 * k + 2).alias("end"),
+            (size >= rule.least).alias("good"),
+        )
+
+    return F.when(count > 0, F.filter(F.transform(F.sequence(F.lit(0), count - 1), span), lambda s: s["good"])).otherwise(empty)
 
 
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,29 +4,31 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import without
+from tidewatch.llm.common import rank_in, without
 from tidewatch.session import materialise
 
-SIZE, KEY = "__bytes", "__key"
+SIZE, KEY = "bytes", "key"
 FULL = 2.0  # a range is overfull from this many times the aimed size
 
 
-def _sized(docs: DataFrame, text_col: str) -> DataFrame:
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, bytes, key, and all columns as one, so that none of theirs meets one of ours."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({SIZE: F.octet_length(text).cast("long") + 1, KEY: F.xxhash64(text)})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias(SIZE), F.xxhash64(text).alias(KEY), row.alias("row"))
 
 
-def splitters(rows: DataFrame, id_col: str, total: int, ranges: int, samples: int, seed: int) -> list[int]:
+def splitters(rows: DataFrame, total: int, ranges: int, samples: int, seed: int) -> list[int]:
     """At most ``ranges`` - 1 keys that cut the rows into ranges of about equal bytes.
 
     Each row is drawn with probability samples * bytes / total, by a hash of its key and id, so reruns draw the same.
     A drawn row weighs total / samples, or its own bytes if it is larger. The sample is bounded by twice ``samples``.
     """
     step = total / samples
-    draw = (F.xxhash64(F.lit(seed), KEY, F.col(id_col)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
+    draw = (F.xxhash64(F.lit(seed), KEY, "id").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     sample = rows.filter(draw * step < F.col(SIZE)).groupBy(KEY).agg(F.sum(F.greatest(F.col(SIZE), F.lit(step))).alias("w"))
     whole = Window.partitionBy()
     upto = whole.orderBy(KEY).rowsBetween(Window.unboundedPreceding, 0)
@@ -36,17 +38,6 @@ def splitters(rows: DataFrame, id_col: str, total: int, ranges: int, samples: in
     return sorted(r[0] for r in cuts)[: ranges - 1]
 
 
-def _range_of(cuts: list[int]) -> Column:
-    """Number of cuts below the key, by binary search in a constant array."""
-    depth = max(1, len(cuts).bit_length())
-    padded = [*cuts, *[(1 << 63) - 1] * ((1 << depth) - 1 - len(cuts))]
-    padded = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")  # folded into one constant
-    steps = F.lit([1 << k for k in reversed(range(depth))])
-    return F.aggregate(
-        steps, F.lit(0), lambda at, s: F.when(F.element_at(padded, at + s) < F.col(KEY), at + s).otherwise(at)
-    )
-
-
 def shard_documents(
     docs: DataFrame,
     shards: int = 8,
@@ -74,14 +65,14 @@ def shard_documents(
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
     docs = without(docs, ["shard", "slot"])
-    slim = materialise(_sized(docs, text_col).select(id_col, KEY, SIZE), "sizes")
+    slim = materialise(_sized(docs, id_col, text_col).select("id", KEY, SIZE), "sizes")
     total = slim.agg(F.sum(SIZE)).first()[0] or 0
     if not total:
         return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ranges = min(max_ranges, max(per_shard * shards, math.ceil(total / range_bytes)))
     aim = total / ranges
-    cuts = splitters(slim, id_col, total, ranges, ranges * samples_per_range, seed)
-    of_range = _range_of(cuts)
+    cuts = splitters(slim, total, ranges, ranges * samples_per_range, seed)
+    of_range = rank_in(cuts, F.col(KEY))
 
     stats = {r[0]: r[1] for r in slim.groupBy(of_range.alias("r")).agg(F.sum(SIZE)).collect()}
     over = [r for r, b in stats.items() if b > FULL * aim]
@@ -104,7 +95,7 @@ def shard_documents(
             df = without(df.withColumn("__piece", F.coalesce(cell.cast("int"), F.lit(0))), ["__lo", "__width", "__k"])
         if hot:
             df = df.join(F.broadcast(spark.createDataFrame(list(hot.items()), f"{KEY} long, __n int")), KEY, "left")
-            dealt = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.col("__n")).cast("int")
+            dealt = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("__n")).cast("int")
             piece = F.when(F.col("__n").isNull(), F.col("__piece")).otherwise(
                 F.pmod(F.xxhash64(KEY), F.lit(1 << 20)).cast("int") * 1024 + (1 << 20) + dealt
             )
@@ -118,7 +109,7 @@ def shard_documents(
         plan.append((r, piece, shard, filled[shard]))
         before, filled[shard] = before + b, filled[shard] + n
     targets = spark.createDataFrame(plan, "__r int, __piece int, shard int, __from long")
-    inside = Window.partitionBy("__r", "__piece").orderBy(KEY, F.col(id_col).asc_nulls_last())
-    out = placed(_sized(docs, text_col)).withColumn("__n", F.row_number().over(inside))
+    inside = Window.partitionBy("__r", "__piece").orderBy(KEY, F.col("id").asc_nulls_last())
+    out = placed(_sized(docs, id_col, text_col)).withColumn("__n", F.row_number().over(inside))
     out = out.join(F.broadcast(targets), ["__r", "__piece"]).withColumn("slot", F.col("__from") + F.col("__n") - 1)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
+    return out.select("row.*", "shard", "slot")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.chargrams import presence
-from tidewatch.llm.common import without
+from tidewatch.llm.common import bounded_sample, without
 from tidewatch.session import materialise
 
 
@@ -98,10 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     """Fit on ``docs`` (id, text) by ``labels`` (id, label 0 or 1); other labels are left out, a null text counts as empty.
 
     Of each class at most ``rows_per_class`` labels are used, those whose ids hash lowest, so only their texts are read out
-    of the documents. Document frequencies of all n-grams are counted by class in tasks and summed; features are the
+    of the documents; rows that repeat id, label and text count once, and of one id's different texts no more than this bound either. Document frequencies of all n-grams are counted by class in tasks and summed; features are the
     ones with the largest chi-square statistic. Feature values are log-count ratios, smoothed by the class shares, so that
     an unseen n-gram has ratio 0. The intercept is moved to the class shares of all labels. Without rows of
-    both classes the model gives the share of the class. An id with several labels or rows counts with each.
+    both classes the model gives the share of the class. An id with several labels or texts counts with each.
     """
     s = settings or Settings()
     labels = labels.filter(F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label"))
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     if not ones or not zeros:
         return only
     picks = [labels.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(s.rows_per_class) for c in (0, 1)]
-    sample = docs.select("id", "text").join(F.broadcast(materialise(picks[0].union(picks[1]), "picks")), "id")
+    sample = bounded_sample(docs, materialise(picks[0].union(picks[1]), "picks"), "label", s.rows_per_class)
     seen = materialise(sample.select("label", "text").repartition(8).mapInArrow(_presence_of(s), "label int, grams binary"), "grams")
     n1, n0 = (seen.filter(F.col("label") == c).count() for c in (1, 0))
     if not n1 or not n0:
@@ -144,15 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     return Model(s, flat, bias + float(np.log(ones / zeros) - np.log(n1 / n0)))
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with a column score in 0 .. 1; one of that name is replaced. The whole of every text is read.
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, score_col: str = "score") -> DataFrame:
+    """``docs`` with a column score (``score_col``) in 0 .. 1; one of that name is replaced. The whole of every text is read.
 
     A null or empty text has the score of a text without features. An empty table gives an empty result.
     Without ``keep_text`` the text is read but not returned.
     """
-    docs = without(docs, ["score"])
+    docs = without(docs, [score_col])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes for each hash, by the settings
-    shape = docs.withColumn("score", F.lit(0.0))
+    shape = docs.withColumn(score_col, F.lit(0.0))
     at = docs.columns.index(text_col)
     out = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
@@ -161,6 +161,6 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_t
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 score = pa.array(sent.value.score(part.column(at).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in out], score], names=[*[part.schema.names[i] for i in out], "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in out], score], names=[*[part.schema.names[i] for i in out], score_col])
 
     return docs.mapInArrow(run, (shape if keep_text else shape.drop(text_col)).schema)

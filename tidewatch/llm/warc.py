@@ -28,7 +28,7 @@ SCHEMA = ", ".join(f"{k} {v}" for k, v in FIELDS.items())
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "page_id": "x-page-id"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -75,7 +75,7 @@ class _Inflated(io.RawIOBase):
     """The members of a gzip file, one after the other, as one stream."""
 
     def __init__(self, raw):
-        self.raw, self.member, self.rest = raw, zlib.decompressobj(31), b""
+        self.raw, self.member, self.rest, self.begun = raw, zlib.decompressobj(31), b"", False
 
     def readable(self) -> bool:
         return True
@@ -83,10 +83,13 @@ class _Inflated(io.RawIOBase):
     def readinto(self, out) -> int:
         while True:
             if self.member.eof:
-                self.rest, self.member = self.member.unused_data, zlib.decompressobj(31)
+                self.rest, self.member, self.begun = self.member.unused_data, zlib.decompressobj(31), False
             data = self.rest or self.raw.read(1 << 16)
             if not data:
+                if self.begun:
+                    raise ValueError("the gzip file ends inside a member")
                 return 0
+            self.begun = True
             got = self.member.decompress(data, len(out))
             self.rest = self.member.unconsumed_tail
             if got:
@@ -94,20 +97,31 @@ class _Inflated(io.RawIOBase):
                 return len(got)
 
 
-def read_records(path: str, wanted: Sequence[tuple[str, frozenset]], fields: Sequence[str]) -> Iterator[dict]:
+def read_records(path: str, wanted: Sequence[tuple[str, frozenset]], fields: Sequence[str], verify: bool = False) -> Iterator[dict]:
     """Records of one file that satisfy all ``wanted`` (header, values). Headers are parsed first; the block of a record that
-    is not wanted, or whose payload is not among ``fields``, is stepped over."""
+    is not wanted, or whose payload is not among ``fields``, is stepped over.
+
+    A file that ends inside a record, or holds anything else than records, raises; with ``verify`` so does a payload that is read and
+    does not match its digest.
+    """
     system, name = _filesystem(path)
     with system.open_input_file(name) as raw:
         packed = name.endswith(".gz")
         f = io.BufferedReader(_Inflated(raw) if packed else raw, 1 << 18)
 
+        size = None if packed else system.get_file_info(name).size
+
+        def cut() -> ValueError:
+            return ValueError(f"{path} ends inside a record")
+
         def skip(n: int) -> None:
             if packed:
-                while n and (got := len(f.read(min(n, 1 << 18)))):
+                while n:
+                    if not (got := len(f.read(min(n, 1 << 18)))):
+                        raise cut()
                     n -= got
-            else:
-                f.seek(n, 1)
+            elif f.seek(n, 1) > size:
+                raise cut()
 
         while line := f.readline():
             if not line.strip():
@@ -115,9 +129,13 @@ def read_records(path: str, wanted: Sequence[tuple[str, frozenset]], fields: Seq
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"not a WARC record in {path}")
             head: dict[str, str] = {}
-            while (line := f.readline().rstrip(b"\r\n")):
+            while line := f.readline():
+                if not (line := line.rstrip(b"\r\n")):
+                    break
                 k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
                 head[k.strip().lower()] = _unclean(v.strip())
+            else:
+                raise cut()
             length = int(head.get("content-length", 0))
             if not all(head.get(k) in values for k, values in wanted):
                 skip(length)
@@ -125,9 +143,13 @@ def read_records(path: str, wanted: Sequence[tuple[str, frozenset]], fields: Seq
             payload = None
             if "payload" in fields:
                 block = f.read(length)
+                if len(block) < length:
+                    raise cut()
                 payload = block.partition(b"\r\n\r\n")[2] if "application/http" in head.get("content-type", "") else block
                 if head.get("warc-type") == "revisit":
                     payload = None
+                elif verify and (said := head.get("warc-payload-digest", "")).startswith("sha1:") and said[5:] != hashlib.sha1(payload).hexdigest():
+                    raise ValueError(f"{path}: the payload of {head.get('warc-record-id')} does not match its digest")
             else:
                 skip(length)
             number = lambda k: int(head[k]) if head.get(k) else None
@@ -140,9 +162,26 @@ def read_records(path: str, wanted: Sequence[tuple[str, frozenset]], fields: Seq
             yield {k: values[k] for k in fields}
 
 
+def _manifests(system: pafs.FileSystem, root: str) -> dict[str, dict]:
+    out = {}
+    for x in system.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if x.base_name.startswith(MANIFEST):
+            with system.open_input_stream(x.path) as f:
+                out[x.base_name] = json.loads(f.read())
+    return out
+
+
+def listed_files(system: pafs.FileSystem, root: str) -> set[str] | None:
+    """The files that count in a folder: those of every write whose manifest no later write replaces. None without any manifest."""
+    found = _manifests(system, root)
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {x for name, m in found.items() if name not in gone for x in m["files"]} if found else None
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.path, self.fields = options["path"].rstrip("/"), [f.name for f in schema]
+        self.verify = options.get("verify", "false") == "true"
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -160,12 +199,8 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(root)
         if info.type == pafs.FileType.File:
             return [FilePart(self.path, info.size)]
-        manifest = f"{root}/{MANIFEST}"
-        listed = None
-        if system.get_file_info(manifest).type == pafs.FileType.File:
-            with system.open_input_stream(manifest) as f:
-                listed = set(json.loads(f.read()))
         files = [x for x in system.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz"))]
+        listed = listed_files(system, root)
         files = [x for x in files if listed is None or x.base_name in listed]
         return [FilePart(f"{self.path}/{x.base_name}", x.size) for x in sorted(files, key=lambda x: -x.size)]
 
@@ -175,7 +210,7 @@ class WarcReader(DataSourceReader):
         if partition is None:  # no file at all
             return
         rows, held = [], 0
-        for row in read_records(partition.path, self.wanted, self.fields):
+        for row in read_records(partition.path, self.wanted, self.fields, self.verify):
             rows.append(row)
             held += 200 + len(row.get("payload") or b"")
             if held > 4 << 20 or len(rows) == 5000:
@@ -186,10 +221,12 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of about ``file_bytes`` under names of its own; the commit lists those of the tasks that
-    counted, so files of failed or doubled attempts are never read."""
+    """Each task writes files of about ``file_bytes`` under names of its own; the commit adds a manifest of those of the tasks that
+    counted, so files of failed or doubled attempts are never read. Writes add to each other; with ``overwrite`` the manifest also
+    says which earlier ones it takes the place of, so readers see either all old records or all new ones."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.packed = options["path"].rstrip("/"), options.get("compression", "none") == "gzip"
         self.file_bytes = int(options.get("file_bytes", 256 << 20))
 
@@ -218,8 +255,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _filesystem(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        said = {"files": [x for m in messages if m for x in m.files], "replaces": sorted(_manifests(system, root)) if self.overwrite else []}
+        with system.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps(said).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         """Nothing to undo: without a manifest entry no file is read."""
@@ -239,7 +277,7 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def page_records(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -265,15 +303,17 @@ def page_records(pages: DataFrame, least: int = 1000, id_col: str = "page_id", u
     )
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "none", file_bytes: int = 256 << 20) -> None:
-    """Write records (the fields of ``SCHEMA``) to ``path``, a folder that all executors share."""
+def write_warc(records: DataFrame, path: str, compression: str = "none", file_bytes: int = 256 << 20, mode: str = "append") -> None:
+    """Write records (the fields of ``SCHEMA``) to ``path``, a folder that all executors share, beside what it holds (``append``) or in
+    its place (``overwrite``)."""
     records.sparkSession.dataSource.register(WarcSource)
-    records.select(*FIELDS).write.format("warc").option("compression", compression).option("file_bytes", file_bytes).mode("append").save(path)
+    records.select(*FIELDS).write.format("warc").option("compression", compression).option("file_bytes", file_bytes).mode(mode).save(path)
 
 
-def read_warc(spark: SparkSession, path: str, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, fields: Sequence[str] = tuple(FIELDS), verify: bool = False) -> DataFrame:
     """Records of a file or folder. One task reads one file. Equality tests on record_type, record_id, target_uri, refers_to and
-    page_id are pushed down to the headers; payloads are read only if ``fields`` asks for them."""
+    page_id are pushed down to the headers; payloads are read only if ``fields`` asks for them. A truncated file raises; with ``verify`` so does
+    a payload that was read and does not match its digest."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").schema(", ".join(f"{k} {FIELDS[k]}" for k in fields)).load(path)
+    return spark.read.format("warc").option("verify", str(verify).lower()).schema(", ".join(f"{k} {FIELDS[k]}" for k in fields)).load(path)
