@@ -190,10 +190,12 @@ class Index:
             counts = np.bincount(place, np.concatenate([counts, seen]), len(cells)).astype(np.int64)
             begin = stop
         cells = cells[counts >= self.need[cells // (2 * shift)]]
+        if not len(cells):
+            return []
         found: set[tuple[int, int, int, int]] = set()
         window, band = cells // (2 * shift), cells % (2 * shift) - shift
         # More than a few bands of a window that touch are one region and aligned at once; each reports its best occurrence.
-        new = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (band[1:] > band[:-1] + 2)])) if len(cells) else cells
+        new = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (band[1:] > band[:-1] + 2)]))
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(cells)], strict=True):
             w = int(window[a])
             e, p = int(self.edits[w]), self.patterns[w]
