@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.ordered import ordered_fold
-from tidewatch.operators.baseline import ema_update, ensure_psd, learning_rate
+from tidewatch.operators.baseline import PowerMoments, ema_update, ensure_psd, learning_rate, refit_now, transform_one
 from tidewatch.operators.detect import contribution_map, whiten_one
 from tidewatch.settings import (
     COOLDOWN_SECONDS, CUSUM_C1, CUSUM_C2, CUSUM_H, CUSUM_WINDOW, EMA_RATE, ENSEMBLE_DEFAULTS, IDLE_SECONDS, INTERACTION, K_SIGMA, PLATT_SLOPE, SEQUENTIAL, TEMPORAL,
@@ -37,6 +37,8 @@ class DetectorConfig:
     drift_limit: int = 5
     cooldown_ms: int = COOLDOWN_SECONDS * 1000
     ensemble_mode: str = "fallback"
+    power_first: int = 100  # windows after which the power transform is fitted first; 0: never
+    power_every: int = 5000
     generic_mean: list[float] | None = None
     generic_cov: list[float] | None = None
 
@@ -59,6 +61,8 @@ class DetectorState:
     distances: np.ndarray = field(default_factory=lambda: np.zeros(0))
     awake: np.ndarray = field(default_factory=lambda: np.zeros(0))  # distances of windows that updated the CUSUM
     alerted: dict[str, int] = field(default_factory=dict)  # indicator of a rule alert -> when it was last let through
+    lambdas: np.ndarray | None = None
+    power: PowerMoments | None = None
 
 
 def generic_baseline(cfg: DetectorConfig, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +131,15 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     Optional fields: tz_offset; rule_hit, rule_indicator, rule_threat, rule_severity; tabular_prob, text_prob; sensitive (a
     sensitive permission was used); slope (the device's own). They decide, as in the alert that is made of them later,
     whether the window counts as suspicious and may train the baseline.
+
+    The vector is transformed by the lambdas of the device before it is scored. They are fitted on the moments of the vectors that trained the
+    baseline, first after ``power_first`` windows, then every ``power_every``.
     """
     x, mask, now = np.asarray(window["vector"], float), np.asarray(window["mask"], float), int(window["end_ms"])
+    plain = x
+    if state.lambdas is not None:
+        x = transform_one(x, state.lambdas)
+    transformed = state.lambdas is not None
     if state.first_ms == 0:
         state.first_ms = state.last_ms = now
     tz = window.get("tz_offset")
@@ -205,13 +216,18 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     learned = awake and (not suspicious or (acting == "USER_DRIFT" and acting_level <= cfg.drift_limit))
     if learned:
         state.mean, state.cov = ema_update(mean, cov, x, learning_rate(state.n, drift, cfg.ema_rate))
+        if cfg.power_first:
+            state.power = state.power or PowerMoments.empty(len(x))
+            state.power.add(plain)
     elif state.mean is None:
         state.mean, state.cov = mean, cov
+    if cfg.power_first and state.power is not None and state.power.n > 1 and refit_now(state.n, cfg.power_first, cfg.power_every):
+        state.lambdas, state.power = state.power.fitted()
     state.n += 1
     state.last_ms = now
     return {
         "distance": d, "threshold": float(limit), "is_anomaly": bool(anomalous), "probability": probability, "threat_type": threat,
-        "severity": level, "drift": bool(drift), "learned": bool(learned), "rule_passed": bool(rule), "contributions": contribution_map(parts),
+        "severity": level, "drift": bool(drift), "learned": bool(learned), "rule_passed": bool(rule), "transformed": transformed, "contributions": contribution_map(parts),
         "distance_mean": state.distance_mean, "distance_std": state.distance_std, "cusum_pos": state.cusum_pos,
         "cusum_neg": state.cusum_neg, "cusum_h": state.cusum_h,
     }
@@ -219,11 +235,23 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
 
 RESULT_DDL = (
     "device_id string, window_id bigint, end_ms bigint, distance double, threshold double, is_anomaly boolean, probability double, "
-    "threat_type string, severity int, drift boolean, learned boolean, rule_passed boolean, contributions map<int,double>, distance_mean double, "
+    "threat_type string, severity int, drift boolean, learned boolean, rule_passed boolean, transformed boolean, contributions map<int,double>, distance_mean double, "
     "distance_std double, cusum_pos double, cusum_neg double, cusum_h double"
 )
 
 
+OPTIONAL = {
+    "tz_offset": "bigint", "rule_hit": "boolean", "rule_indicator": "string", "rule_threat": "string", "rule_severity": "int",
+    "tabular_prob": "double", "text_prob": "double", "sensitive": "boolean", "slope": "double",
+}
+
+
+def with_optional(windows: DataFrame) -> DataFrame:
+    """What ``step`` reads of a window; optional fields that are not there are null."""
+    df = windows.withColumns({n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in windows.columns})
+    return df.select("device_id", "window_id", "end_ms", "vector", "mask", *[F.col(n).cast(kind).alias(n) for n, kind in OPTIONAL.items()])
+
+
 def run_detector(windows: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
     """Detector results for windows (device_id, window_id, end_ms, vector, mask, and the optional fields of ``step``).
 
@@ -231,13 +259,7 @@ def run_detector(windows: DataFrame, cfg: DetectorConfig | None = None) -> DataF
     its windows are streamed past one fixed-size state.
     """
     cfg = cfg or DetectorConfig()
-    df = windows
-    optional = {
-        "tz_offset": "bigint", "rule_hit": "boolean", "rule_indicator": "string", "rule_threat": "string", "rule_severity": "int",
-        "tabular_prob": "double", "text_prob": "double", "sensitive": "boolean", "slope": "double",
-    }
-    df = df.withColumns({n: F.lit(None).cast(kind) for n, kind in optional.items() if n not in df.columns})
-    df = df.select("device_id", "window_id", "end_ms", "vector", "mask", *optional)
+    df = with_optional(windows)
 
     def walk(state: DetectorState, part: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -153,6 +154,8 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 
 GRID = (np.arange(81) * 5 - 200) / 100.0  # -2.00, -1.95 .. 2.00 around the centre of a search, times its scale
 HALF = len(GRID) // 2
+#: Grid points of ``PowerMoments`` around its centre, in units of its scale.
+STEPS = np.arange(-20.0, 21.0)
 
 
 def _moments(x: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,6 +269,93 @@ def fit_lambdas(vectors: DataFrame, keys: Sequence[str], vector: str = "vector",
     return _by_dimension(out, keys)
 
 
+def transform_one(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """A vector with each entry transformed by its own lambda."""
+    size, up = np.log1p(np.abs(x)), x >= 0
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        high = np.where(np.abs(lam) < 1e-9, size, np.expm1(lam * size) / np.where(lam == 0, 1.0, lam))
+        low = np.where(np.abs(lam - 2.0) < 1e-9, -size, -np.expm1((2.0 - lam) * size) / np.where(lam == 2.0, 1.0, 2.0 - lam))
+    return np.where(lam == 1.0, x, np.where(up, high, low))
+
+
+@dataclass
+class PowerMoments:
+    """What a fit of the transform needs of the vectors seen so far, without keeping them.
+
+    For each dimension the mean and the sum of squared deviations of the transformed values for every lambda of a grid, and the term of
+    the likelihood that depends on the values alone. Two of one grid can be merged, so a stream may keep one in its state and a batch
+    may build it in parts.
+    """
+
+    centre: np.ndarray
+    scale: np.ndarray
+    n: int = 0
+    mean: np.ndarray | None = None
+    m2: np.ndarray | None = None
+    jac: np.ndarray | None = None
+
+    @classmethod
+    def empty(cls, dim: int) -> PowerMoments:
+        return cls.around(np.ones(dim), np.full(dim, 0.2))
+
+    @classmethod
+    def around(cls, centre: np.ndarray, scale: np.ndarray) -> PowerMoments:
+        shape = (len(centre), len(STEPS))
+        return cls(centre, scale, 0, np.zeros(shape), np.zeros(shape), np.zeros(len(centre)))
+
+    @property
+    def grid(self) -> np.ndarray:
+        return self.centre[:, None] + STEPS * self.scale[:, None]
+
+    def add(self, x: np.ndarray) -> None:
+        lam = self.grid
+        y = transform_one(np.broadcast_to(x[:, None], lam.shape), lam)
+        self.n += 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            off = y - self.mean
+            self.mean += off / self.n
+            self.m2 += off * (y - self.mean)
+        self.jac += np.sign(x) * np.log1p(np.abs(x))
+
+    def merge(self, other: PowerMoments) -> None:
+        if not other.n:
+            return
+        total = self.n + other.n
+        with np.errstate(over="ignore", invalid="ignore"):
+            shift = other.mean - self.mean
+            self.m2 = self.m2 + other.m2 + shift * shift * (self.n * other.n / total)
+            self.mean = self.mean + shift * (other.n / total)
+        self.jac, self.n = self.jac + other.jac, total
+
+    def fitted(self) -> tuple[np.ndarray, PowerMoments]:
+        """The most likely lambdas, and empty moments on the grid for the vectors to come.
+
+        Between grid points the optimum is that of a parabola through the best point and its neighbours. An optimum on the edge of the grid moves
+        the grid there and doubles it, one inside narrows it around it. A constant dimension has lambda 1 and keeps its grid.
+        """
+        grid, rows = self.grid, np.arange(len(self.centre))
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            v = self.m2 / max(self.n, 1)
+            good = np.isfinite(v) & (v > 1e-300) & (v > 1e-22 * self.mean**2)
+            fit = np.where(good, -self.n / 2 * np.log(v) + (grid - 1) * self.jac[:, None], -np.inf)
+            at = fit.argmax(axis=1)
+            edge = (at == 0) | (at == len(STEPS) - 1)
+            inner = np.clip(at, 1, len(STEPS) - 2)
+            a, b, c = fit[rows, inner - 1], fit[rows, inner], fit[rows, inner + 1]
+            bend = a - 2 * b + c
+            move = np.where(np.isfinite(bend) & (bend < 0), 0.5 * (a - c) / bend, 0.0)
+        best = grid[rows, at] + np.where(edge, 0.0, np.clip(move, -0.5, 0.5) * self.scale)
+        constant = ~good.any(axis=1)
+        lam = np.where(constant, 1.0, best)
+        scale = np.where(constant, self.scale, np.where(edge, self.scale * 2, np.maximum(self.scale / 4, 1e-3)))
+        return lam, PowerMoments.around(np.where(constant, self.centre, best), scale)
+
+
+def refit_now(n_before: int, first: int = 100, every: int = 5000) -> bool:
+    """Whether the transform is fitted anew after the window that makes ``n_before`` + 1; see ``refit_due``."""
+    return n_before + 1 == first or (n_before > 0 and n_before % every == 0)
+
+
 def refit_due(n_before: Column, first: int = 100, every: int = 5000) -> Column:
     """True on windows after which the transform is fitted anew."""
     return (n_before + 1 == first) | ((n_before > 0) & (n_before % every == 0))

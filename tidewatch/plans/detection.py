@@ -9,12 +9,13 @@ from tidewatch.operators import aggregates as A
 from tidewatch.operators import alerts as AL
 from tidewatch.operators import baseline as B
 from tidewatch.operators import detect as D
-from tidewatch.operators import features as X
+from tidewatch.operators import inputs as IN
 from tidewatch.operators import rules as R
 from tidewatch.operators import windows as W
 from tidewatch.plans.common import ALR, WIN, millionths, with_ctes, with_recursive
 from tidewatch.plans.registry import query
 from tidewatch.plans.rules import BAD_APPS, BAD_DOMAINS, IGNORED, RULE_CTES
+from tidewatch.session import materialise
 from tidewatch.sources.telemetry import alerts, table, telemetry
 
 DAY = 86_400_000
@@ -451,12 +452,9 @@ def d26(spark, sf_dir):
 
 
 def detector_windows(spark, sf_dir):
-    """Feature vectors with the first time-zone offset of the window."""
-    groups = X.feature_groups(W.count_windows(telemetry(spark, sf_dir)))
-    return groups.select(
-        "device_id", "window_id", F.expr("element_at(ev, -1).ts_ms").alias("end_ms"),
-        F.concat("f_hours", "f_freq", "f_entropy", "f_transitions", "f_keys", "f_touch", "f_swipe", "f_combined").alias("vector"), "mask",
-        F.expr("get(filter(transform(ev, e -> e.tz), t -> t IS NOT NULL), 0)").alias("tz_offset"))
+    """What the detector is told of each window; the windows are numbered and joined once."""
+    wins = materialise(W.count_windows(telemetry(spark, sf_dir)), "windows")
+    return IN.detector_inputs(wins, BAD_APPS, BAD_DOMAINS, IGNORED)
 
 
 # Windows are days apart here, so a device counts as idle only after thirty days.
@@ -466,7 +464,4 @@ DETECTOR = AD.DetectorConfig(idle_ms=30 * DAY, smoothing=5)
 @query("d23_adaptive_detector")
 def d23(spark, sf_dir):
     """With the rule alerts of each window, so that a window that breaks a rule does not train the baseline."""
-    rules = R.rule_alerts(W.count_windows(telemetry(spark, sf_dir)), BAD_APPS, BAD_DOMAINS, IGNORED)
-    hits = rules.select("device_id", "window_id", F.lit(True).alias("rule_hit"), F.col("indicator").alias("rule_indicator"),
-                        F.col("threat_type").alias("rule_threat"), F.col("severity").cast("int").alias("rule_severity"))
-    return AD.run_detector(detector_windows(spark, sf_dir).join(hits, ["device_id", "window_id"], "left"), DETECTOR)
+    return AD.run_detector(detector_windows(spark, sf_dir), DETECTOR)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import features as X
+from tidewatch.operators import inputs as IN
 from tidewatch.operators import phishing as H
 from tidewatch.operators import predicates as P
 from tidewatch.operators import report as R
@@ -80,16 +80,23 @@ def r5_windows(spark, sf_dir):
     return windows.select("device_id", "window_id", F.explode("ev.event_id").alias("event_id"))
 
 
+def detector_flow(spark, sf_dir, cfg, files_per_batch=runner.FILES_PER_BATCH, scores=None, slopes=None, **state):
+    """Three chained streams: events to windows, windows to what the detector is told of them, and the detector."""
+    tel = runner.telemetry_stream(spark, sf_dir, files_per_batch)
+    windows = S.window_stream(tel, S.raw_fields(), **state)
+    path = runner.append_to_path(windows, "windows")
+    stream = spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    inputs = lambda batch: IN.detector_inputs(S.window_rows(batch), BAD_APPS, BAD_DOMAINS, IGNORED, scores, slopes)
+    shape = inputs(spark.createDataFrame([], windows.schema)).schema
+    told = runner.each_batch(stream, inputs, "detector-inputs")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", files_per_batch).parquet(f"{told}/batch_id=*")
+    return runner.append_to_table(S.detector_stream(stream, cfg, **state), "detector")
+
+
 @query("r5_detector_stream")
 def r5(spark, sf_dir):
-    """Two chained streams: events to window table, window table to detector results."""
-    windows = S.window_stream(runner.telemetry_stream(spark, sf_dir))
-    stream = spark.readStream.schema(windows.schema).parquet(runner.append_to_path(windows, "windows"))
-    groups = X.mask(X.interaction(X.sequential(X.temporal(stream)))).select(
-        "device_id", "window_id", F.expr("element_at(ev, -1).ts_ms").alias("end_ms"),
-        F.concat("f_hours", "f_freq", "f_entropy", "f_transitions", "f_keys", "f_touch", "f_swipe", "f_combined").alias("vector"), "mask",
-        F.expr("get(filter(transform(ev, e -> e.tz), t -> t IS NOT NULL), 0)").alias("tz_offset"))
-    return runner.append_to_table(S.detector_stream(groups, DETECTOR), "detector")
+    """With the rule alerts, sensitive permissions and time zones of each window, as in the batch form."""
+    return detector_flow(spark, sf_dir, DETECTOR)
 
 
 _DAILY_RULES = with_ctes(TEL + """,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,11 @@ from tidewatch.schema import RAW_EVENTS_DDL
 from tidewatch.session import scratch_dir
 from tidewatch.sources.telemetry import to_telemetry
 
-def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+#: Files of a micro-batch: bounds what a keyed state is handed at a time.
+FILES_PER_BATCH = 16
+
+
+def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     """Telemetry as a stream over the event files, with ``event_time`` for watermarks."""
     reader = spark.readStream.schema(RAW_EVENTS_DDL)
     if files_per_batch:
@@ -57,6 +63,22 @@ def publish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def each_batch(stream: DataFrame, make: Callable[[DataFrame], DataFrame], name: str) -> str:
+    """Every micro-batch is made into rows by ``make``, a batch computation, and written under its number; returns the folder.
+
+    A repeated batch overwrites its own folder, so a retry leaves no duplicates.
+    """
+    spark = stream.sparkSession
+    path, state = scratch_dir(spark, name), scratch_dir(spark, f"{name}-state")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return path
+
+
 def newest_version(topic: DataFrame, keys: list[str]) -> DataFrame:
     """Latest published row per key of a stream run in update mode."""
     values = [c for c in topic.columns if c not in (*keys, "batch_id")]

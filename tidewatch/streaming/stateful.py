@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tidewatch.functions.payload import parse_payload
 from tidewatch.operators import adaptive as AD
+from tidewatch.operators.baseline import PowerMoments
 from tidewatch.operators.features import feature_fields
 from tidewatch.settings import COOLDOWN_SECONDS, RATE_LIMIT_PER_SECOND, WINDOW_SIZE
 
 
+#: How long a silent device is remembered, and how far the watermark stays behind the newest event.
+STATE_LIFE_MS, STATE_DELAY = 90 * 86_400_000, "30 days"
+
+
 def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema.fields)
 
@@ -29,7 +37,10 @@ def rate_limited(messages: DataFrame, limit: int = RATE_LIMIT_PER_SECOND, period
 
 
 def rate_limited_stream(messages: DataFrame, limit: int = RATE_LIMIT_PER_SECOND, period_ms: int = 1000, delay: str = "1 hour") -> DataFrame:
-    """Stream form: a counter per device and period, forgotten once the watermark has passed it."""
+    """Stream form: a counter per device and period, forgotten once the watermark has passed it.
+
+    Of a period's rows in a micro-batch only the first ``limit`` are held while the others stream past.
+    """
     columns = [c for c in messages.columns if c != "event_time"]
     df = messages.withWatermark("event_time", delay).withColumn("_period", F.floor(F.col("ts_ms") / period_ms))
 
@@ -37,10 +48,12 @@ def rate_limited_stream(messages: DataFrame, limit: int = RATE_LIMIT_PER_SECOND,
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
-        taken = rows.head(max(0, limit - used))
-        state.update((used + len(rows),))
+        used, seen, taken = state.get[0] if state.exists else 0, 0, None
+        for batch in batches:
+            seen += len(batch)
+            both = batch if taken is None else pd.concat([taken, batch])
+            taken = both.sort_values(["ts_ms", "event_id"]).head(max(0, limit - used))
+        state.update((used + seen,))
         state.setTimeoutTimestamp(max((int(key[1]) + 1) * period_ms, state.getCurrentWatermarkMs() + 1))
         yield taken[columns]
 
@@ -73,75 +86,170 @@ def cooldown_stream(alerts: DataFrame, keys: Sequence[str], gap_ms: int = COOLDO
         keep, _ddl(alerts, columns), "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def window_stream(tel: DataFrame, fields: dict[str, Column] | None = None, size: int = WINDOW_SIZE) -> DataFrame:
-    """Count windows in arrival order; the state holds fewer than ``size`` events of a device."""
+class Remembered(StatefulProcessor):
+    """A keyed state that is forgotten ``life_ms`` of event time after the last row of its key."""
+
+    life_ms = 0
+
+    def remember(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at long")
+
+    def keep_until(self, last_ms: int) -> None:
+        """Moves the timer of the current key; earlier rows that come late do not shorten its life."""
+        before = self.until.get()[0] if self.until.exists() else None
+        at = last_ms + self.life_ms
+        if before is None or at > before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.until.update((at,))
+
+    def states(self) -> list:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        for state in [self.until, *self.states()]:
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class CountWindows(Remembered):
+    """The events of a device that wait for their window to fill up, and how many windows it has had."""
+
+    def __init__(self, shape: StructType, size: int, life_ms: int):
+        self.kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
+        self.names, self.size, self.life_ms = shape.names, size, life_ms
+        self.whole = {f.name for f in shape.fields if f.dataType.simpleString() in ("bigint", "int")}
+
+    def plain(self, value, name: str):
+        """A value as it was: numbers that may be absent arrive as floating point numbers."""
+        if value is None or value != value:
+            return None
+        return int(value) if name in self.whole else value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.remember(handle)
+        self.done = handle.getValueState("done", "n long")
+        self.waiting = handle.getListState("waiting", self.kind)
+
+    def states(self) -> list:
+        return [self.done, self.waiting]
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        done = self.done.get()[0] if self.done.exists() else 0
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        # An event begins with its time and id, so tuples sort in order of arrival.
+        arrived = sorted((tuple(self.plain(r[n], n) for n in self.names) for r in rows), key=lambda t: t[:2])
+        if not arrived:
+            return
+        latest = max(t[0] for t in arrived)
+        waiting += arrived
+        made = Row(*self.names)
+        for at in range(0, len(waiting) - self.size + 1, self.size):
+            chosen = sorted(waiting[at : at + self.size], key=lambda t: t[:2])
+            yield Row(device_id=key[0], window_id=done, ev=[made(*t) for t in chosen])
+            done += 1
+        rest = waiting[len(waiting) // self.size * self.size :]
+        self.done.update((done,))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.keep_until(latest)
+
+
+def window_stream(
+    tel: DataFrame, fields: dict[str, Column] | None = None, size: int = WINDOW_SIZE, life_ms: int = STATE_LIFE_MS, delay: str = STATE_DELAY
+) -> DataFrame:
+    """Count windows in arrival order: (device_id, window_id, ev), with ``fields`` of each event (by default those of the features).
+
+    The state of a device is fewer than ``size`` events and a count. A device that is silent for ``life_ms`` of event time, by the
+    watermark, is forgotten; when it returns, its windows are counted from 0 again. Events older than the watermark (``delay`` behind
+    the newest) are left out.
+    """
     fields = fields or feature_fields()
-    parsed = parse_payload(tel)
-    event = F.struct("ts_ms", "event_id", *[c.alias(n) for n, c in fields.items()])
-    slim = parsed.select("device_id", event.alias("e"))
-    kind = slim.schema["e"].dataType.simpleString()
-    names = slim.schema["e"].dataType.names
-
-    def plain(event) -> tuple:
-        value = event.asDict() if hasattr(event, "asDict") else event
-        return tuple(None if value[n] is None or value[n] != value[n] else value[n] for n in names)
-
-    def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, waiting = (state.get[0], [plain(e) for e in state.get[1]]) if state.exists else (0, [])
-        arrived = sorted((plain(e) for pdf in batches for e in pdf["e"]), key=lambda t: (t[0], t[1]))
-        waiting = waiting + arrived
-        full = len(waiting) // size
-        rows = [
-            (key[0], done + i, [dict(zip(names, t)) for t in sorted(waiting[i * size:(i + 1) * size], key=lambda t: (t[0], t[1]))])
-            for i in range(full)
-        ]
-        state.update((done + full, [tuple(t) for t in waiting[full * size:]]))
-        yield pd.DataFrame(rows, columns=["device_id", "window_id", "ev"])
-
-    return slim.groupBy("device_id").applyInPandasWithState(
-        collect, f"device_id string, window_id bigint, ev array<{kind}>", f"done bigint, waiting array<{kind}>", "append",
-        GroupStateTimeout.NoTimeout)
+    parsed = parse_payload(tel).withWatermark("event_time", delay)
+    slim = parsed.select("device_id", "ts_ms", "event_id", *[c.alias(n) for n, c in fields.items()], "event_time")
+    shape = slim.drop("device_id", "event_time").schema
+    return slim.groupBy("device_id").transformWithState(
+        CountWindows(shape, size, life_ms), f"device_id string, window_id bigint, ev array<{shape.simpleString()}>", "Append", "EventTime")
+
+
+def raw_fields() -> dict[str, Column]:
+    """The columns of an event that rules, features and context are made of."""
+    return {n: F.col(n) for n in ("event_type", "package_name", "data")}
+
+
+def window_rows(windows: DataFrame) -> DataFrame:
+    """Windows with ``raw_fields`` as event rows, like those of ``count_windows``."""
+    return windows.select("device_id", "window_id", F.posexplode("ev").alias("pos", "e")).select("device_id", "window_id", "pos", "e.*")
 
 
 _STATE = (
     "mean array<double>, cov array<double>, n bigint, distance_mean double, distance_std double, cusum_pos double, cusum_neg double, "
     "cusum_h double, first_ms bigint, last_ms bigint, tz bigint, tz_until bigint, probabilities array<double>, distances array<double>, "
-    "awake array<double>, alerted array<string>, alerted_ms array<bigint>"
+    "awake array<double>, alerted array<string>, alerted_ms array<bigint>, lambdas array<double>, power_centre array<double>, power_scale array<double>, "
+    "power_n bigint, power_mean array<double>, power_m2 array<double>, power_jac array<double>"
 )
 
 
 def _load(values: tuple) -> AD.DetectorState:
-    *plain, names, times = values
+    *plain, names, times, lambdas, centre, scale, n, mean, m2, jac = values
     s = AD.DetectorState(*plain, dict(zip(names, times)))
     s.mean = None if s.mean is None else np.asarray(s.mean, float)
     s.cov = None if s.cov is None else np.asarray(s.cov, float).reshape(len(s.mean), -1)
     s.probabilities, s.distances = [float(v) for v in s.probabilities], np.asarray(s.distances, float)
     s.awake = np.asarray(s.awake, float)
+    s.lambdas = None if lambdas is None else np.asarray(lambdas, float)
+    if centre is not None:
+        grids = (np.asarray(v, float).reshape(len(centre), -1) for v in (mean, m2))
+        s.power = PowerMoments(np.asarray(centre, float), np.asarray(scale, float), int(n), *grids, np.asarray(jac, float))
     return s
 
 
 def _save(s: AD.DetectorState) -> tuple:
+    p = s.power
+    grids = (None,) * 6 if p is None else (p.centre.tolist(), p.scale.tolist(), int(p.n), p.mean.ravel().tolist(), p.m2.ravel().tolist(), p.jac.tolist())
     return (
         s.mean.tolist(), s.cov.ravel().tolist(), int(s.n), float(s.distance_mean), float(s.distance_std), float(s.cusum_pos),
         float(s.cusum_neg), float(s.cusum_h), int(s.first_ms), int(s.last_ms), None if s.tz is None else int(s.tz), int(s.tz_until),
         [float(v) for v in s.probabilities], [float(v) for v in s.distances],
         [float(v) for v in s.awake], list(s.alerted), [int(t) for t in s.alerted.values()],
+        None if s.lambdas is None else s.lambdas.tolist(), *grids,
     )
 
 
-def detector_stream(windows: DataFrame, cfg: AD.DetectorConfig | None = None) -> DataFrame:
-    """The adaptive detector over a stream of window vectors, same step as the batch form."""
-    cfg = cfg or AD.DetectorConfig()
+class Detector(Remembered):
+    """The detector state of a device."""
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        detector = _load(state.get) if state.exists else AD.DetectorState()
-        rows = []
-        for record in pd.concat(list(batches)).sort_values("window_id").to_dict("records"):
-            result = AD.step(detector, record, cfg)
-            rows.append({"device_id": key[0], "window_id": record["window_id"], "end_ms": record["end_ms"], **result})
-        state.update(_save(detector))
-        yield pd.DataFrame(rows)
-
-    slim = windows.select("device_id", "window_id", "end_ms", "vector", "mask", "tz_offset")
-    return slim.groupBy("device_id").applyInPandasWithState(
-        advance, AD.RESULT_DDL, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, cfg: AD.DetectorConfig, names: list[str], life_ms: int):
+        self.cfg, self.names, self.life_ms = cfg, names, life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.remember(handle)
+        self.detector = handle.getValueState("detector", _STATE)
+
+    def states(self) -> list:
+        return [self.detector]
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        state = _load(tuple(self.detector.get())) if self.detector.exists() else AD.DetectorState()
+        for window in sorted((r.asDict() for r in rows), key=lambda w: w["window_id"]):
+            result = AD.step(state, window, self.cfg)
+            told = {"device_id": key[0], "window_id": window["window_id"], "end_ms": window["end_ms"], **result}
+            yield Row(**{n: told[n] for n in self.names})
+        if state.mean is not None:
+            self.detector.update(_save(state))
+            self.keep_until(state.last_ms)
+
+
+def detector_stream(windows: DataFrame, cfg: AD.DetectorConfig | None = None, life_ms: int = STATE_LIFE_MS, delay: str = STATE_DELAY) -> DataFrame:
+    """The adaptive detector over a stream of detector inputs (see ``inputs.detector_inputs``), same step as the batch form.
+
+    A device is forgotten ``life_ms`` of event time after its last window and starts anew if it returns.
+    """
+    cfg = cfg or AD.DetectorConfig()
+    timed = AD.with_optional(windows).withColumn("event_time", F.timestamp_millis("end_ms")).withWatermark("event_time", delay)
+    names = [part.strip().split()[0] for part in re.split(r",(?![^<]*>)", AD.RESULT_DDL)]
+    return timed.groupBy("device_id").transformWithState(Detector(cfg, names, life_ms), AD.RESULT_DDL, "Append", "EventTime")
