@@ -239,6 +239,40 @@ def ordered_scan(
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
 
 
+def merge_levels(
+    parts: DataFrame, keys: Sequence[str], place: str, most: int,
+    start: Callable[[pd.DataFrame], object], add: Callable[[object, pd.DataFrame], None], whole: Callable[[object], dict[str, object]],
+    fan_in: int = 64,
+) -> DataFrame:
+    """One row per key from partial results that can be merged with their neighbours.
+
+    ``parts`` holds a row for each key and ``place`` (0 .. ``most`` - 1, gaps allowed), all other columns are the summary. In each level
+    every ``fan_in`` neighbours are merged by one fold, in order, so no task holds more than that of a key, however many there are.
+    ``whole(state)`` gives the summary columns of a fold.
+    """
+    keys = list(keys)
+    schema = T.StructType(parts.schema.fields)
+    names = [f.name for f in schema]
+
+    def begin(part: pd.DataFrame) -> dict:
+        return {"head": part.iloc[:1][[*keys, "_level"]].copy(), "state": start(part)}
+
+    def step(held: dict, part: pd.DataFrame) -> None:
+        add(held["state"], part)
+
+    def finish(held: dict) -> pd.DataFrame:
+        out = held["head"].rename(columns={"_level": place})
+        return out.assign(**{k: [v] for k, v in whole(held["state"]).items()})[names]
+
+    while True:
+        level = parts.withColumn("_level", F.floor(F.col(place) / fan_in).cast("long"))
+        parts = ordered_fold(level, [*keys, "_level"], [place], begin, step, schema, finish)
+        most = -(-most // fan_in)
+        if most <= 1:
+            return parts
+        parts = materialise(parts, "merge-level")
+
+
 def linear_recurrence(
     df: DataFrame, keys: Sequence[str], seq: str, a: Column, b: Column, start: float,
     target: str, before: str | None = None, chunk: int = 4096,

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.ordered import ordered_fold
+from tidewatch.functions.ordered import merge_levels, ordered_fold
 from tidewatch.functions.times import DAY_MS
 from tidewatch.session import materialise
 from tidewatch.settings import DRIFT_BOOST, DRIFT_BOOST_CAP, EMA_RATE, RIDGE
@@ -29,16 +29,18 @@ def mean_vectors(vectors: DataFrame, keys: Sequence[str], vector: str = "vector"
     )
 
 
-def fit_baselines(vectors: DataFrame, keys: Sequence[str], row_id: str, vector: str = "vector", chunk: int = 20_000) -> DataFrame:
+def fit_baselines(
+    vectors: DataFrame, keys: Sequence[str], row_id: str, vector: str = "vector", chunk: int = 20_000, fan_in: int = 64
+) -> DataFrame:
     """Mean and sample covariance (row-major) per key.
 
-    Moments are first accumulated over chunks of a key and then merged, so a key with many
-    rows is spread over many tasks and no task ever holds more than one batch of rows.
+    Moments are first accumulated over chunks of a key and then merged in levels of ``fan_in``, so a key with many
+    rows is spread over many tasks and no task ever holds more than one batch of rows or ``fan_in`` partial results.
     """
     keys = list(keys)
     slim = vectors.select(*keys, F.pmod(F.xxhash64(row_id), F.lit(1 << 20)).alias("_h"), F.col(vector).alias("_x"))
     counts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
-    split = slim.join(counts, keys).withColumn("_part", F.col("_h") % F.col("_parts")).drop("_h", "_parts")
+    split = slim.join(counts, keys).withColumn("_part", F.col("_h") % F.col("_parts")).drop("_h")
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*keys).schema.fields)
 
     def start(part: pd.DataFrame) -> dict:
@@ -60,20 +62,26 @@ def fit_baselines(vectors: DataFrame, keys: Sequence[str], row_id: str, vector:
         merge(state, len(x), x.mean(axis=0), centred.T @ centred)
 
     def partial(state: dict) -> pd.DataFrame:
-        return state["head"][[*keys, "_part"]].assign(_n=state["n"], _mean=[state["mean"].tolist()], _m2=[state["m2"].ravel().tolist()])
+        head = state["head"]
+        return head[[*keys, "_part", "_parts"]].assign(_n=state["n"], _mean=[state["mean"].tolist()], _m2=[state["m2"].ravel().tolist()])
 
     def add_partials(state: dict, part: pd.DataFrame) -> None:
+        state["parts"] = int(part["_parts"].iloc[0])
         for n, mean, m2 in zip(part["_n"], part["_mean"], part["_m2"]):
             mean = np.asarray(mean, float)
             merge(state, int(n), mean, np.asarray(m2, float).reshape(len(mean), -1))
 
-    def fitted(state: dict) -> pd.DataFrame:
-        cov = state["m2"] / max(state["n"] - 1, 1)
-        return state["head"][keys].assign(n=state["n"], mean=[state["mean"].tolist()], cov=[cov.ravel().tolist()])
+    def whole(state: dict) -> dict:
+        return {"_parts": state["parts"], "_n": state["n"], "_mean": state["mean"].tolist(), "_m2": state["m2"].ravel().tolist()}
 
     parts = ordered_fold(split, [*keys, "_part"], [], start, add_rows,
-                         f"{key_fields}, _part bigint, _n bigint, _mean array<double>, _m2 array<double>", partial)
-    return ordered_fold(parts, keys, ["_part"], start, add_partials, f"{key_fields}, {_FIT}", fitted)
+                         f"{key_fields}, _part bigint, _parts bigint, _n bigint, _mean array<double>, _m2 array<double>", partial)
+    most = counts.agg(F.max("_parts")).first()[0] or 1
+    if most > fan_in:
+        parts = materialise(parts, "moments")
+    merged = merge_levels(parts, keys, "_part", most, lambda part: {"n": 0}, add_partials, whole, fan_in)
+    cov = F.expr("transform(_m2, v -> v / greatest(_n - 1, 1))")
+    return merged.select(*keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"), cov.alias("cov"))
 
 
 def generic_weight(age_ms: Column, warm_ms: int = DAY_MS, blend_ms: int = 7 * DAY_MS) -> Column:
@@ -110,37 +118,123 @@ def ema_update(mean: np.ndarray, cov: np.ndarray, x: np.ndarray, alpha: float) -
     return new_mean, (1 - alpha) * cov + alpha * 0.5 * (spread + spread.T)
 
 
-def update_baselines(vectors: DataFrame, baselines: DataFrame, key: str, order: str, rate: float = EMA_RATE) -> DataFrame:
-    """Folds vectors (with ``learn`` and ``drift`` flags) into the baseline of their key, in order."""
-    joined = (
-        vectors.select(key, F.col(order).alias("_o"), F.lit(1).alias("_k"), F.col("vector").alias("_x"), "learn", "drift",
-                       F.lit(None).cast("array<double>").alias("_cov"), F.lit(None).cast("bigint").alias("_n"))
-        .unionByName(baselines.select(key, F.lit(None).cast(vectors.schema[order].dataType).alias("_o"), F.lit(0).alias("_k"), F.col("mean").alias("_x"),
-                                      F.lit(False).alias("learn"), F.lit(False).alias("drift"), F.col("cov").alias("_cov"), F.col("n").alias("_n")))
-    )
+@dataclass
+class UpdateRun:
+    """What a run of updates does to any baseline it is entered with.
+
+    With mean m and covariance C before, the mean after is a * m + b and the covariance a * C + p - q m' - m q' + r m m'. Each update is such
+    a run (a = 1 - rate, b = rate * x, p = a * rate * x x', q = a * rate * x, r = a * rate), and one run after another is again one.
+    """
+
+    a: float
+    b: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+    r: float
+
+    @classmethod
+    def empty(cls, dim: int) -> UpdateRun:
+        return cls(1.0, np.zeros(dim), np.zeros((dim, dim)), np.zeros(dim), 0.0)
+
+    def learn(self, x: np.ndarray, rate: float) -> None:
+        keep, weight, off = 1.0 - rate, rate * (1.0 - rate), x - self.b
+        self.p = keep * self.p + weight * np.outer(off, off)
+        self.q = keep * self.q + weight * self.a * off
+        self.r = keep * self.r + weight * self.a * self.a
+        self.b, self.a = keep * self.b + rate * x, keep * self.a
+
+    def then(self, other: UpdateRun) -> None:
+        cross = np.outer(other.q, self.b)
+        self.p = other.a * self.p + other.p - cross - cross.T + other.r * np.outer(self.b, self.b)
+        self.q = other.a * self.q + self.a * other.q - other.r * self.a * self.b
+        self.r = other.a * self.r + other.r * self.a * self.a
+        self.b, self.a = other.a * self.b + other.b, other.a * self.a
+
+    def apply(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cross = np.outer(self.q, mean)
+        return self.a * mean + self.b, self.a * cov + self.p - cross - cross.T + self.r * np.outer(mean, mean)
+
+
+_RUN = "_a double, _b array<double>, _p array<double>, _q array<double>, _r double"
+
+
+def _run_row(run: UpdateRun) -> dict:
+    return {"_a": run.a, "_b": run.b.tolist(), "_p": run.p.ravel().tolist(), "_q": run.q.tolist(), "_r": run.r}
+
+
+def _run_of(row: dict) -> UpdateRun:
+    b = np.asarray(row["_b"], float)
+    return UpdateRun(float(row["_a"]), b, np.asarray(row["_p"], float).reshape(len(b), -1), np.asarray(row["_q"], float), float(row["_r"]))
+
+
+def update_baselines(
+    vectors: DataFrame, baselines: DataFrame, key: str, order: str, rate: float = EMA_RATE, pieces: int | None = None, fan_in: int = 64
+) -> DataFrame:
+    """Folds vectors (with ``learn`` and ``drift`` flags) into the baseline of their key, in order: (key, n, mean, cov).
+
+    The rate of an update depends on its place only, so a key need not be walked in one task: rows are range-partitioned by key and order
+    (into ``pieces``), every piece of a key becomes one ``UpdateRun``, neighbouring runs are composed in levels of ``fan_in``, and
+    what is left, one run per key, is applied to its baseline. Keys without a baseline start from zeros and identity, n = 0; every row counts for n,
+    learned or not; a baseline without rows stays as it is.
+    """
+    ranges = (key, order) if pieces is None else (pieces, key, order)
+    rows = vectors.select(key, F.col(order).alias("_o"), F.col("vector").alias("_x"), F.coalesce("learn", F.lit(False)).alias("_learn"), F.coalesce("drift", F.lit(False)).alias("_drift"))
+    rows = rows.repartitionByRange(*[("_o" if c == order else c) for c in ranges]).withColumn("_pid", F.spark_partition_id().cast("long"))
+    rows = materialise(rows, "updates")
+    before = Window.partitionBy(key).orderBy("_pid")
+    held = rows.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n")).withColumns({
+        "_from": F.sum("_n").over(before) - F.col("_n"), "_place": F.row_number().over(before).cast("long") - 1,
+        "_all": F.sum("_n").over(Window.partitionBy(key))})
+    held = held.join(baselines.select(key, F.col("n").alias("_n0")), key, "left")
+    held = materialise(held.select(key, "_pid", "_place", "_all", (F.coalesce("_n0", F.lit(0)) + F.col("_from")).alias("_first")), "update-pieces")
 
     def start(part: pd.DataFrame) -> dict:
         first = part.iloc[0]
-        if first["_k"] == 0:
-            mean = np.asarray(first["_x"], float)
-            return {"key": first[key], "mean": mean, "cov": np.asarray(first["_cov"], float).reshape(len(mean), -1), "n": int(first["_n"])}
-        dim = len(first["_x"])
-        return {"key": first[key], "mean": np.zeros(dim), "cov": np.eye(dim), "n": 0}
+        return {"head": part.iloc[:1][[key, "_place", "_all"]].copy(), "n": int(first["_first"]), "run": UpdateRun.empty(len(first["_x"]))}
 
     def walk(state: dict, part: pd.DataFrame) -> None:
-        for kind, x, learn, drift in zip(part["_k"], part["_x"], part["learn"], part["drift"]):
-            if kind == 0:
-                continue
+        for x, learn, drift in zip(part["_x"], part["_learn"], part["_drift"]):
             if learn:
-                state["mean"], state["cov"] = ema_update(
-                    state["mean"], state["cov"], np.asarray(x, float), learning_rate(state["n"], bool(drift), rate))
+                state["run"].learn(np.asarray(x, float), learning_rate(state["n"], bool(drift), rate))
             state["n"] += 1
 
     def done(state: dict) -> pd.DataFrame:
-        return pd.DataFrame({key: [state["key"]], "n": [state["n"]], "mean": [state["mean"].tolist()], "cov": [state["cov"].ravel().tolist()]})
+        return state["head"].assign(**{k: [v] for k, v in _run_row(state["run"]).items()})
 
     key_type = vectors.schema[key].dataType.simpleString()
-    return ordered_fold(joined, [key], ["_k", "_o"], start, walk, f"`{key}` {key_type}, {_FIT}", done)
+    runs = ordered_fold(rows.join(held, [key, "_pid"]), [key, "_place"], ["_o"], start, walk, f"`{key}` {key_type}, _place bigint, _all bigint, {_RUN}", done)
+    most = (held.agg(F.max("_place")).first()[0] or 0) + 1
+    if most > fan_in:
+        runs = materialise(runs, "update-runs")
+
+    def chain(state: dict, part: pd.DataFrame) -> None:
+        state["all"] = int(part["_all"].iloc[0])
+        for row in part.to_dict("records"):
+            run = _run_of(row)
+            if "run" in state:
+                state["run"].then(run)
+            else:
+                state["run"] = run
+
+    runs = merge_levels(runs, [key], "_place", most, lambda part: {}, chain, lambda s: {"_all": s["all"], **_run_row(s["run"])}, fan_in)
+
+    def applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for row in pdf.to_dict("records"):
+                run = None if row["_b"] is None else _run_of(row)
+                if row["mean"] is None:
+                    mean, cov = np.zeros(len(run.b)), np.eye(len(run.b))
+                else:
+                    mean = np.asarray(row["mean"], float)
+                    cov = np.asarray(row["cov"], float).reshape(len(mean), -1)
+                mean, cov = (mean, cov) if run is None else run.apply(mean, cov)
+                made.append((row["key"], int(row["n"]), mean.tolist(), cov.ravel().tolist()))
+            yield pd.DataFrame(made, columns=[key, "n", "mean", "cov"])
+
+    both = baselines.select(key, "n", "mean", "cov").join(runs, key, "full_outer")
+    both = both.select(F.col(key).alias("key"), (F.coalesce("n", F.lit(0)) + F.coalesce("_all", F.lit(0))).cast("long").alias("n"), "mean", "cov", "_a", "_b", "_p", "_q", "_r")
+    return both.mapInPandas(applied, f"`{key}` {key_type}, {_FIT}")
 
 
 # --- Yeo-Johnson -----------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,14 +14,39 @@ from tidewatch.settings import CUSUM_C1, CUSUM_C2, CUSUM_WINDOW, EMA_RATE
 KEY = ["device_id"]
 
 
+def rolling_spread(series: DataFrame, value: str, window: int, target: str, chunk: int = 50_000) -> DataFrame:
+    """Adds ``target``: the population deviation of the last ``window`` values, and ``target``_n, how many there are.
+
+    The series is cut in blocks of ``window``: the last values are the beginning of a row's own block and the end of the one before. Count, mean
+    and variance run forward from each block's begin and backward from its end, and the two are merged, so a row
+    costs the same for any window and nothing is subtracted that could cancel.
+    """
+    chunk = max(1, chunk // window) * window
+    here = F.floor(F.col("seq") / chunk)
+    homes = F.array(F.struct(here.alias("c"), F.lit(True).alias("own")))
+    last = F.col("seq") % chunk >= chunk - (window - 1)
+    homes = F.when(last, F.concat(homes, F.array(F.struct((here + 1).alias("c"), F.lit(False).alias("own"))))).otherwise(homes)
+    rows = series.withColumn("_h", F.explode(homes))
+    rows = rows.select(*series.columns, F.col("_h.c").alias("_c"), F.col("_h.own").alias("_own"), F.floor(F.col("seq") / window).alias("_b"))
+    block = Window.partitionBy(*KEY, "_c", "_b")
+    upto = lambda order: block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    told = lambda w: F.struct(F.count(value).over(w).alias("n"), F.avg(value).over(w).alias("m"), F.var_pop(value).over(w).alias("v"))
+    rows = rows.withColumn("_pre", told(upto("seq"))).withColumn("_suf", told(upto(F.desc("seq"))))
+    rows = rows.withColumn("_far", F.lag("_suf", window - 1).over(Window.partitionBy(*KEY, "_c").orderBy("seq")) if window > 1 else F.lit(None).cast("struct<n:bigint,m:double,v:double>"))
+    # At the end of a block the window is the block itself.
+    far = F.when(F.col("seq") % window < window - 1, F.col("_far"))
+    n1, n2 = F.coalesce(far["n"], F.lit(0)), F.col("_pre.n")
+    n, off = n1 + n2, F.coalesce(F.col("_pre.m") - far["m"], F.lit(0.0))
+    m2 = F.coalesce(far["v"] * n1, F.lit(0.0)) + F.coalesce(F.col("_pre.v") * n2, F.lit(0.0)) + F.when(n > 0, off * off * (n1 * n2 / n)).otherwise(F.lit(0.0))
+    rows = rows.withColumns({target: F.when(n > 0, F.sqrt(m2 / n)), f"{target}_n": n})
+    return rows.filter("_own").drop("_c", "_own", "_b", "_pre", "_suf", "_far")
+
+
 def rolling_sigma(series: DataFrame, value: str = "value", window: int = CUSUM_WINDOW, chunk: int = 50_000) -> DataFrame:
     """Adds ``sigma`` of the last values: 1 until more than ten are seen, never below 0.01."""
-    def build(frame):
-        w = frame(window)
-        spread = F.greatest(F.stddev_pop(value).over(w), F.lit(0.01))
-        return {"sigma": F.when(F.count(value).over(w) > 10, spread).otherwise(1.0)}
-
-    return framed(series, KEY, "seq", window - 1, build, chunk)
+    out = rolling_spread(series, value, window, "_sd", chunk)
+    sigma = F.when(F.col("_sd_n") > 10, F.greatest("_sd", F.lit(0.01))).otherwise(1.0)
+    return out.withColumn("sigma", sigma).drop("_sd", "_sd_n")
 
 
 def cusum(series: DataFrame, mean: float, allowance: float, value: str = "value", chunk: int = 50_000) -> DataFrame:
@@ -81,19 +106,19 @@ def smoothed(series: DataFrame, value: str = "value", window: int = 5, chunk: in
 def stability(
     series: DataFrame, value: str = "value", short: int = 50, long: int = 2000, least: int = 200, chunk: int = 50_000
 ) -> DataFrame:
-    """Adds ``stability``: deviation from the median of recent values over the long-run spread."""
-    def build(frame):
-        near, far = frame(short), frame(long)
-        return {
-            "_near": F.collect_list(value).over(near), "_mid": F.percentile(value, 0.5).over(near),
-            "_std": F.stddev_pop(value).over(far), "_n": F.count(value).over(far),
-        }
+    """Adds ``stability``: deviation from the median of recent values over the long-run spread.
 
-    out = framed(series, KEY, "seq", long - 1, build, chunk)
+    The ``short`` recent values are one small array a row, from which both medians are read; the spread of the ``long`` ones costs the
+    same whatever their number (``rolling_spread``).
+    """
+    out = rolling_spread(series, value, long, "_sd", chunk)
+    out = framed(out, KEY, "seq", short - 1, lambda frame: {"_near": F.collect_list(value).over(frame(short))}, chunk)
+    median = lambda a: f"(get({a}, CAST(floor((size({a}) - 1) / 2) AS INT)) + get({a}, CAST(floor(size({a}) / 2) AS INT))) / 2"
+    out = out.withColumn("_near", F.array_sort("_near")).withColumn("_mid", F.expr(median("_near")))
     out = out.withColumn("_dev", F.expr("array_sort(transform(_near, x -> abs(x - _mid)))"))
-    mad = F.expr("(get(_dev, CAST(floor((size(_dev) - 1) / 2) AS INT)) + get(_dev, CAST(floor(size(_dev) / 2) AS INT))) / 2")
-    ratio = F.when(F.col("_n") < least, 1.0).when(F.col("_std") < 1e-6, 0.0).otherwise(mad / F.nullif("_std", F.lit(0.0)))
-    return out.withColumn("stability", ratio).drop("_near", "_mid", "_std", "_n", "_dev")
+    mad = F.expr(median("_dev"))
+    ratio = F.when(F.col("_sd_n") < least, 1.0).when(F.col("_sd") < 1e-6, 0.0).otherwise(mad / F.nullif("_sd", F.lit(0.0)))
+    return out.withColumn("stability", ratio).drop("_near", "_mid", "_sd", "_sd_n", "_dev")
 
 
 def distance_stats(

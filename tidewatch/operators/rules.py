@@ -278,11 +278,12 @@ def greedy_cooldown(
     Each key is cut into slabs of time. A slab is first reduced to "entering ready at t, the
     last kept time is e", a step function with few steps; these are chained over the slabs of
     a key (bounded by the time span), which gives every slab its true entry; then all slabs
-    are filtered independently. Exact, and no task sees more than one slab of a key at once.
+    are filtered independently. Exact. Times are distinct milliseconds, so the array of a slab has no more than ``slab_ms``
+    entries (ten minutes: 600,000) however busy the key; a slab may be shorter than the gap, then it keeps one row or none.
     """
     if gap_ms <= 0:
         return alerts
-    slab_ms = max(slab_ms or 3_600_000, gap_ms)
+    slab_ms = slab_ms or 600_000
     keys = list(keys)
     times = (
         alerts.groupBy(*keys, F.floor(F.col(ts_ms) / slab_ms).alias("_slab"))

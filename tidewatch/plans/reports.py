@@ -9,6 +9,8 @@ from tidewatch.operators import report as R
 from tidewatch.plans.common import ALR, LOG, TEL, with_ctes
 from tidewatch.plans.ingest import _IOC_SQL, classed_alerts
 from tidewatch.plans.registry import query
+from tidewatch.session import scratch_dir
+from tidewatch.sources.managed import DayTable
 from tidewatch.sources.telemetry import alerts, log_lines, table, telemetry
 
 AS_OF = 1706659200000  # 2024-01-31T00:00Z, the day after the last event
@@ -143,11 +145,15 @@ def u1(spark, sf_dir):
 SELECT 'events' AS tab, count(*) FILTER (ts_ms >= {AS_OF} - 20 * 86400000::BIGINT) AS kept, count(*) FILTER (ts_ms < {AS_OF} - 20 * 86400000::BIGINT) AS removed FROM tel
 UNION ALL SELECT 'alerts', count(*) FILTER (created_ms >= {AS_OF} - 20 * 86400000::BIGINT), count(*) FILTER (created_ms < {AS_OF} - 20 * 86400000::BIGINT) FROM alr"""))
 def u2(spark, sf_dir):
-    out = None
+    """Stored by day, then rows older than the limit are removed; what is left is what the tables hold afterwards."""
+    out = []
     for name, df, time in (("events", telemetry(spark, sf_dir), "ts_ms"), ("alerts", alerts(spark, sf_dir), "created_ms")):
-        row = R.retention_counts(df, time, AS_OF, 20).select(F.lit(name).alias("tab"), "kept", "removed")
-        out = row if out is None else out.unionByName(row)
-    return out
+        stored = DayTable(spark, scratch_dir(spark, f"retention-{name}"), df.schema, time)
+        stored.append(df)
+        gone = stored.retain(AS_OF - 20 * 86_400_000)["removed"]
+        left = stored.read().agg(F.count(F.lit(1)).alias("kept"))
+        out.append(left.select(F.lit(name).alias("tab"), "kept", F.lit(gone).cast("long").alias("removed")))
+    return out[0].unionByName(out[1])
 
 
 @query("u3_delete_device_alerts", with_ctes(ALR, "SELECT anomaly_id, device_id FROM alr WHERE device_id NOT IN ('dev_41', 'dev_17')"))

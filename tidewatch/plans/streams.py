@@ -13,9 +13,11 @@ from tidewatch.operators.windows import time_windows
 from tidewatch.plans.common import ALR, TEL, WIN, with_ctes, with_recursive
 from tidewatch.plans.detection import DETECTOR
 from tidewatch.plans.ingest import wire_messages
-from tidewatch.plans.registry import query
-from tidewatch.plans.reports import _AUTH, _CLASSED, UPSERT_SQL
+from tidewatch.plans.registry import SQL, query
+from tidewatch.plans.reports import _AUTH, _CLASSED, AS_OF, UPSERT_SQL
 from tidewatch.plans.rules import _ALL, _CAND, _RULES, BAD_APPS, BAD_DOMAINS, IGNORED, _greedy
+from tidewatch.session import scratch_dir
+from tidewatch.sources.managed import UpsertTable
 from tidewatch.sources.messages import parse_messages
 from tidewatch.sources.telemetry import alert_view, telemetry
 from tidewatch.streaming import runner
@@ -142,9 +144,18 @@ def r7(spark, sf_dir):
     return runner.newest_version(runner.publish(daily, "dashboard", "update"), ["day"])
 
 
+@query("r7_live_trend", SQL["a15_weekly_trend"])
+def r7_trend(spark, sf_dir):
+    """The last seven days of the live totals, a day without any as zeros."""
+    measures = ["anomalies", "critical", "network", "auth_failures"]
+    since = R.first_day(AS_OF, 7) // DAY
+    daily = r7(spark, sf_dir).filter(F.col("day") >= since).select("day", *measures)
+    return R.fill_days(daily, AS_OF, 7, measures)
+
+
 @query("r8_upsert_stream", UPSERT_SQL)
 def r8(spark, sf_dir):
-    """Alert versions arrive as a stream; the table is the newest value of each field."""
+    """Alert versions arrive as a stream; each micro-batch is merged into the table, which rewrites only the buckets it touches."""
     first = alert_view(runner.telemetry_stream(spark, sf_dir).drop("event_time")).select("anomaly_id", "alert_seq", "severity", "status", "message")
     third, fifth = F.col("alert_seq") % 3 == 0, F.col("alert_seq") % 5 == 0
     none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -153,6 +164,6 @@ def r8(spark, sf_dir):
         version(1, F.col("severity"), F.col("status"), F.col("message")),
         F.when(third, version(2, none_int, F.lit("denied"), none_text)), F.when(fifth, version(3, F.lit(10), none_text, none_text))))
     stream = first.select("anomaly_id", F.explode(versions).alias("v")).select("anomaly_id", "v.*")
-    return R.upsert(runner.publish(stream, "alert-versions"), "anomaly_id", "version", ["severity", "status", "message"])
-
-
+    table = UpsertTable(spark, scratch_dir(spark, "alert-table"), stream.schema, "anomaly_id", "version", ["severity", "status", "message"])
+    runner.merge_batches(stream, table, "alert-table")
+    return table.rows()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.schema import RAW_EVENTS_DDL
 from tidewatch.session import scratch_dir
+from tidewatch.sources.managed import UpsertTable
 from tidewatch.sources.telemetry import to_telemetry
 
 #: Files of a micro-batch: bounds what a keyed state is handed at a time.
@@ -79,6 +80,15 @@ def each_batch(stream: DataFrame, make: Callable[[DataFrame], DataFrame], name:
     return path
 
 
+def merge_batches(stream: DataFrame, table: UpsertTable, name: str, state: str | None = None) -> str:
+    """Every micro-batch is merged into ``table`` under its number. With the checkpoint folder of an earlier run, which is returned,
+    only what has come since is read."""
+    state = state or scratch_dir(stream.sparkSession, f"{name}-state")
+    run = stream.writeStream.foreachBatch(table.merge).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return state
+
+
 def newest_version(topic: DataFrame, keys: list[str]) -> DataFrame:
     """Latest published row per key of a stream run in update mode."""
     values = [c for c in topic.columns if c not in (*keys, "batch_id")]
