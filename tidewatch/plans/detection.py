@@ -13,7 +13,7 @@ from tidewatch.operators import inputs as IN
 from tidewatch.operators import rules as R
 from tidewatch.operators import windows as W
 from tidewatch.plans.common import ALR, WIN, millionths, with_ctes, with_recursive
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import also, query
 from tidewatch.plans.rules import BAD_APPS, BAD_DOMAINS, IGNORED, RULE_CTES
 from tidewatch.session import materialise
 from tidewatch.sources.telemetry import alerts, table, telemetry
@@ -62,18 +62,14 @@ def device_covariance(spark, sf_dir):
 
 
 @query("a20_device_covariance", with_ctes(_EMB, """
-SELECT label, a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM u a JOIN u b USING (vec_id, label) WHERE a.dim < 6 AND b.dim < 6 GROUP BY ALL"""))
-def a20_device(spark, sf_dir):
-    """The whole covariance is fitted; its SQL asks for the corner of the first six dimensions."""
-    return device_covariance(spark, sf_dir).filter("i < 6 and j < 6")
-
-
-@query("a20_device_covariance_whole", with_ctes(_EMB, """
 SELECT label, a.dim::INTEGER AS i, b.dim::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM u a JOIN u b USING (vec_id, label) GROUP BY ALL"""))
 def a20_device_whole(spark, sf_dir):
     return device_covariance(spark, sf_dir)
 
 
+also("a20_device_covariance_whole", "a20_device_covariance")
+
+
 def scored(spark, sf_dir, mask=None):
     v = vectors(spark, sf_dir)
     if mask:
@@ -131,18 +127,6 @@ def d8(spark, sf_dir):
     return out.select("vec_id", F.array_join(D.factor_texts(F.col("contributions")), "|").alias("factors"))
 
 
-@query("a25_stable_contributions", with_ctes(_EMB + _CONTRIB, """,
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rk FROM (SELECT DISTINCT label, vec_id FROM d WHERE vec_id % 2 = 0) QUALIFY rk <= 5),
-w AS (SELECT label, vec_id, count(*) OVER (PARTITION BY label) AS n FROM r),
-m AS (SELECT w.label, idx, sum(share) / any_value(n) AS avg_w FROM con JOIN w USING (vec_id) GROUP BY ALL HAVING count(*) >= greatest(1, any_value(n) // 2)),
-s AS (SELECT label, idx, avg_w / sum(avg_w) OVER (PARTITION BY label) AS weight FROM m)
-SELECT 'dev_' || label AS device_id, idx, round(weight, 6) AS weight FROM s WHERE weight > 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY weight DESC, idx) <= 3"""))
-def a25(spark, sf_dir):
-    hits = scored(spark, sf_dir).filter("vec_id % 2 = 0").select(
-        F.concat(F.lit("dev_"), F.col("label").cast("string")).alias("device_id"), F.col("vec_id").alias("window_id"), "contributions")
-    return D.aggregated_contributions(hits).withColumn("weight", F.round("weight", 6))
-
-
 # Distances with per-label statistics; the factors spread them around the threshold.
 _DET = _EMB + """,
 st AS (SELECT label, avg(distance) AS dm, CASE WHEN label = 0 THEN 0 ELSE stddev_pop(distance) END AS ds FROM dist GROUP BY label),
@@ -209,7 +193,7 @@ def d9(spark, sf_dir):
     return D.flag_adversarial(found).select("vec_id", "threat_type", "severity")
 
 
-@query("a25_stable_contributions_whole", with_ctes(_DET + _CONTRIB, """,
+@query("a25_stable_contributions", with_ctes(_DET + _CONTRIB, """,
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rk FROM (SELECT DISTINCT label, vec_id FROM sv WHERE is_anomaly) QUALIFY rk <= 5),
 w AS (SELECT label, vec_id, count(*) OVER (PARTITION BY label) AS n FROM r),
 m AS (SELECT w.label, idx, sum(share) / any_value(n) AS avg_w FROM con JOIN w USING (vec_id) GROUP BY ALL HAVING count(*) >= greatest(1, any_value(n) // 2)),
@@ -222,6 +206,9 @@ def a25_whole(spark, sf_dir):
     return D.aggregated_contributions(hits).withColumn("weight", F.round("weight", 6))
 
 
+also("a25_stable_contributions_whole", "a25_stable_contributions")
+
+
 @query("d13_learning_gate", with_ctes(_DET, """
 SELECT vec_id, (NOT (is_anomaly OR vec_id % 9 = 0) OR (threat_type = 'USER_DRIFT' AND severity <= 5)) AND vec_id % 8 * 100 <= 600 AS learn FROM sv"""))
 def d13(spark, sf_dir):
@@ -240,9 +227,8 @@ def d10(spark, sf_dir):
     return v.withColumn("b", B.blend(F.col("own"), F.col("mean"), F.col("w"))).select("vec_id", millionths("b").alias("mean"))
 
 
-def _ema(dims):
-    return with_recursive(_EMB, f""",
-o AS (SELECT u.*, row_number() OVER (PARTITION BY label, dim ORDER BY vec_id) - 1 AS i FROM u{dims}),
+_EMA = with_recursive(_EMB, """,
+o AS (SELECT u.*, row_number() OVER (PARTITION BY label, dim ORDER BY vec_id) - 1 AS i FROM u),
 al AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 0 WHEN vec_id % 5 = 0 THEN least(0.5, 5 * 0.05 / (1 + i / 1000)) ELSE 0.05 / (1 + i / 1000) END AS a FROM o),
 e AS (SELECT label, dim, i, a * x AS m, (1 - a) + a * x * (x - a * x) AS v FROM al WHERE i = 0
   UNION ALL SELECT al.label, al.dim, al.i, (1 - al.a) * m + al.a * x, (1 - al.a) * v + al.a * (x - m) * (x - ((1 - al.a) * m + al.a * x))
@@ -262,17 +248,14 @@ def ema_dimensions(spark, sf_dir):
         "label", "n", "dim", F.round("mean", 6).alias("mean"), F.round(F.expr("get(cov, dim * 65)"), 6).alias("variance"))
 
 
-@query("d12_ema_update", _ema(" WHERE dim < 8"))
-def d12(spark, sf_dir):
-    """Whole vectors are folded; its SQL asks for the first eight dimensions."""
-    return ema_dimensions(spark, sf_dir).filter("dim < 8")
-
-
-@query("d12_ema_update_whole", _ema(""))
+@query("d12_ema_update", _EMA)
 def d12_whole(spark, sf_dir):
     return ema_dimensions(spark, sf_dir)
 
 
+also("d12_ema_update_whole", "d12_ema_update")
+
+
 _YJ = "CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END ELSE CASE WHEN abs(lam - 2) < 1e-9 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END"
 
 
@@ -298,13 +281,6 @@ def d14_apply(spark, sf_dir):
     return B.apply_power(v, lam, ["label"]).select("vec_id", millionths("vector").alias("vec"))
 
 
-@query("j1_window_device_state", with_ctes(WIN, """
-SELECT w.device_id, w.window_id, c.c_acctbal AS distance_mean FROM (SELECT DISTINCT device_id, window_id FROM win) w
-LEFT JOIN customer c ON w.device_id = 'dev_' || c.c_custkey AND c.c_custkey % 3 <> 0"""))
-def j1(spark, sf_dir):
-    return windows_with_state(spark, sf_dir, table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0"))
-
-
 def windows_with_state(spark, sf_dir, customers):
     state = customers.select(
         F.concat(F.lit("dev_"), F.col("c_custkey").cast("string")).alias("device_id"), F.col("c_acctbal").alias("distance_mean"))
@@ -312,7 +288,7 @@ def windows_with_state(spark, sf_dir, customers):
     return B.with_device_state(wins, state).select("device_id", "window_id", "distance_mean")
 
 
-@query("j1_window_device_state_whole", with_ctes(WIN, """
+@query("j1_window_device_state", with_ctes(WIN, """
 SELECT w.device_id, w.window_id, c.c_acctbal AS distance_mean FROM (SELECT DISTINCT device_id, window_id FROM win) w
 LEFT JOIN customer c ON w.device_id = 'dev_' || c.c_custkey"""))
 def j1_whole(spark, sf_dir):
@@ -320,6 +296,9 @@ def j1_whole(spark, sf_dir):
     return windows_with_state(spark, sf_dir, table(spark, sf_dir, "customer"))
 
 
+also("j1_window_device_state_whole", "j1_window_device_state")
+
+
 @query("d16_user_calibration")
 def d16(spark, sf_dir):
     docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import evaluate as E
 from tidewatch.operators import federated as FL
 from tidewatch.plans.common import with_ctes
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import also, query
 from tidewatch.sources.telemetry import table
 
 
@@ -129,10 +129,6 @@ def updates(spark, sf_dir):
     )
 
 
-def clients(spark, sf_dir):
-    return registered(table(spark, sf_dir, "embeddings").filter("vec_id % 7 <> 0"))
-
-
 def registered(emb):
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int")), "yyyy-MM-dd")
     seen = F.when(F.col("vec_id") % 11 == 0, "soon").when(F.col("vec_id") % 2 == 0, F.concat(day, F.lit("T12:00:00+00:00"))).otherwise(F.concat(day, F.lit("T12:00:00")))
@@ -140,16 +136,6 @@ def registered(emb):
 
 
 @query("j6_update_validation", """
-SELECT vec_id, CASE WHEN vec_id % 41 = 0 THEN 'client_id is required' WHEN vec_id % 31 <> 0 AND vec_id % 37 = 0 THEN 'weights_delta must not be empty'
-  WHEN vec_id % 7 = 0 THEN 'client_id is not registered' WHEN label <> 3 THEN 'round_id does not match current round'
-  WHEN vec_id % 20 = 0 THEN 'base_model_version does not match latest global model version'
-  WHEN vec_id % 31 = 0 THEN 'weights_delta length does not match global model dimensions' END AS reason FROM embeddings""")
-def j6(spark, sf_dir):
-    checked = FL.check_updates(updates(spark, sf_dir), clients(spark, sf_dir), current_round=3, model_version=1, model_dim=64)
-    return checked.select("vec_id", "reason")
-
-
-@query("j6_update_validation_whole", """
 SELECT vec_id, CASE WHEN vec_id % 41 = 0 THEN 'client_id is required' WHEN vec_id % 31 <> 0 AND vec_id % 37 = 0 THEN 'weights_delta must not be empty'
   WHEN 'c' || vec_id NOT IN (SELECT 'c' || c_custkey FROM customer) THEN 'client_id is not registered' WHEN label <> 3 THEN 'round_id does not match current round'
   WHEN vec_id % 20 = 0 THEN 'base_model_version does not match latest global model version'
@@ -161,6 +147,9 @@ def j6_whole(spark, sf_dir):
     return checked.select("vec_id", "reason")
 
 
+also("j6_update_validation_whole", "j6_update_validation")
+
+
 _FL = """
 u AS (SELECT vec_id, label AS round_id, 1 + vec_id % 50 AS n, unnest(embedding)::DOUBLE AS d, unnest(range(64)) AS dim FROM embeddings),
 m AS (SELECT round_id, dim, sum(n * d) / sum(n) AS delta, count(*) AS k FROM u GROUP BY ALL),
@@ -183,24 +172,18 @@ def a21(spark, sf_dir):
 
 
 @query("a22_federation_status", """
-SELECT label AS round_id, count(*) AS pending, 64 AS weights_dim, (SELECT count(*) FROM embeddings WHERE vec_id % 7 <> 0) AS registered_clients FROM embeddings GROUP BY ALL""")
-def a22(spark, sf_dir):
-    return FL.federation_status(updates(spark, sf_dir), clients(spark, sf_dir))
-
-
-@query("a22_federation_status_whole", """
 SELECT label AS round_id, count(*) AS pending, 64 AS weights_dim, (SELECT count(*) FROM embeddings) AS registered_clients FROM embeddings GROUP BY ALL""")
 def a22_whole(spark, sf_dir):
     return FL.federation_status(updates(spark, sf_dir), registered(table(spark, sf_dir, "embeddings")))
 
 
-@query("r9_stale_clients", """
-SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 30 >= 23""")
-def r9(spark, sf_dir):
-    return FL.drop_stale_clients(clients(spark, sf_dir), 1706659200000).select("vec_id")
+also("a22_federation_status_whole", "a22_federation_status")
 
 
-@query("r9_stale_clients_whole", """
+@query("r9_stale_clients", """
 SELECT vec_id FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 30 >= 23""")
 def r9_whole(spark, sf_dir):
     return FL.drop_stale_clients(registered(table(spark, sf_dir, "embeddings")), 1706659200000).select("vec_id")
+
+
+also("r9_stale_clients_whole", "r9_stale_clients")

@@ -10,7 +10,7 @@ from tidewatch.functions.payload import num, parse_payload, truthy
 from tidewatch.functions.times import day_of, normalise_epoch_ms
 from tidewatch.operators import predicates as P
 from tidewatch.plans.common import ALR, LOG, TEL, with_ctes
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import also, query
 from tidewatch.session import scratch_dir
 from tidewatch.sources import files, messages, tables
 from tidewatch.sources.telemetry import alerts, log_lines, table, telemetry
@@ -132,18 +132,6 @@ def s8(spark, sf_dir):
     return out
 
 
-@query("s10_device_dimension", with_ctes(TEL, """,
-old AS (SELECT 'dev_' || c_custkey AS device_id, c_name AS name, 0::BIGINT AS f, 1000::BIGINT AS l FROM customer WHERE c_custkey % 10 = 0),
-seen AS (SELECT device_id, min(ts_ms) AS f, max(ts_ms) AS l FROM tel GROUP BY ALL)
-SELECT device_id, coalesce(old.name, 'Device-' || substr(device_id, 1, 8)) AS name,
-  CASE WHEN old.f IS NULL THEN seen.f WHEN seen.f IS NULL THEN old.f ELSE least(old.f, seen.f) END AS first_seen_ms,
-  CASE WHEN old.l IS NULL THEN seen.l WHEN seen.l IS NULL THEN old.l ELSE greatest(old.l, seen.l) END AS last_seen_ms,
-  seen.l IS NOT NULL AS is_active
-FROM old FULL OUTER JOIN seen USING (device_id)"""))
-def s10(spark, sf_dir):
-    return tables.refresh_devices(stored_devices(table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")), telemetry(spark, sf_dir))
-
-
 def stored_devices(customers):
     return customers.select(
         F.concat(F.lit("dev_"), F.col("c_custkey").cast("string")).alias("device_id"), F.col("c_name").alias("name"),
@@ -152,7 +140,7 @@ def stored_devices(customers):
     )
 
 
-@query("s10_device_dimension_whole", with_ctes(TEL, """,
+@query("s10_device_dimension", with_ctes(TEL, """,
 old AS (SELECT 'dev_' || c_custkey AS device_id, c_name AS name, 0::BIGINT AS f, 1000::BIGINT AS l FROM customer),
 seen AS (SELECT device_id, min(ts_ms) AS f, max(ts_ms) AS l FROM tel GROUP BY ALL)
 SELECT device_id, coalesce(old.name, 'Device-' || substr(device_id, 1, 8)) AS name,
@@ -165,6 +153,9 @@ def s10_whole(spark, sf_dir):
     return tables.refresh_devices(stored_devices(table(spark, sf_dir, "customer")), telemetry(spark, sf_dir))
 
 
+also("s10_device_dimension_whole", "s10_device_dimension")
+
+
 @query("s11_schema_upgrade", with_ctes(TEL, """
 SELECT device_id, event_id, event_type, NULL::BIGINT AS last_tz_offset, NULL::VARCHAR AS xai FROM tel WHERE event_id % 2 = 0
 UNION ALL SELECT device_id, event_id, event_type, event_id % 3 AS last_tz_offset, 'x' AS xai FROM tel WHERE event_id % 2 = 1"""))

@@ -20,3 +20,12 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def also(name: str, same_as: str) -> None:
+    """Another name of a query and its SQL."""
+    if name in QUERIES:
+        raise ValueError(f"duplicate query {name}")
+    QUERIES[name] = QUERIES[same_as]
+    if same_as in SQL:
+        SQL[name] = SQL[same_as]
