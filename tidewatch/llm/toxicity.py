@@ -27,6 +27,8 @@ class Settings:
     least_docs: int = 10
     ridge: float = 1e-3
     steps: int = 400
+    #: Parts of the fitted rows of which each is scored by a model of the others, to place the threshold.
+    folds: int = 3
 
 
 @dataclass(frozen=True)
@@ -94,13 +96,54 @@ def _fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridg
     return w[:k], float(w[k])
 
 
+def _log_ratios(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-count ratios of n-grams in ``pos`` of n1 and ``neg`` of n0 rows, smoothed by the class shares."""
+    share = n1 / (n1 + n0)
+    return np.log((pos + share) / share) - np.log((neg + 1 - share) / (1 - share)) - np.log((n1 + 1) / share) + np.log((n0 + 1) / (1 - share))
+
+
+def _threshold(rows: list[np.ndarray], y: np.ndarray, pos: np.ndarray, neg: np.ndarray, weight: tuple[float, float], s: Settings) -> float | None:
+    """The logit that tells the classes apart best, by the F1 of rows scored by models that were fitted without them.
+
+    A row of class 0 or 1 counts ``weight`` times, so a class of which few rows were fitted counts as much as in all labels. The middle of
+    equally good cuts is taken. None with fewer than ten rows a fold of either class.
+    """
+    if min(y.sum(), (1 - y).sum()) < 10 * s.folds:
+        return None
+    fold = np.empty(len(y), np.int64)
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        fold[own] = np.arange(len(own)) % s.folds
+    z = np.zeros(len(y))
+    for k in range(s.folds):
+        out = fold == k
+        p, q = pos.copy(), neg.copy()
+        for i in np.flatnonzero(out):
+            (p if y[i] else q)[rows[i]] -= 1
+        ratio = _log_ratios(p, q, y[~out].sum(), (1 - y[~out]).sum())
+        w, bias = _fit_logistic([rows[i] for i in np.flatnonzero(~out)], y[~out], ratio, s.ridge, s.steps)
+        flat = w * ratio
+        for i in np.flatnonzero(out):
+            z[i] = bias + flat[rows[i]].sum()
+    order = np.argsort(-z, kind="stable")
+    hit, miss = np.cumsum(y[order] * weight[1]), np.cumsum((1 - y[order]) * weight[0])
+    f1 = 2 * hit / (hit + miss + y.sum() * weight[1])
+    cut = z[order][:-1] > z[order][1:]  # a threshold lies between two different scores
+    best = np.flatnonzero(cut & (f1[:-1] >= f1[:-1][cut].max() - 1e-12)) if cut.any() else []
+    if not len(best):
+        return None
+    k = int(best[len(best) // 2])
+    return float((z[order][k] + z[order][k + 1]) / 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Fit on ``docs`` (id, text) by ``labels`` (id, label 0 or 1); other labels are left out, a null text counts as empty.
 
     Of each class at most ``rows_per_class`` labels are used, those whose ids hash lowest, so only their texts are read out
     of the documents; rows that repeat id, label and text count once, and of one id's different texts no more than this bound either. Document frequencies of all n-grams are counted by class in tasks and summed; features are the
     ones with the largest chi-square statistic. Feature values are log-count ratios, smoothed by the class shares, so that
-    an unseen n-gram has ratio 0. The intercept is moved to the class shares of all labels. Without rows of
+    an unseen n-gram has ratio 0. Score 0.5 is where cross-validation on the fitted rows tells the classes apart best (``_threshold``), or,
+    with too few rows for that, where the class shares of all labels put it. Without rows of
     both classes the model gives the share of the class. An id with several labels or texts counts with each.
     """
     s = settings or Settings()
@@ -117,7 +160,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     n1, n0 = (seen.filter(F.col("label") == c).count() for c in (1, 0))
     if not n1 or not n0:
         return only
-    share = n1 / (n1 + n0)
     table = seen.coalesce(4).mapInArrow(_counted(s.bits), "gram long, pos int, neg int").groupBy("gram").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
@@ -126,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     best = table.filter(docs >= min(s.least_docs, max(2, n1 // 20))).orderBy(chi.desc(), "gram").limit(s.features)
     best = np.array([tuple(r) for r in best.collect()], dtype=float).reshape(-1, 3)
     grams = best[:, 0].astype(np.int64)
-    ratio = np.log((best[:, 1] + share) / share) - np.log((best[:, 2] + 1 - share) / (1 - share)) - np.log((n1 + 1) / share) + np.log((n0 + 1) / (1 - share))
+    ratio = _log_ratios(best[:, 1], best[:, 2], n1, n0)
     kept = np.full(1 << s.bits, -1, dtype=np.int64)
     kept[grams] = np.arange(len(grams))
 
@@ -139,9 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     fitted = seen.mapInArrow(project, "label int, own binary").collect()  # bounded by the sample
     fitted.sort()
     rows = [np.frombuffer(r.own, dtype=np.int32).astype(np.int64) for r in fitted]
-    w, bias = _fit_logistic(rows, np.array([r.label for r in fitted], dtype=float), ratio, s.ridge, s.steps)
+    y = np.array([r.label for r in fitted], dtype=float)
+    w, bias = _fit_logistic(rows, y, ratio, s.ridge, s.steps)
     flat[grams] = w * ratio
-    return Model(s, flat, bias + float(np.log(ones / zeros) - np.log(n1 / n0)))
+    cut = _threshold(rows, y, best[:, 1], best[:, 2], (zeros / n0, ones / n1), s)
+    return Model(s, flat, bias + float(np.log(ones / zeros) - np.log(n1 / n0) if cut is None else -cut))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, score_col: str = "score") -> DataFrame:
