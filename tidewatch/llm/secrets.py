@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re._parser as sre
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -113,13 +113,18 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], key: Column, text: Column
     )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed one time, however often the body reads it, also in functions of array elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(lengths: Column) -> Column:
     """Array of the running sums of an array of ints.
 
     An array that is built by adding one element at a time is copied each time, so the sums are built in blocks of about the square root of
     the size: first the sum of each block, then where each begins, then the sums within.
     """
-    width = F.ceil(F.sqrt(F.greatest(F.size(lengths), F.lit(1)))).cast("int")
+    width = F.ceil(F.sqrt(F.greatest(F.size(lengths), F.lit(1)))).cast("int")  # read anew for each block, from the size alone
     numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / width).cast("int"))
     blocks = F.transform(numbers, lambda k: F.slice(lengths, k * width + 1, width))
 
@@ -129,7 +134,7 @@ def running(lengths: Column) -> Column:
 
     totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
     begins = sums(totals, F.lit(0))
-    return F.flatten(F.zip_with(F.slice(begins, 1, F.size(blocks)), blocks, lambda s, x: F.slice(sums(x, s), 2, F.greatest(F.size(x), F.lit(1)))))
+    return F.flatten(F.zip_with(F.slice(begins, 1, F.size(numbers)), blocks, lambda s, x: F.slice(sums(x, s), 2, F.greatest(F.size(x), F.lit(1)))))
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -141,21 +146,24 @@ def _spans(text: Column, rule: Rule) -> Column:
     """
     mark, parts = "\x00", 2 if rule.group == 0 else 3
     marked = F.regexp_replace(F.translate(text, mark, "\x01"), F.lit(rule.pattern), F.lit(f"{mark}$0{mark}" + f"${rule.group}{mark}" * (parts == 3)))
-    pieces = F.split(marked, mark, -1)
-    lengths = F.transform(pieces, lambda x: F.length(x))
-    moves = F.filter(lengths, lambda x, i: i % parts < 2) if parts == 3 else lengths
-    ends = running(moves)
-    count = F.floor(F.size(pieces) / parts).cast("int")
     empty = F.array().cast("array<struct<start:int,kind:string,end:int,good:boolean>>")
 
-    def span(k: Column) -> Column:
-        size = F.element_at(lengths, k * parts + parts)
-        return F.struct(
-            F.element_at(ends, 2 * k + 1).alias("start"), F.lit(rule.kind).alias("kind"), F.element_at(ends, 2 * k + 2).alias("end"),
-            (size >= rule.least).alias("good"),
+    def found(lengths: Column, ends: Column) -> Column:
+        count = F.floor(F.size(lengths) / parts).cast("int")
+        spans = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda k: F.struct(
+                F.element_at(ends, 2 * k + 1).alias("start"), F.lit(rule.kind).alias("kind"), F.element_at(ends, 2 * k + 2).alias("end"),
+                (F.element_at(lengths, k * parts + parts) >= rule.least).alias("good"),
+            ),
         )
+        return F.when(count > 0, F.filter(spans, lambda s: s["good"])).otherwise(empty)
+
+    def placed(lengths: Column) -> Column:
+        moves = F.filter(lengths, lambda x, i: i % parts < 2) if parts == 3 else lengths
+        return once(once(moves, running), lambda ends: found(lengths, ends))
 
-    return F.when(count > 0, F.filter(F.transform(F.sequence(F.lit(0), count - 1), span), lambda s: s["good"])).otherwise(empty)
+    return once(F.transform(F.split(marked, mark, -1), lambda x: F.length(x)), placed)
 
 
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
