@@ -110,6 +110,12 @@ def _aligned(text: bytes, pattern: bytes) -> int:
     return at // 4 if at >= 0 else -1
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of several (cells, counts) and the sums of their counts."""
+    cells, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return cells, np.bincount(place, np.concatenate([p[1] for p in parts]), len(cells)).astype(np.int64)
+
+
 class Index:
     """All q-grams of the windows of some benchmark items, with what the lemma asks of each window.
 
@@ -171,7 +177,7 @@ class Index:
         at = np.flatnonzero(hit & (np.cumsum(near)[:-1] > 0))
         low, high = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
         shift = 1 << 40  # bands may be negative
-        cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         done = np.concatenate([[0], np.cumsum(high - low)])
         begin = 0
         while begin < len(at):
@@ -184,11 +190,20 @@ class Index:
             # Paths of a match within e edits stay within e diagonals, so inside one of two overlapping bands.
             wide = self.edits[window] + 1
             band = (pos - self.place[entry]) // wide
-            both = np.concatenate([window, window]) * (2 * shift) + np.concatenate([band, band - 1]) + shift
-            part, seen = np.unique(both, return_counts=True)
-            cells, place = np.unique(np.concatenate([cells, part]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, seen]), len(cells)).astype(np.int64)
+            # The positions of a slice lie close together, so its windows and bands make a small table.
+            there = np.zeros(len(self.patterns), bool)
+            there[window] = True
+            names, low_band = np.flatnonzero(there), int(band.min()) - 1
+            bands = int(band.max()) - low_band + 1
+            cell = (np.cumsum(there) - 1)[window] * bands + (band - low_band)
+            table = np.bincount(cell, minlength=len(names) * bands)
+            table[:-1] += np.bincount(cell, minlength=len(names) * bands)[1:]  # each hit counts for the band before, too
+            full = np.flatnonzero(table)
+            held.append((names[full // bands] * (2 * shift) + (full % bands + low_band) + shift, table[full]))
+            if sum(len(x[0]) for x in held) > 4 * self.settings.slice_hits:
+                held = [_summed(held)]
             begin = stop
+        cells, counts = _summed(held)
         cells = cells[counts >= self.need[cells // (2 * shift)]]
         if not len(cells):
             return []

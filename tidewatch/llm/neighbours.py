@@ -57,7 +57,9 @@ def _rotation(d: int, seed: int) -> np.ndarray:
 
 
 def _centres(sample: np.ndarray, lists: int, seed: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means of a bounded sample."""
+    """Spherical k-means of a bounded sample; one centre of zeros without any."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]))
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
     for _ in range(rounds):
