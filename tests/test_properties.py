@@ -261,8 +261,11 @@ def test_whole_flow(spark):
     for r in rows:
         xai = json.loads(r["xai"])
         assert 1 <= r["severity"] <= 10 and len(xai["factors"]) <= 5 and xai["version"] == "xai-v1"
-        assert "rule" in r["source"] or "model" in r["source"]
-        assert len(r["feature_vector"]) == 72
+        if r["window_id"] is None:
+            assert r["source"] in ("phishing-analyzer", "permission-monitor", "canary-manager") and r["feature_vector"] is None and r["distance"] == 0
+        else:
+            assert ("rule" in r["source"] or "model" in r["source"]) and len(r["feature_vector"]) == 72
+    assert any(r["window_id"] is None for r in rows) and any(r["window_id"] is not None for r in rows)
 
 
 @pytest.mark.parametrize("name", ["m2_text_classifier", "m4_scaled_forest"])
