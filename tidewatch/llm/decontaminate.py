@@ -184,6 +184,9 @@ class Index:
             # One position has at most as many postings as windows hold its q-gram; so many positions that the slice is about full.
             stop = max(begin + 1, int(np.searchsorted(done, done[begin] + self.settings.slice_hits, "right")) - 1)
             n = (high - low)[begin:stop]
+            if not n.any():  # q-grams that only share a place in the table of seen ones
+                begin = stop
+                continue
             pos = np.repeat(at[begin:stop], n)
             entry = np.repeat(low[begin:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             window = self.window[entry]
@@ -203,6 +206,8 @@ class Index:
             if sum(len(x[0]) for x in held) > 4 * self.settings.slice_hits:
                 held = [_summed(held)]
             begin = stop
+        if not held:
+            return []
         cells, counts = _summed(held)
         cells = cells[counts >= self.need[cells // (2 * shift)]]
         if not len(cells):
