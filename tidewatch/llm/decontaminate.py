@@ -193,16 +193,20 @@ class Index:
             # Paths of a match within e edits stay within e diagonals, so inside one of two overlapping bands.
             wide = self.edits[window] + 1
             band = (pos - self.place[entry]) // wide
-            # The positions of a slice lie close together, so its windows and bands make a small table.
             there = np.zeros(len(self.patterns), bool)
             there[window] = True
             names, low_band = np.flatnonzero(there), int(band.min()) - 1
             bands = int(band.max()) - low_band + 1
             cell = (np.cumsum(there) - 1)[window] * bands + (band - low_band)
-            table = np.bincount(cell, minlength=len(names) * bands)
-            table[:-1] += np.bincount(cell, minlength=len(names) * bands)[1:]  # each hit counts for the band before, too
-            full = np.flatnonzero(table)
-            held.append((names[full // bands] * (2 * shift) + (full % bands + low_band) + shift, table[full]))
+            # Each hit counts for its band and the one before. Hits side by side are counted in a table, scattered ones sorted.
+            if len(names) * bands <= 4 * self.settings.slice_hits:
+                table = np.bincount(cell, minlength=len(names) * bands)
+                table[:-1] += table[1:].copy()
+                full = np.flatnonzero(table)
+                seen = table[full]
+            else:
+                full, seen = np.unique(np.concatenate([cell, cell - 1]), return_counts=True)
+            held.append((names[full // bands] * (2 * shift) + (full % bands + low_band) + shift, seen))
             if sum(len(x[0]) for x in held) > 4 * self.settings.slice_hits:
                 held = [_summed(held)]
             begin = stop
