@@ -9,10 +9,13 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidewatch.operators import adaptive as AD
 from tidewatch.operators import baseline as B
+from tidewatch.operators import windows as W
 from tidewatch.plans import detection, streams
 from tidewatch.session import scratch_dir
+from tidewatch.sources.telemetry import telemetry
 from tidewatch.streaming import runner
 from tidewatch.streaming import stateful as ST
 
@@ -129,3 +132,17 @@ def test_transform_is_applied_after_the_first_fit_and_refitted(spark):
             first = state.lambdas.copy()
     assert [t["transformed"] for t in told] == [False] * 50 + [True] * 210
     assert not np.allclose(first, state.lambdas) and state.power.n < 260 - 120
+
+
+@pytest.mark.parametrize("name", ["r5_window_stream", "r5_detector_stream"])
+def test_keyed_streams_run_in_any_session(spark, name):
+    """With Spark's default store, which holds no state of several columns; the session keeps its settings."""
+    provider, default = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before, environment = spark.conf.get(provider), dict(spark.sparkContext.environment)
+    spark.conf.set(provider, default)
+    try:
+        got = {(r.device_id, r.window_id) for r in entry.queries()[name](spark, SF).select("device_id", "window_id").collect()}
+        assert spark.conf.get(provider) == default and spark.sparkContext.environment == environment
+    finally:
+        spark.conf.set(provider, before)
+    assert got == {tuple(r) for r in W.count_windows(telemetry(spark, SF)).select("device_id", "window_id").distinct().collect()} and got

@@ -78,7 +78,8 @@ def r4(spark, sf_dir):
 
 @query("r5_window_stream", with_ctes(WIN, "SELECT device_id, window_id, event_id FROM win"))
 def r5_windows(spark, sf_dir):
-    windows = runner.append_to_table(S.window_stream(runner.telemetry_stream(spark, sf_dir)), "windows")
+    with runner.keyed_state(spark):
+        windows = runner.append_to_table(S.window_stream(runner.telemetry_stream(spark, sf_dir)), "windows")
     return windows.select("device_id", "window_id", F.explode("ev.event_id").alias("event_id"))
 
 
@@ -98,7 +99,8 @@ def detector_flow(spark, sf_dir, cfg, files_per_batch=runner.FILES_PER_BATCH, sc
 @query("r5_detector_stream")
 def r5(spark, sf_dir):
     """With the rule alerts, sensitive permissions and time zones of each window, as in the batch form."""
-    return detector_flow(spark, sf_dir, DETECTOR)
+    with runner.keyed_state(spark):
+        return detector_flow(spark, sf_dir, DETECTOR)
 
 
 _DAILY_RULES = with_ctes(TEL + """,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.schema import RAW_EVENTS_DDL
-from tidewatch.session import scratch_dir
+from tidewatch.session import ROCKSDB, scratch_dir
 from tidewatch.sources.managed import UpsertTable
 from tidewatch.sources.telemetry import to_telemetry
 
@@ -16,6 +19,25 @@ from tidewatch.sources.telemetry import to_telemetry
 FILES_PER_BATCH = 16
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """What streams with ``transformWithState`` need of any session, set for as long as they are made and run.
+
+    Spark's default store holds no state of several columns. The worker that Spark starts beside the driver to declare the state
+    sees only the Python path, not the files that were added to the session.
+    """
+    provider, environment = "spark.sql.streaming.stateStore.providerClass", spark.sparkContext.environment
+    store, path = spark.conf.get(provider, None), environment.get("PYTHONPATH")
+    root = str(Path(__file__).resolve().parents[2])
+    spark.conf.set(provider, ROCKSDB)
+    environment["PYTHONPATH"] = os.pathsep.join([root, path] if path else [root])
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, store) if store else spark.conf.unset(provider)
+        environment.update(PYTHONPATH=path) if path else environment.pop("PYTHONPATH")
+
+
 def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     """Telemetry as a stream over the event files, with ``event_time`` for watermarks."""
     reader = spark.readStream.schema(RAW_EVENTS_DDL)

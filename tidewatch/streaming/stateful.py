@@ -166,7 +166,7 @@ def window_stream(
 
     The state of a device is fewer than ``size`` events and a count. A device that is silent for ``life_ms`` of event time, by the
     watermark, is forgotten; when it returns, its windows are counted from 0 again. Events older than the watermark (``delay`` behind
-    the newest) are left out.
+    the newest) are left out. Run it within ``runner.keyed_state``.
     """
     fields = fields or feature_fields()
     parsed = parse_payload(tel).withWatermark("event_time", delay)
@@ -247,7 +247,8 @@ class Detector(Remembered):
 def detector_stream(windows: DataFrame, cfg: AD.DetectorConfig | None = None, life_ms: int = STATE_LIFE_MS, delay: str = STATE_DELAY) -> DataFrame:
     """The adaptive detector over a stream of detector inputs (see ``inputs.detector_inputs``), same step as the batch form.
 
-    A device is forgotten ``life_ms`` of event time after its last window and starts anew if it returns.
+    A device is forgotten ``life_ms`` of event time after its last window and starts anew if it returns. Run it within
+    ``runner.keyed_state``.
     """
     cfg = cfg or AD.DetectorConfig()
     timed = AD.with_optional(windows).withColumn("event_time", F.timestamp_millis("end_ms")).withWatermark("event_time", delay)
