@@ -342,3 +342,40 @@ def test_forests_are_of_full_size(spark, monkeypatch, name):
     with pytest.raises(Asked) as asked:
         entry.queries()[name](spark, SF)
     assert asked.value.args == ({},)
+
+
+def test_forest_in_pieces(spark, monkeypatch):
+    """Upper nodes from histograms, subtrees a task each, small blocks and rounds: as good as a tree grown in one task, and as MLlib's."""
+    from tidewatch.operators import forest as FO
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=(3000, 4)), rng.integers(0, 3, (3000, 3))]).astype(float)
+    y = ((x[:, 0] * x[:, 1] > 0) & (x[:, 4] < 2)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), float(t), 1.0) for i, (v, t) in enumerate(zip(x, y))], "id long, x array<double>, y double, weight double")
+    train, test = df.filter("id % 4 > 0"), df.filter("id % 4 = 0").select("id", "y", "x")
+    for node_rows, block_rows, round_rows in ((1 << 18, 1 << 14, 1 << 27), (400, 256, 20_000)):
+        for name, value in (("NODE_ROWS", node_rows), ("BLOCK_ROWS", block_rows), ("ROUND_ROWS", round_rows)):
+            monkeypatch.setattr(FO, name, value)
+        grown = FO.grow_forest(train, 20, 30)
+        scored = grown.score(test, "p").collect()
+        assert {r.id for r in scored} == set(range(0, 3000, 4)) and len(scored) == 750
+        assert np.mean([(r.p >= 0.5) == (r.y > 0) for r in scored]) > 0.95 and all(0 <= r.p <= 1 for r in scored)
+        gain = grown.importances()
+        assert abs(gain.sum() - 1) < 1e-9 and set(np.argsort(gain)[-3:]) == {0, 1, 4}
+        assert (len(grown.top[0]["feature"]) > 1) == (node_rows == 400)
+        # Fully grown: leaves are pure or cannot be cut by bins.
+        leaves = np.concatenate([t["p"][t["feature"] < 0] for t in map(FO._loaded, grown.subtrees.collect())])
+        assert np.mean((leaves == 0) | (leaves == 1)) > 0.95
+
+
+def test_class_weights_do_not_gather_a_class(spark):
+    from tidewatch.operators import evaluate as E
+
+    rows = spark.range(1000).select("id", (F.col("id") % 2).alias("label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = E.balanced_weights(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -100,8 +100,8 @@ def end_to_end(spark, sf_dir):
 
 def train_models(spark, sf_dir, path, **settings) -> int:
     """Fits both models on the labelled rows and saves them with the weights and thresholds of the ensemble."""
-    tabular = learning.M.train_tabular(learning.connections(spark, sf_dir), **settings)
-    text = learning.M.train_text(learning.log_texts(spark, sf_dir, include_level=False), "text")
+    tabular = learning.M.train_tabular(materialise(learning.connections(spark, sf_dir), "connections"), **settings)
+    text = learning.M.train_text(materialise(learning.log_texts(spark, sf_dir, include_level=False), "log-texts"), "text")
     return save_models(spark, path, WindowModels(tabular, text, dict(ENSEMBLE_DEFAULTS)))
 
 
