@@ -63,7 +63,7 @@ def fit_baselines(
 
     def partial(state: dict) -> pd.DataFrame:
         head = state["head"]
-        return head[[*keys, "_part", "_parts"]].assign(_n=state["n"], _mean=[state["mean"].tolist()], _m2=[state["m2"].ravel().tolist()])
+        return head[[*keys, "_part", "_parts"]].assign(_n=state["n"], _mean=[state["mean"]], _m2=[state["m2"].ravel()])
 
     def add_partials(state: dict, part: pd.DataFrame) -> None:
         state["parts"] = int(part["_parts"].iloc[0])
@@ -72,7 +72,7 @@ def fit_baselines(
             merge(state, int(n), mean, np.asarray(m2, float).reshape(len(mean), -1))
 
     def whole(state: dict) -> dict:
-        return {"_parts": state["parts"], "_n": state["n"], "_mean": state["mean"].tolist(), "_m2": state["m2"].ravel().tolist()}
+        return {"_parts": state["parts"], "_n": state["n"], "_mean": state["mean"], "_m2": state["m2"].ravel()}
 
     parts = ordered_fold(split, [*keys, "_part"], [], start, add_rows,
                          f"{key_fields}, _part bigint, _parts bigint, _n bigint, _mean array<double>, _m2 array<double>", partial)

@@ -69,7 +69,10 @@ def cooldown_stream(alerts: DataFrame, keys: Sequence[str], gap_ms: int = COOLDO
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
+        rows, *more = batches
+        rows = pd.concat([rows, *more]) if more else rows
+        if len(rows) > 1:  # most keys have one row in a batch, which needs none of this
+            rows = rows.sort_values(["ts_ms", "event_id"])
         ms = rows["ts_ms"].to_numpy()
         ready = state.get[0] + gap_ms if state.exists else -(1 << 60)
         kept, i = [], int(np.searchsorted(ms, ready, side="left"))
@@ -80,7 +83,8 @@ def cooldown_stream(alerts: DataFrame, keys: Sequence[str], gap_ms: int = COOLDO
         last = int(ms[kept[-1]]) if kept else int(state.get[0])
         state.update((last,))
         state.setTimeoutTimestamp(max(last + 3 * gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept][columns]
+        if kept:
+            yield (rows if len(kept) == len(rows) else rows.iloc[kept])[columns]
 
     return alerts.withWatermark("event_time", delay).groupBy(*keys).applyInPandasWithState(
         keep, _ddl(alerts, columns), "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
