@@ -172,19 +172,22 @@ def _slices(pdf: pd.DataFrame, names: list[str]) -> list[tuple[tuple, int, int]]
 
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str],
-    start: Callable[[pd.DataFrame], object], step: Callable[[object, pd.DataFrame], pd.DataFrame | None],
+    start: Callable[[pd.DataFrame], object], step: Callable[[object, pd.DataFrame], pd.DataFrame | list[dict] | None],
     schema: str | T.StructType, finish: Callable[[object], pd.DataFrame | None] | None = None,
 ) -> DataFrame:
     """A recurrence per key whose next state depends on the last one.
 
     Rows are shuffled by key, sorted, and streamed through Arrow batches; a task holds one
-    batch and one state, never a whole key. ``step`` sees consecutive slices of one key.
+    batch and one state, never a whole key. ``step`` sees consecutive slices of one key; it may return a list of rows
+    (dicts) instead of a frame, which is cheaper where slices are short.
     """
     names = list(keys)
 
     def joined(made: list) -> Iterator[pd.DataFrame]:
         made = [m for m in made if m is not None and len(m)]
-        if made:
+        if made and isinstance(made[0], list):
+            yield pd.DataFrame([row for m in made for row in m])
+        elif made:
             yield pd.concat(made, ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

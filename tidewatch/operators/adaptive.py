@@ -6,7 +6,8 @@ Everything a step needs is in ``DetectorState``; its size does not grow with the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -65,9 +66,14 @@ class DetectorState:
     power: PowerMoments | None = None
 
 
+@cache
+def _unit_baseline(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(dim), np.eye(dim)
+
+
 def generic_baseline(cfg: DetectorConfig, dim: int) -> tuple[np.ndarray, np.ndarray]:
     if cfg.generic_mean is None:
-        return np.zeros(dim), np.eye(dim)
+        return _unit_baseline(dim)
     return np.asarray(cfg.generic_mean, float), np.asarray(cfg.generic_cov, float).reshape(dim, dim)
 
 
@@ -154,8 +160,8 @@ def step(state: DetectorState, window: dict, cfg: DetectorConfig) -> dict:
     else:
         progress = (now - state.first_ms - DAY_MS) / (7 * DAY_MS)
         w = 1.0 - min(1.0, max(0.0, progress))
-        mean = w * generic_mean + (1 - w) * state.mean
-        cov = ensure_psd(w * generic_cov + (1 - w) * state.cov, generic_cov)
+        mean = w * generic_mean + (1 - w) * state.mean if w else state.mean
+        cov = ensure_psd(w * generic_cov + (1 - w) * state.cov if w else state.cov, generic_cov)
 
     parts = whiten_one(mean, cov, (x - mean) * mask)
     observed = mask.sum()
@@ -261,11 +267,15 @@ def run_detector(windows: DataFrame, cfg: DetectorConfig | None = None) -> DataF
     cfg = cfg or DetectorConfig()
     df = with_optional(windows)
 
-    def walk(state: DetectorState, part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for record in part.to_dict("records"):
+    if cfg.generic_mean is not None:
+        cfg = replace(cfg, generic_mean=np.asarray(cfg.generic_mean, float), generic_cov=np.asarray(cfg.generic_cov, float))
+
+    def walk(state: DetectorState, part: pd.DataFrame) -> list[dict]:
+        rows, names = [], list(part.columns)
+        for values in zip(*(part[c] for c in names)):
+            record = dict(zip(names, values))
             result = step(state, record, cfg)
             rows.append({"device_id": record["device_id"], "window_id": record["window_id"], "end_ms": record["end_ms"], **result})
-        return pd.DataFrame(rows)
+        return rows
 
     return ordered_fold(df, ["device_id"], ["window_id"], lambda part: DetectorState(), walk, RESULT_DDL)

@@ -40,7 +40,9 @@ class Whitener:
 def whiten_one(mean: np.ndarray, cov: np.ndarray, diff: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Squared whitened parts of a single difference, without inverting the matrix."""
     try:
-        z = np.linalg.solve(np.linalg.cholesky(cov + ridge * np.eye(len(mean))), diff)
+        wide = np.array(cov, float)
+        wide.flat[:: len(mean) + 1] += ridge
+        z = np.linalg.solve(np.linalg.cholesky(wide), diff)
     except np.linalg.LinAlgError:
         z = Whitener(mean, cov, ridge).matrix @ diff
     return z * z
