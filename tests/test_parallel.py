@@ -118,3 +118,34 @@ def test_upserts_rewrite_only_touched_buckets_and_know_their_batches(spark):
     assert len(got) == 51 and got["k7"] == (3, "y", 70) and got["new"] == (1, None, None) and got["k8"] == (1, "x", 8)
     with pytest.raises(RuntimeError):
         table._commit(0, {"parts": [], "applied": 5})
+
+
+def test_merges_get_small_groups_and_folds_take_rows(spark):
+    """A merge gets its fan-in as one batch, not 10,000 summaries; a step of a fold may return plain rows."""
+    from tidewatch.functions.ordered import merge_levels, ordered_fold
+
+    parts = spark.range(300).select(F.lit("a").alias("k"), F.col("id").alias("place"), F.col("id").cast("string").alias("text"))
+    begin, add = lambda part: [], lambda state, part: state.extend(part["text"])
+    merged = merge_levels(parts, ["k"], "place", 300, begin, add, lambda state: {"text": " ".join(state)}, 8)
+    assert "FlatMapGroupsInPandas" in merged._jdf.queryExecution().executedPlan().toString()
+    assert [r.text.split() for r in merged.collect()] == [[str(i) for i in range(300)]]
+    rows = spark.range(500).select((F.col("id") % 200).alias("k"), "id")
+    step = lambda state, part: [{"k": int(k), "id": int(i)} for k, i in zip(part["k"], part["id"])]
+    got = ordered_fold(rows, ["k"], ["id"], lambda part: None, step, "k bigint, id bigint").collect()
+    assert sorted(r.id for r in got) == list(range(500)) and all(r.k == r.id % 200 for r in got)
+
+
+def test_isolation_forest_scores_its_rows_once(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from tidewatch.operators import learn as M
+
+    calls, score = [], M.IsolationForest.score
+    monkeypatch.setattr(M.IsolationForest, "score", lambda self, *a: calls.append(1) or score(self, *a))
+    df = spark.range(300).select("id", array_to_vector(F.array(F.rand(1), F.rand(2), F.lit(0.0))).alias("features"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    forest = M.IsolationForest(trees=20, sample=64).fit(df, "features", "id")
+    kept = {r.id: r.anomaly_score for r in forest.decide_fitted().collect()}
+    assert len(calls) == 1
+    again = {r.id: r.anomaly_score for r in forest.decide(df, "features", "id").collect()}
+    assert kept == again and len(kept) == 300 and 20 <= sum(v < 0 for v in kept.values()) <= 30
