@@ -368,6 +368,34 @@ def test_forest_in_pieces(spark, monkeypatch):
         assert np.mean((leaves == 0) | (leaves == 1)) > 0.95
 
 
+def test_vocabulary_of_many_texts_is_that_of_mllib(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    from tidewatch.operators import learn as M
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.6, 12) if i < 90) + (" once once" if n == 3 else "") for n in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tokens = M.TextFeatures.tokens(df, "text")
+    for least in (1, 2, 3):
+        every = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=100_000, minDF=least).fit(tokens).vocabulary
+        assert sorted(M.top_terms(tokens, 100_000, least)) == sorted(every)
+    assert "once" in M.top_terms(tokens, 100_000, 1) and "once" not in M.top_terms(tokens, 100_000, 2)
+    counts = dict(tokens.select(F.explode("_terms").alias("t")).groupBy("t").count().collect())
+    best = M.top_terms(tokens, 40, 2)
+    assert best == sorted(best, key=lambda t: (-counts[t], t)) and min(counts[t] for t in best) >= max(
+        counts[t] for t in M.top_terms(tokens, 100_000, 2) if t not in best)
+
+    # Texts are taken apart once for the vocabulary and once for the counts, which the weights and the rows fitted on share.
+    calls, split = [], M.TextFeatures.tokens
+    monkeypatch.setattr(M.TextFeatures, "tokens", staticmethod(lambda *a: calls.append(1) or split(*a)))
+    monkeypatch.setattr(M, "FEW_TEXTS", 100)
+    fitted = M.TextFeatures(40, sublinear=True).fit(df, "text")
+    vectors = {r.id: r.features for r in fitted.transform_fitted().collect()}
+    assert calls == [1] and fitted.counter.vocabulary == best
+    assert vectors == {r.id: r.features for r in fitted.transform(df, "text").collect()} and len(vectors) == 300
+
+
 def test_class_weights_do_not_gather_a_class(spark):
     from tidewatch.operators import evaluate as E
 
