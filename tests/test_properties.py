@@ -368,6 +368,42 @@ def test_forest_in_pieces(spark, monkeypatch):
         assert np.mean((leaves == 0) | (leaves == 1)) > 0.95
 
 
+def test_forest_is_sent_to_the_rows_or_rows_to_its_nodes(spark, monkeypatch):
+    """Few nodes go to every block; only the rows of a forest of many nodes are shuffled, once a tree. Both give the same scores."""
+    from tidewatch.operators import forest as FO
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(900, 3)), np.zeros(900), rng.integers(0, 3, 900)])
+    df = spark.createDataFrame([(i, v.tolist(), float(v[0] * v[1] > 0), 1.0 + (i % 2)) for i, v in enumerate(x)], "id long, x array<double>, y double, weight double")
+    monkeypatch.setattr(FO, "BLOCK_ROWS", 256)
+    for node_rows in (1 << 18, 300):
+        monkeypatch.setattr(FO, "NODE_ROWS", node_rows)
+        grown = FO.grow_forest(df, 8, 30)
+        monkeypatch.setattr(FO, "SENT_BYTES", 1 << 26)
+        assert len(grown._sent()) == 1
+        sent = {r.id: r.p for r in grown.score(df.select("id", "x"), "p").collect()}
+        monkeypatch.setattr(FO, "SENT_BYTES", 0)
+        assert grown._sent() == []
+        asked = {r.id: r.p for r in grown.score(df.select("id", "x"), "p").collect()}
+        assert len(sent) == 900 and sent == asked
+
+
+def test_large_nodes_are_cut_as_small_ones(monkeypatch):
+    from tidewatch.operators import forest as FO
+
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 6, (12, 4000)).astype(np.uint8)
+    bins[[2, 5, 9]] = 0  # no cut
+    y, c = (bins[0] + bins[1] + rng.integers(0, 3, 4000) > 6).astype(float), rng.poisson(1.0, 4000) + 1.0
+    made = []
+    for rows in (1, 50, 1 << 30):
+        monkeypatch.setattr(FO, "LONE_ROWS", rows)
+        made.append(FO.grow_subtree(bins, y, c * (0.3 + 0.9 * y), c, np.random.default_rng(1), 30, 2, 4))
+    assert len(made[0]["feature"]) > 100
+    for other in made[1:]:
+        assert all(np.array_equal(made[0][k], other[k]) for k in other)
+
+
 def test_vocabulary_of_many_texts_is_that_of_mllib(spark, monkeypatch):
     from pyspark.ml.feature import CountVectorizer
 
