@@ -146,3 +146,67 @@ def test_keyed_streams_run_in_any_session(spark, name):
     finally:
         spark.conf.set(provider, before)
     assert got == {tuple(r) for r in W.count_windows(telemetry(spark, SF)).select("device_id", "window_id").distinct().collect()} and got
+
+
+def test_detector_state_is_kept_as_bytes():
+    """A covariance that is symmetric, as all are, is half of it."""
+    rng = np.random.default_rng(2)
+    cov = rng.normal(size=(6, 6))
+    for m in (cov @ cov.T / 3 + (cov @ cov.T / 3).T, cov):
+        power = B.PowerMoments.empty(6)
+        power.add(rng.normal(size=6))
+        for s in (AD.DetectorState(rng.normal(size=6), m, 4, 1.5, 0.25, probabilities=[0.5, 0.25], distances=rng.random(3), awake=rng.random(2), alerted={"a": 5},
+                                   tz=7, lambdas=rng.normal(size=6), power=power), AD.DetectorState(np.zeros(6), m)):
+            kept = ST._save(s)
+            again = ST._load(kept)
+            assert not any(isinstance(v, list) and v and isinstance(v[0], float) for v in kept)
+            assert np.array_equal(again.cov, s.cov) and np.array_equal(again.mean, s.mean) and again.n == s.n and again.alerted == s.alerted and again.tz == s.tz
+            assert again.probabilities == s.probabilities and np.array_equal(again.distances, s.distances) and np.array_equal(again.awake, s.awake)
+            assert (again.lambdas is None) == (s.lambdas is None) and (s.lambdas is None or np.array_equal(again.lambdas, s.lambdas))
+            assert (again.power is None) == (s.power is None)
+            if s.power is not None:
+                assert again.power.n == 1 and all(np.array_equal(getattr(again.power, n), getattr(s.power, n)) for n in ("centre", "scale", "mean", "m2", "jac"))
+    assert len(kept[1]) == 8 * 36 and len(ST._save(AD.DetectorState(np.zeros(6), np.eye(6)))[1]) == 8 * 21
+
+
+def test_few_messages_to_the_store_a_device():
+    """Each is a round trip to the JVM: four for the windows of a new device, three for its detector."""
+    calls = []
+
+    class State:
+        kept = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.kept = args[0]
+                return {"get": self.kept, "exists": True}.get(name)
+
+            return call
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        getListState = getValueState  # noqa: N815
+
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    from pyspark.sql import Row
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    windows = ST.CountWindows(StructType([StructField("ts_ms", LongType()), StructField("event_id", LongType())]), 5, DAY)
+    windows.init(Handle())
+    assert len(list(windows.handleInputRows(("a",), iter([Row(ts_ms=i, event_id=i) for i in range(7)]), None))) == 1
+    assert sorted(calls) == ["get", "put", "registerTimer", "update"]
+    calls.clear()
+    detector = ST.Detector(AD.DetectorConfig(), ["window_id", "distance"], DAY)
+    detector.init(Handle())
+    row = Row(window_id=0, end_ms=DAY, vector=[0.5] * 72, mask=[1.0] * 72)
+    assert len(list(detector.handleInputRows(("a",), iter([row]), None))) == 1
+    assert sorted(calls) == ["get", "registerTimer", "update"]
+    calls.clear()
+    late = Row(window_id=1, end_ms=DAY - 5, vector=[0.5] * 72, mask=[1.0] * 72)
+    assert len(list(detector.handleInputRows(("a",), iter([late]), None))) == 1 and sorted(calls) == ["get", "update"]

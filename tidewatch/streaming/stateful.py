@@ -91,29 +91,31 @@ def cooldown_stream(alerts: DataFrame, keys: Sequence[str], gap_ms: int = COOLDO
 
 
 class Remembered(StatefulProcessor):
-    """A keyed state that is forgotten ``life_ms`` of event time after the last row of its key."""
+    """A keyed state that is forgotten ``life_ms`` of event time after the last row of its key.
+
+    Every call to the store is a message to the JVM and back, so the time of forgetting is kept in the state itself.
+    """
 
     life_ms = 0
 
     def remember(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "at long")
 
-    def keep_until(self, last_ms: int) -> None:
-        """Moves the timer of the current key; earlier rows that come late do not shorten its life."""
-        before = self.until.get()[0] if self.until.exists() else None
+    def keep_until(self, before: int | None, last_ms: int) -> int:
+        """Moves the timer of the current key and returns it; earlier rows that come late do not shorten its life."""
         at = last_ms + self.life_ms
-        if before is None or at > before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(at)
-            self.until.update((at,))
+        if before is not None and at <= before:
+            return before
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        return at
 
     def states(self) -> list:
         raise NotImplementedError
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        for state in [self.until, *self.states()]:
+        for state in self.states():
             state.clear()
         return iter(())
 
@@ -137,15 +139,15 @@ class CountWindows(Remembered):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.remember(handle)
-        self.done = handle.getValueState("done", "n long")
+        self.done = handle.getValueState("done", "n long, until long")
         self.waiting = handle.getListState("waiting", self.kind)
 
     def states(self) -> list:
         return [self.done, self.waiting]
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        done = self.done.get()[0] if self.done.exists() else 0
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        done, until = self.done.get() or (0, None)
+        waiting = [tuple(e) for e in self.waiting.get()] if until is not None and self.waiting.exists() else []
         # An event begins with its time and id, so tuples sort in order of arrival.
         arrived = sorted((tuple(self.plain(r[n], n) for n in self.names) for r in rows), key=lambda t: t[:2])
         if not arrived:
@@ -158,9 +160,11 @@ class CountWindows(Remembered):
             yield Row(device_id=key[0], window_id=done, ev=[made(*t) for t in chosen])
             done += 1
         rest = waiting[len(waiting) // self.size * self.size :]
-        self.done.update((done,))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self.keep_until(latest)
+        if rest:
+            self.waiting.put(rest)
+        elif until is not None:
+            self.waiting.clear()
+        self.done.update((done, self.keep_until(until, latest)))
 
 
 def window_stream(
@@ -190,37 +194,58 @@ def window_rows(windows: DataFrame) -> DataFrame:
     return windows.select("device_id", "window_id", F.posexplode("ev").alias("pos", "e")).select("device_id", "window_id", "pos", "e.*")
 
 
+#: Numbers are kept as bytes: as arrays, every one would be an object on its way to the store and back.
 _STATE = (
-    "mean array<double>, cov array<double>, n bigint, distance_mean double, distance_std double, cusum_pos double, cusum_neg double, "
-    "cusum_h double, first_ms bigint, last_ms bigint, tz bigint, tz_until bigint, probabilities array<double>, distances array<double>, "
-    "awake array<double>, alerted array<string>, alerted_ms array<bigint>, lambdas array<double>, power_centre array<double>, power_scale array<double>, "
-    "power_n bigint, power_mean array<double>, power_m2 array<double>, power_jac array<double>"
+    "mean binary, cov binary, n bigint, distance_mean double, distance_std double, cusum_pos double, cusum_neg double, "
+    "cusum_h double, first_ms bigint, last_ms bigint, tz bigint, tz_until bigint, probabilities binary, distances binary, "
+    "awake binary, alerted array<string>, alerted_ms array<bigint>, lambdas binary, power_centre binary, power_scale binary, "
+    "power_n bigint, power_mean binary, power_m2 binary, power_jac binary"
 )
 
 
+def _packed(values) -> bytes | None:
+    return None if values is None else np.asarray(values, float).tobytes()
+
+
+def _unpacked(kept) -> np.ndarray | None:
+    return None if kept is None else np.frombuffer(bytes(kept)).copy()
+
+
+def _packed_square(m: np.ndarray | None) -> bytes | None:
+    """A symmetric matrix is its upper half."""
+    return None if m is None else _packed(m[np.triu_indices(len(m))] if np.array_equal(m, m.T) else m)
+
+
+def _unpacked_square(kept, size: int) -> np.ndarray | None:
+    values = _unpacked(kept)
+    if values is None or len(values) == size * size:
+        return None if values is None else values.reshape(size, size)
+    m = np.zeros((size, size))
+    m[np.triu_indices(size)] = values
+    return np.where(np.tri(size, k=-1, dtype=bool), m.T, m)
+
+
 def _load(values: tuple) -> AD.DetectorState:
     *plain, names, times, lambdas, centre, scale, n, mean, m2, jac = values
     s = AD.DetectorState(*plain, dict(zip(names, times)))
-    s.mean = None if s.mean is None else np.asarray(s.mean, float)
-    s.cov = None if s.cov is None else np.asarray(s.cov, float).reshape(len(s.mean), -1)
-    s.probabilities, s.distances = [float(v) for v in s.probabilities], np.asarray(s.distances, float)
-    s.awake = np.asarray(s.awake, float)
-    s.lambdas = None if lambdas is None else np.asarray(lambdas, float)
+    s.mean = _unpacked(s.mean)
+    s.cov = None if s.mean is None else _unpacked_square(s.cov, len(s.mean))
+    s.probabilities, s.distances, s.awake = _unpacked(s.probabilities).tolist(), _unpacked(s.distances), _unpacked(s.awake)
+    s.lambdas = _unpacked(lambdas)
     if centre is not None:
-        grids = (np.asarray(v, float).reshape(len(centre), -1) for v in (mean, m2))
-        s.power = PowerMoments(np.asarray(centre, float), np.asarray(scale, float), int(n), *grids, np.asarray(jac, float))
+        centre = _unpacked(centre)
+        s.power = PowerMoments(centre, _unpacked(scale), int(n), *(_unpacked(v).reshape(len(centre), -1) for v in (mean, m2)), _unpacked(jac))
     return s
 
 
 def _save(s: AD.DetectorState) -> tuple:
     p = s.power
-    grids = (None,) * 6 if p is None else (p.centre.tolist(), p.scale.tolist(), int(p.n), p.mean.ravel().tolist(), p.m2.ravel().tolist(), p.jac.tolist())
+    grids = (None,) * 6 if p is None else (_packed(p.centre), _packed(p.scale), int(p.n), _packed(p.mean), _packed(p.m2), _packed(p.jac))
     return (
-        s.mean.tolist(), s.cov.ravel().tolist(), int(s.n), float(s.distance_mean), float(s.distance_std), float(s.cusum_pos),
+        _packed(s.mean), _packed_square(s.cov), int(s.n), float(s.distance_mean), float(s.distance_std), float(s.cusum_pos),
         float(s.cusum_neg), float(s.cusum_h), int(s.first_ms), int(s.last_ms), None if s.tz is None else int(s.tz), int(s.tz_until),
-        [float(v) for v in s.probabilities], [float(v) for v in s.distances],
-        [float(v) for v in s.awake], list(s.alerted), [int(t) for t in s.alerted.values()],
-        None if s.lambdas is None else s.lambdas.tolist(), *grids,
+        _packed(s.probabilities), _packed(s.distances), _packed(s.awake), list(s.alerted), [int(t) for t in s.alerted.values()],
+        _packed(s.lambdas), *grids,
     )
 
 
@@ -232,20 +257,20 @@ class Detector(Remembered):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.remember(handle)
-        self.detector = handle.getValueState("detector", _STATE)
+        self.detector = handle.getValueState("detector", f"{_STATE}, until bigint")
 
     def states(self) -> list:
         return [self.detector]
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        state = _load(tuple(self.detector.get())) if self.detector.exists() else AD.DetectorState()
+        kept = self.detector.get()
+        state, until = (_load(tuple(kept)[:-1]), kept[-1]) if kept else (AD.DetectorState(), None)
         for window in sorted((r.asDict() for r in rows), key=lambda w: w["window_id"]):
             result = AD.step(state, window, self.cfg)
             told = {"device_id": key[0], "window_id": window["window_id"], "end_ms": window["end_ms"], **result}
             yield Row(**{n: told[n] for n in self.names})
         if state.mean is not None:
-            self.detector.update(_save(state))
-            self.keep_until(state.last_ms)
+            self.detector.update((*_save(state), self.keep_until(until, state.last_ms)))
 
 
 def detector_stream(windows: DataFrame, cfg: AD.DetectorConfig | None = None, life_ms: int = STATE_LIFE_MS, delay: str = STATE_DELAY) -> DataFrame:
